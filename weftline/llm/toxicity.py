@@ -1,13 +1,16 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, of toxic and of ordinary texts, are interpolated down to class unigrams over continuation counts and
-from there to a backoff distribution that both classes share, so a rare expression weighs alike in both. A text's
-evidence is the log-likelihood ratio of its words, by their number (and ``PRIOR_WORDS`` more, so that a short text needs
-strong words). A logistic curve, fitted on labelled rows that the counts leave out, turns evidence into a score.
+Two bigram models, of toxic and of ordinary texts, share their backoff. At the top stand a class's pairs, counted by
+documents; below them its words, by Kneser-Ney continuation counts (distinct words before); below both the continuation
+counts of all classes together. Each class count is discounted by ``FLAT`` and by ``SHARE`` times what the shared backoff
+expects of it, and the mass goes to the backoff: a rare expression, or one that is about as common in both classes,
+weighs alike in both, so that language and subject don't move the ratio. Copies of a text teach once.
+A text's evidence is the log-likelihood ratio of its words, by their number (and ``PRIOR_WORDS`` more, so that a short
+text needs strong words). A logistic curve, fitted on labelled rows that the counts leave out, turns it into a score.
 
 The models learn from at most ``SAMPLE`` labelled rows, those with the smallest hash of the id; words in fewer than
-``MIN_DOCS`` and pairs of fewer than ``MIN_PAIRS`` occurrences are left to the backoff. Both are parameters. The model is
-so bounded in size, and goes to every task.
+``MIN_DOCS`` and pairs in fewer than ``MIN_PAIRS`` documents are left to the backoff. All are parameters. The models are
+so bounded in size, and go to every task.
 
 Defined results: a text without words has no evidence and gets the score of that; rows without a label, or with a null
 one, teach nothing; of several labels of one id the largest counts; without rows of both classes every score is 0.
@@ -18,12 +21,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut, fresh, letter_words, map_batches, remainder
 
-SAMPLE, MIN_DOCS, MIN_PAIRS, DISCOUNT, PRIOR_WORDS = 12_000, 4, 3, 0.75, 8
+SAMPLE, MIN_DOCS, MIN_PAIRS, PRIOR_WORDS = 12_000, 4, 6, 8
+FLAT, FLAT_PAIRS, SHARE = 2.0, 8.0, 2.0
 UNKNOWN, START = 0, 1
 
 
@@ -71,7 +76,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: s
     order = F.xxhash64(F.lit("toxicity"), "id")
     chosen = said.withColumn("order", order).orderBy("order", "id").limit(sample).select("id", "toxic", (F.pmod("order", F.lit(4)) == 0).alias("fit"))
     # at most ``sample`` slim rows
-    return cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("text", "toxic", "fit"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    return cut(rows.select("text", "toxic", "fit").dropDuplicates(["text", "toxic"]))
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -90,54 +96,62 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 
 def count_pairs(rows: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """context, word, ordinary, toxic: how often word follows context in each class."""
+    """before (hash of any word), context (its number, or UNKNOWN), word: documents of each class where word follows."""
     sent = rows.sparkSession.sparkContext.broadcast(vocabulary)
-    size = len(vocabulary) + 2
 
     def work():
         get = sent.value.get
 
         def do(batch):
-            keys, toxic = [], []
+            found: dict[tuple, list[int]] = {}
             for text, t in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                ids = np.array([START, *(get(w, UNKNOWN) for w in letter_words(text))], np.int64)
-                keys.append(ids[:-1] * size + ids[1:])
-                toxic.append(np.full(len(ids) - 1, t > 0))
-            key, where = np.unique(np.concatenate(keys), return_inverse=True)
-            n = [np.bincount(where, np.concatenate(toxic) == t, len(key)).astype(np.int64) for t in (False, True)]
-            return {"context": key // size, "word": key % size, "ordinary": n[0], "toxic": n[1]}
+                words = letter_words(text)
+                for pair in set(zip([b"", *words[:-1]], words, strict=True)):
+                    found.setdefault(pair, [0, 0])[t > 0] += 1
+            return {
+                "before": np.fromiter((xxhash.xxh64_intdigest(h) for h, _ in found), np.uint64, len(found)).view(np.int64),
+                "context": [get(h, UNKNOWN) if h else START for h, _ in found],
+                "word": [get(w, UNKNOWN) for _, w in found],
+                "ordinary": [n for n, _ in found.values()],
+                "toxic": [n for _, n in found.values()],
+            }
 
         return do
 
-    return map_batches(rows.select("text", "toxic"), "context long, word long, ordinary long, toxic long", work).groupBy("context", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    counted = map_batches(rows.select("text", "toxic"), "before long, context long, word long, ordinary long, toxic long", work)
+    return counted.groupBy("before", "context", "word").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
 def kneser_ney(vocabulary: dict[bytes, int], pairs: DataFrame, min_pairs: int) -> Model:
     """Sums by word and context come from Spark; what is collected is bounded by the vocabulary and by the kept pairs."""
     size = len(vocabulary) + 2
     classes = ("ordinary", "toxic")
-    kinds = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in classes]
-    by_word = pairs.groupBy("word").agg(*kinds, F.count(F.lit(1)).alias("shared")).toPandas()
-    by_context = pairs.groupBy("context").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic")).toPandas()
-    kept = pairs.where(F.col("ordinary") + F.col("toxic") >= min_pairs).toPandas()
-    shared = np.full(size, 0.5)
-    shared[by_word["word"]] += by_word["shared"]
+    both = F.col("ordinary") + F.col("toxic")
+    by_word = pairs.groupBy("word").agg(*(F.sum((F.col(c) > 0).cast("long")).alias(c) for c in classes)).toPandas()
+    by_context = pairs.groupBy("context").agg(*(F.sum(c).alias(c) for c in classes)).toPandas()
+    kept = pairs.where((F.col("context") != UNKNOWN) & (F.col("word") != UNKNOWN) & (both >= min_pairs)).toPandas()
+    context, word = kept["context"].to_numpy(np.int64), kept["word"].to_numpy(np.int64)
+    continuation, contexts = ({c: np.zeros(size) for c in classes} for _ in range(2))
+    for c in classes:
+        continuation[c][by_word["word"]] = by_word[c]
+        contexts[c][by_context["context"]] = by_context[c]
+    shared = continuation["ordinary"] + continuation["toxic"] + 0.5
     shared /= shared.sum()
+    together = (kept["ordinary"] + kept["toxic"]).to_numpy() / np.maximum(1, (contexts["ordinary"] + contexts["toxic"])[context])
     unigram, backoff, explicit = {}, {}, {}
     for c in classes:
-        seen = np.zeros(size)
-        seen[by_word["word"]] = by_word[c]
-        total = max(1.0, seen.sum())
-        held = np.maximum(seen - DISCOUNT, 0) / total
+        total = max(1.0, continuation[c].sum())
+        held = np.maximum(continuation[c] - FLAT - SHARE * total * shared, 0) / total
         unigram[c] = held + (1 - held.sum()) * shared
-        contexts = np.zeros(size)
-        contexts[by_context["context"]] = by_context[c]
-        own = np.maximum(kept[c].to_numpy() - DISCOUNT, 0) / np.maximum(contexts[kept["context"]], 1)
-        backoff[c] = 1 - np.bincount(kept["context"], own, size)
-        explicit[c] = own + backoff[c][kept["context"]] * unigram[c][kept["word"]]
-    order = np.argsort((kept["context"] * size + kept["word"]).to_numpy())
+        n = contexts[c][context]
+        own = np.maximum(kept[c].to_numpy() - FLAT_PAIRS - SHARE * n * together, 0) / np.maximum(n, 1)
+        backoff[c] = 1 - np.bincount(context, own, size)
+        # below a pair of the class: what all classes say of the pair, moved as the class moves the word
+        explicit[c] = own + backoff[c][context] * together * unigram[c][word] / shared[word]
+    key = context * size + word
+    order = np.argsort(key)
     ratio = lambda x: np.log2(x["toxic"]) - np.log2(x["ordinary"])
-    return Model(vocabulary, ratio(unigram), ratio(backoff), (kept["context"] * size + kept["word"]).to_numpy()[order], ratio(explicit)[order])
+    return Model(vocabulary, ratio(unigram), ratio(backoff), key[order], ratio(explicit)[order])
 
 
 def fit_curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
