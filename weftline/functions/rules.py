@@ -82,3 +82,8 @@ def propose_threshold(samples: DataFrame, score: str, escaped: str, keys: list[s
     moved = F.lit(current) + F.greatest(F.lit(-most), F.least(F.lit(most), F.coalesce(F.col("ideal"), F.lit(current + most)) - current))
     bounded = F.round(F.least(F.lit(THRESHOLD_HIGH), F.greatest(F.lit(THRESHOLD_LOW), moved)), 1)
     return joined.select(*keys, "n_samples", F.when((F.col("n_samples") < least_samples) | (F.col("usable") == 0), F.lit(current)).otherwise(bounded).alias("threshold"))
+
+
+def drifted(base: Column, current: Column, most: float = 0.30) -> Column:
+    """The current value is off the base by more than a share of it; over a base of nothing anything is off."""
+    return F.when(base <= 0, current > 0).otherwise(F.abs(current - base) / base > most)

@@ -58,3 +58,14 @@ def trigrams(text: Column) -> Column:
 def formula_guard(text: Column) -> Column:
     """A leading apostrophe where a spreadsheet would read a formula."""
     return F.when(text.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), text)).otherwise(text)
+
+
+def literal(part: str) -> Column:
+    """A search text without wildcards."""
+    return F.lit(part.lower())
+
+
+def picked(key: Column, rate: float, steps: int = 10_000) -> Column:
+    """True for a share of all keys, by the first 32 bits of the key's SHA-256."""
+    head = F.conv(F.substring(F.sha2(key.cast("binary"), 256), 1, 8), 16, 10).cast("long")
+    return head % steps < round(rate * steps)

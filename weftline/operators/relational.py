@@ -83,3 +83,66 @@ def multiset_difference(a: Column, b: Column) -> Column:
     count = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
     distinct = F.array_sort(F.array_distinct(a))
     return F.flatten(F.transform(distinct, lambda x: F.array_repeat(x, F.greatest(count(a, x) - count(b, x), F.lit(0)))))
+
+
+def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
+    """One page with each row's place and, if more rows follow, next_offset. Only the page and one row are numbered."""
+    rows = df.orderBy(*order).offset(offset).limit(limit + 1)
+    # at most limit + 1 rows
+    numbered = rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    return numbered.where(F.col("place") <= limit).withColumn("next_offset", F.when(F.col("_n") > limit, F.lit(offset + limit))).drop("_n")
+
+
+def ranked_top(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
+    """The first k rows with their place: each task keeps k rows, and only those are numbered."""
+    return df.orderBy(*order).limit(k).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+
+
+def with_total(df: DataFrame, name: str) -> DataFrame:
+    """Every row with the number of all: a count of one row is joined, so the rows stay where they are."""
+    return df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias(name))))
+
+
+def filtered(df: DataFrame, **wanted) -> DataFrame:
+    """Optional predicates: None makes none, (low, high) a half-open range with open ends, a list membership, else equality."""
+    for name, value in wanted.items():
+        if isinstance(value, tuple):
+            low, high = value
+            df = df if low is None else df.where(F.col(name) >= low)
+            df = df if high is None else df.where(F.col(name) < high)
+        elif isinstance(value, list):
+            df = df.where(F.col(name).isin(value))
+        elif value is not None:
+            df = df.where(F.col(name) == value)
+    return df
+
+
+def bulk_set(df: DataFrame, named: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """``df`` with new values in the rows whose key stands in ``named``."""
+    flagged = df.join(named.select(key).distinct().withColumn("_named", F.lit(True)), key, "left")
+    return flagged.select(*(F.when(F.col("_named"), values[c]).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in df.columns))
+
+
+def without(df: DataFrame, gone: DataFrame, on: dict[str, str]) -> DataFrame:
+    """The rows of ``df`` that have no partner in ``gone``."""
+    match = [df[a] == gone[b] for a, b in on.items()]
+    return df.join(gone, match, "left_anti")
+
+
+def blob_key(org: Column, kind: Column, key: Column, filename: Column) -> Column:
+    return F.concat_ws("/", org, kind, key.cast("string"), F.regexp_replace(filename, "[^A-Za-z0-9._-]+", "_"))
+
+
+def renumbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Gap-free numbers from 1 within each key."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+
+
+def running_sum(value: Column | str, keys: Sequence[str], order: Sequence[Column]) -> Column:
+    return F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def ledger(movements: DataFrame, key: str, credit: Column, debit: Column, amount: str) -> DataFrame:
+    """Double entry (key, account, amount): plus on the credited account, minus on the debited one."""
+    sides = F.array(F.struct(credit.alias("account"), F.col(amount).alias("amount")), F.struct(debit.alias("account"), (-F.col(amount)).alias("amount")))
+    return movements.select(key, F.explode(sides).alias("side")).select(key, "side.*")

@@ -1 +1,3 @@
+"""Queries that bind the operators to tables; importing the package registers them."""
 
+from weftline.plans import aggregates, scans  # noqa: F401

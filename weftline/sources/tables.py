@@ -78,6 +78,6 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 USAGE = """usage as (
-  select event_id as id, user_id as org_id, event_type as kind, cast(value as decimal(14,2)) as amount, ts as at,
+  select event_id as id, user_id as org_id, event_type as kind, cast(value as decimal(14,2)) as amount, ts as "at",
     cast(json_extract_string(props, '$.k') as integer) as k
   from events)"""
