@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed values.
@@ -87,3 +87,12 @@ def propose_threshold(samples: DataFrame, score: str, escaped: str, keys: list[s
 def drifted(base: Column, current: Column, most: float = 0.30) -> Column:
     """The current value is off the base by more than a share of it; over a base of nothing anything is off."""
     return F.when(base <= 0, current > 0).otherwise(F.abs(current - base) / base > most)
+
+
+# Plural categories by language.
+PLURALS = {"de": ["one", "other"], "en": ["one", "other"], "es": ["one", "many", "other"], "fr": ["one", "many", "other"]}
+
+
+def plural_table(spark: SparkSession) -> DataFrame:
+    """(lang, required)"""
+    return spark.createDataFrame(list(PLURALS.items()), "lang string, required array<string>")

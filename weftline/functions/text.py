@@ -69,3 +69,109 @@ def picked(key: Column, rate: float, steps: int = 10_000) -> Column:
     """True for a share of all keys, by the first 32 bits of the key's SHA-256."""
     head = F.conv(F.substring(F.sha2(key.cast("binary"), 256), 1, 8), 16, 10).cast("long")
     return head % steps < round(rate * steps)
+
+
+OPEN, CLOSE = "\u0001", "\u0002"
+CODE = "⟦/?[A-Za-z0-9_.-]+/?⟧"
+
+
+def escape_brackets(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("⟦"), F.lit("⟦⟦")), F.lit("⟧"), F.lit("⟧⟧"))
+
+
+def _guarded(tagged: Column) -> Column:
+    return F.replace(F.replace(tagged, F.lit("⟦⟦"), F.lit(OPEN)), F.lit("⟧⟧"), F.lit(CLOSE))
+
+
+def plain(tagged: Column) -> Column:
+    """Tagged text without its inline codes; doubled brackets become single."""
+    return F.replace(F.replace(F.regexp_replace(_guarded(tagged), CODE, ""), F.lit(OPEN), F.lit("⟦")), F.lit(CLOSE), F.lit("⟧"))
+
+
+def codes(tagged: Column) -> Column:
+    """Inline codes in order, repeats kept."""
+    return found(_guarded(tagged), CODE)
+
+
+def to_markup(tagged: Column) -> Column:
+    """Inline codes as elements: g around text, x alone."""
+    out = F.regexp_replace(tagged, "⟦([0-9]+)⟧", '<g id="$1">')
+    return F.regexp_replace(F.regexp_replace(out, "⟦/[0-9]+⟧", "</g>"), "⟦([0-9]+)/⟧", '<x id="$1"/>')
+
+
+WORD = r"[\p{L}\p{N}_]+"
+CJK = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}]"
+
+
+def words(text: Column) -> Column:
+    """Runs of letters, digits and underscores."""
+    return found(text, WORD)
+
+
+def word_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD))
+
+
+def script_words(text: Column) -> Column:
+    """Words with half a word for each CJK character, one at least."""
+    cjk = F.ceil(F.regexp_count(text, F.lit(CJK)) / 2)
+    return F.greatest(F.lit(1), cjk + word_count(F.regexp_replace(text, CJK, " ")))
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance by the longer length; 0 for two empty texts."""
+    return F.coalesce(F.levenshtein(a, b) / F.nullif(F.greatest(F.length(a), F.length(b)), F.lit(0)), F.lit(0.0))
+
+
+def end_class(text: Column) -> Column:
+    """What a text ends in, closing quotes and brackets aside."""
+    bare = F.regexp_replace(text, r"[\"'”»)\]\s]+$", "")
+    return F.when(bare.rlike("[.。]$"), "stop").when(bare.rlike("[?？;]$"), "question").when(bare.rlike("[!！]$"), "shout").otherwise("none")
+
+
+def surface_checks(source: Column, target: Column) -> dict[str, Column]:
+    """Checks of a target against its source that are plain expressions."""
+    lead = lambda x: F.regexp_extract(x, r"^[ \t]*", 0)
+    return {
+        "punctuation_end": end_class(source) != end_class(target),
+        "double_space": F.contains(target, F.lit("  ")) & ~F.contains(source, F.lit("  ")),
+        "whitespace": lead(source) != lead(target),
+        "untranslated": source == target,
+        "length": F.length(target) > 2 * F.length(source),
+    }
+
+
+def mod97(digits: Column) -> Column:
+    """A number of any length, as text, modulo 97: seven digits at a time."""
+    parts = F.regexp_extract_all(digits, F.lit("[0-9]{1,7}"), F.lit(0))
+    step = lambda acc, x: (acc * F.when(F.length(x) == 7, F.lit(10_000_000)).otherwise(F.pow(F.lit(10), F.length(x)).cast("long")) + x.cast("long")) % 97
+    return F.aggregate(parts, F.lit(0).cast("long"), step)
+
+
+def iban_valid(iban: Column) -> Column:
+    """Country and check digits go to the end, letters become numbers; the rest modulo 97 is one."""
+    moved = F.concat(F.substr(iban, F.lit(5)), F.substring(iban, 1, 4))
+    digits = F.array_join(F.transform(F.split(moved, ""), lambda c: F.when(c.rlike("^[A-Z]$"), (F.ascii(c) - 55).cast("string")).otherwise(c)), "")
+    return mod97(digits) == 1
+
+
+FOLD_FROM, FOLD_TO = "àâäçéèêëîïôöùûüß", "aaaceeeeiioouuus"
+
+
+def fold(text: Column) -> Column:
+    """Lower case without accents, of the same length."""
+    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+
+
+def longest_prefix(text: Column, table: dict[str, float]) -> Column:
+    """The value of the longest key that the text starts with, or null."""
+    out = None
+    for key in sorted(table, key=len, reverse=True):
+        hit = F.startswith(text, F.lit(key))
+        out = F.when(hit, table[key]) if out is None else out.when(hit, table[key])
+    return out
+
+
+def merged(defaults: Column, overrides: Column) -> Column:
+    """Two maps in one; the second wins."""
+    return F.map_concat(F.map_filter(defaults, lambda k, _: ~F.map_contains_key(overrides, k)), overrides)

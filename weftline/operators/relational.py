@@ -146,3 +146,28 @@ def ledger(movements: DataFrame, key: str, credit: Column, debit: Column, amount
     """Double entry (key, account, amount): plus on the credited account, minus on the debited one."""
     sides = F.array(F.struct(credit.alias("account"), F.col(amount).alias("amount")), F.struct(debit.alias("account"), (-F.col(amount)).alias("amount")))
     return movements.select(key, F.explode(sides).alias("side")).select(key, "side.*")
+
+
+def merge_outcome(branch: DataFrame, main: DataFrame, key: str) -> DataFrame:
+    """Three-way comparison of branch (key, base, mine) and main (key, version, value): same, merge or conflict."""
+    outcome = F.when(F.col("mine").eqNullSafe(F.col("value")), "same").when(F.col("base").eqNullSafe(F.col("version")), "merge").otherwise("conflict")
+    return branch.join(main, key).withColumn("outcome", outcome)
+
+
+def numbered_in_steps(df: DataFrame, keys: Sequence[str], step: str, order: Sequence[Column], name: str) -> DataFrame:
+    """Gap-free numbers within the keys, where ``step`` rises with the order: rows are numbered within each step and the
+    counts of earlier steps are added, so that no task holds more than a step of a key."""
+    inner = df.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, step).orderBy(*order)))
+    counts = df.groupBy(*keys, step).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(*keys, step, (F.sum("_n").over(Window.partitionBy(*keys).orderBy(step)) - F.col("_n")).alias("_before"))
+    return inner.join(before, [*keys, step]).withColumn(name, F.col("_in") + F.col("_before")).drop("_in", "_before")
+
+
+def longest_name(texts: DataFrame, text: str, names: DataFrame, name: str, tie: str) -> DataFrame:
+    """Each text with the longest name it holds, without case; a join on the first word of the names keeps it an equi-join."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
+    asked = texts.select(text, F.explode(words).alias("_word"))
+    keyed = names.withColumn("_word", F.regexp_extract(F.lower(name), r"[\p{L}\p{N}]+", 0))
+    hits = asked.join(keyed, "_word").where(F.contains(F.lower(text), F.lower(name)))
+    best = F.max(F.struct(F.length(name).alias("n"), (-F.col(tie)).alias("t"), F.col(name).alias("x")))
+    return hits.groupBy(text).agg(best.alias("_b")).select(text, F.col("_b.x").alias(name))
