@@ -1,3 +1,3 @@
 """Queries that bind the operators to tables; importing the package registers them."""
 
-from weftline.plans import aggregates, joins, scans, texts  # noqa: F401
+from weftline.plans import aggregates, formats, joins, language, scans, texts  # noqa: F401
