@@ -1 +1 @@
-
+"""Structured Streaming over event logs."""
