@@ -2,11 +2,13 @@
 
 The lattice of a text has an edge for every piece of the model that stands in it, and byte pieces for a character that no
 piece covers. A piece's probability falls with its rank in the model (``(rank + 1) ** -theta``): the forward pass sums it
-over all ways to a place, the backward pass draws the last piece of each prefix in proportion. Draws come from a hash of the
-row's key and the place in the text, so a row is segmented alike wherever and whenever it runs.
+over all ways to a place, in logarithms, and the backward pass draws the last piece of each prefix in proportion. Draws come
+from a hash of the row's key and the place in the text, so a row is segmented alike wherever and whenever it runs.
 
-No piece has a space mark after another character, so every path passes the places before a word's space mark: the lattice falls into
-chunks there, and a chunk's forward pass is kept for the next time it occurs (``CACHE`` chunks at most).
+No piece has a space mark after another character, so every path passes the places before a word's space mark: the lattice
+falls into chunks there. Texts are taken in groups of about ``GROUP`` characters; equal chunks of a group share one forward
+pass, and the passes of all its chunks run together, place by place, over arrays. Places that no piece crosses cut a chunk
+further, so a long text without spaces is no long chain unless its pieces overlap throughout.
 
 Decoding is lossless: a space mark that stands in the text itself is written in byte pieces, and the mark that encoding
 puts in front is taken off again.
@@ -17,9 +19,12 @@ Defined results: a null text has null ids and decodes to null; an empty text has
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from functools import cache
+from itertools import count
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +32,13 @@ from pyspark.sql import functions as F
 from weftline.llm.common import map_batches
 
 #: LITERAL stands for a mark of the text among the chunks: no chunk has a mark after another character.
-MARK, LITERAL, CACHE, SEED, THETA = "▁", "x▁", 200_000, 20, 1.0
+MARK, LITERAL, GROUP, SEED, THETA = "▁", "x▁", 1_500_000, 20, 1.0
 
 
 class Pieces:
-    """The pieces of a model file: numbers, weights, bytes."""
+    """The pieces of a model file: numbers, weights, bytes, and a trie over them."""
+
+    COMMON = 128
 
     def __init__(self, model_file: str, theta: float = THETA):
         from sentencepiece import SentencePieceProcessor
@@ -50,49 +57,125 @@ class Pieces:
                 self.weight[piece] = (1 - model.get_score(i)) ** -theta
                 self.bytes[i] = piece.replace(MARK, " ").encode()
         self.least = float(size) ** -theta
-        self.prefixes = {p[:k] for p in self.number for k in range(1, len(p) + 1)}
         self.longest = max(map(len, self.number))
+        self._trie()
 
-    def edges(self, chunk: str) -> list[list[tuple[int, int, float]]]:
-        """By end place: (start place, piece or -code point - 1 for byte pieces, weight)."""
-        ends = [[] for _ in range(len(chunk) + 1)]
-        number, weight, prefixes = self.number, self.weight, self.prefixes
-        for i in range(len(chunk)):
-            single = False
-            for j in range(i + 1, min(len(chunk), i + self.longest) + 1):
-                part = chunk[i:j]
-                if part not in prefixes:
-                    break
-                if part in number:
-                    ends[j].append((i, number[part], weight[part]))
-                    single |= j == i + 1
-            if not single:
-                raw = chunk[i].encode()
-                ends[i + 1].append((i, -ord(chunk[i]) - 1, self.least ** len(raw)))
-        return ends
-
-    def forward(self, chunk: str):
-        """Sums over all ways to each place, scaled so that long chunks don't vanish, as cumulative shares of each place's edges."""
-        if chunk == LITERAL:
-            return [2.0], [0], [-ord(MARK) - 1]
-        ends = self.edges(chunk)
-        total = [1.0] + [0.0] * len(chunk)
-        shares, starts, pieces = [], [], []
-        for j in range(1, len(chunk) + 1):
-            parts = [total[i] * w for i, _, w in ends[j]]
-            whole = sum(parts)
-            total[j] = whole
-            so_far = 0.0
-            for (i, piece, _), part in zip(ends[j], parts, strict=True):
-                so_far += part / whole
-                shares.append(j + min(so_far, 1.0))
-                starts.append(i)
-                pieces.append(piece)
-            shares[-1] = float(j + 1)
-            if whole < 1e-150:
-                for k in range(max(0, j - self.longest), j + 1):
-                    total[k] *= 1e150
-        return shares, starts, pieces
+    def _trie(self) -> None:
+        """Node 0 is the root. Steps by the commonest characters stand in a table, the others in a sorted list."""
+        nodes = {"": 0}
+        steps = []
+        for piece in self.number:
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in nodes:
+                    nodes[piece[:k]] = len(nodes)
+                    steps.append((nodes[piece[: k - 1]], ord(piece[k - 1]), nodes[piece[:k]]))
+        origin, char, target = np.array(steps, np.int64).T
+        kinds, n = np.unique(char, return_counts=True)
+        common = kinds[np.argsort(-n, kind="stable")[: self.COMMON - 1]]
+        self.kind = np.zeros(0x110000, np.uint8)
+        self.kind[common] = np.arange(1, len(common) + 1)
+        self.table = np.full((len(nodes), self.COMMON), -1, np.int32)
+        self.table[origin, self.kind[char]] = np.where(self.kind[char] > 0, target, -1)
+        self.table[:, 0] = -1
+        rare = self.kind[char] == 0
+        key = origin[rare] << 21 | char[rare]
+        order = np.argsort(key)
+        self.rare, self.rare_target = np.append(key[order], 1 << 62), np.append(target[rare][order], -1)
+        self.piece_at, self.log_at = np.full(len(nodes), -1, np.int32), np.zeros(len(nodes))
+        for piece, i in self.number.items():
+            self.piece_at[nodes[piece]], self.log_at[nodes[piece]] = i, np.log(self.weight[piece])
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The nodes below by these characters; -1 where there is none."""
+        kind = self.kind[char]
+        out = self.table[node, kind]
+        odd = np.flatnonzero(kind == 0)
+        if len(odd):
+            key = node[odd].astype(np.int64) << 21 | char[odd]
+            at = np.searchsorted(self.rare, key)
+            out[odd] = np.where(self.rare[at] == key, self.rare_target[at], -1)
+        return out
+
+
+class Lattice:
+    """The forward passes of many chunks. Chunk c has its places from base[c] to base[c] + size[c]."""
+
+    def __init__(self, pieces: Pieces, found: list[str]):
+        marks = np.array([c == LITERAL for c in found], bool)
+        found = [MARK if c == LITERAL else c for c in found]
+        self.size = np.fromiter(map(len, found), np.int64, len(found))
+        self.base = np.cumsum(self.size + 1) - self.size - 1
+        chars = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+        chunk = np.repeat(np.arange(len(found), dtype=np.int32), self.size)
+        places = int(len(chars) + len(found))
+        # of a character: the place before it, and how many characters of its chunk are left
+        place = np.arange(len(chars), dtype=np.int32) + chunk
+        left = np.repeat((self.base + self.size).astype(np.int32), self.size) - place
+        starts, ends, numbers, logs = [], [], [], []
+        live, node = np.flatnonzero(~marks[chunk]).astype(np.int32), None
+        node = np.zeros(len(live), np.int32)
+        single = np.zeros(len(chars), bool)
+        for length in range(1, pieces.longest + 1):
+            inside = left[live] >= length
+            live, node = live[inside], node[inside]
+            node = pieces.step(node, chars[live + (length - 1)])
+            on = node >= 0
+            live, node = live[on], node[on]
+            if not len(live):
+                break
+            number = pieces.piece_at[node]
+            hit = number >= 0
+            at = live[hit]
+            if length == 1:
+                single[at] = True
+            starts.append(place[at])
+            ends.append(place[at] + np.int32(length))
+            numbers.append(number[hit])
+            logs.append(pieces.log_at[node[hit]])
+        bare = np.flatnonzero(~single)
+        if len(bare):
+            c = chars[bare]
+            starts.append(place[bare])
+            ends.append(place[bare] + np.int32(1))
+            numbers.append(-c - 1)
+            logs.append(np.log(pieces.least) * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)))
+        start, end, number, log = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((starts, np.int32), (ends, np.int32), (numbers, np.int32), (logs, float)))
+        order = np.argsort(end, kind="stable")
+        self.start, end, self.number, log = start[order], end[order], number[order], log[order]
+        self.share = self._shares(places, end, log)
+        self.first = np.searchsorted(end, np.arange(places + 1, dtype=np.int32)).astype(np.int32)
+
+    def _shares(self, places: int, end: np.ndarray, log: np.ndarray) -> np.ndarray:
+        """For each edge, sorted by its end: the summed share of the edges to this end, itself included."""
+        long = end - self.start > 1
+        crossed = np.cumsum(np.bincount(self.start[long] + 1, minlength=places) - np.bincount(end[long], minlength=places))
+        cut = crossed[:places] == 0
+        last_cut = np.maximum.accumulate(np.where(cut, np.arange(places), 0))
+        before = np.concatenate([[0], last_cut[:-1]])
+        depth = end - before[end]  # steps since the last cut before the end
+        total = np.zeros(places)
+        way = np.zeros(len(end))
+        by_depth = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
+        bounds = np.searchsorted(depth[by_depth], np.arange(1, (int(depth.max()) if len(depth) else 0) + 2))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            edges = by_depth[a:b]
+            to = end[edges]
+            got = total[self.start[edges]] + log[edges]
+            way[edges] = got
+            heads = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            top = np.maximum.reduceat(got, heads)
+            runs = np.diff(np.append(heads, len(got)))
+            value = top + np.log(np.add.reduceat(np.exp(got - np.repeat(top, runs)), heads))
+            # a cut begins anew: only differences behind it count
+            total[to[heads]] = np.where(cut[to[heads]], 0.0, value)
+            way[edges] = got - np.repeat(value, runs)
+        share = np.cumsum(np.exp(way))
+        heads = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]])) if len(end) else np.zeros(0, np.int64)
+        runs = np.diff(np.append(heads, len(end)))
+        share -= np.repeat(np.concatenate([[0.0], share])[heads], runs)
+        if len(heads):
+            share[np.append(heads[1:], len(end)) - 1] = 2.0  # the last edge takes what rounding leaves
+        return share
 
 
 @cache
@@ -118,49 +201,32 @@ def draws(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    """Segments batches of texts; keeps the forward passes of chunks it has met."""
+    """Segments groups of texts."""
 
     def __init__(self, pieces: Pieces, seed: int = SEED):
         self.pieces, self.seed = pieces, seed
-        self._forget()
-
-    def _forget(self):
-        self.known: dict[str, int] = {}
-        self.base, self.size = [], []  # of a chunk: its place 0 among all nodes, its length
-        self.nodes = 0
-        self.share, self.start, self.piece = [], [], []
-        self.flat = (np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def _number(self, chunk: str) -> int:
-        got = self.known.get(chunk)
-        if got is None:
-            got = self.known[chunk] = len(self.base)
-            shares, starts, pieces = self.pieces.forward(chunk)
-            self.base.append(self.nodes)
-            self.size.append(1 if chunk == LITERAL else len(chunk))
-            self.share.append(np.array(shares) + self.nodes)
-            self.start.append(np.array(starts, np.int64) + self.nodes)
-            self.piece.append(np.array(pieces, np.int64))
-            self.nodes += len(chunk) + 1
-        return got
 
     def encode(self, keys: list, texts: list[str]) -> list[np.ndarray]:
         """The sampled ids of each text."""
-        if len(self.known) > CACHE:
-            self._forget()
+        out, a, held = [], 0, 0
+        for b, text in enumerate(texts, 1):
+            held += len(text)
+            if held >= GROUP or b == len(texts):
+                out += self._group(keys[a:b], texts[a:b])
+                a, held = b, 0
+        return out
+
+    def _group(self, keys: list, texts: list[str]) -> list[np.ndarray]:
         # a literal mark is no space: it stands apart, in byte pieces
         found, owner_n = [], []
         for t in texts:
             own = _around_marks(t) if MARK in t else chunks(t) if t else []
             found += own
             owner_n.append(len(own))
-        get = self._number
-        number = np.fromiter(map(get, found), np.int64, len(found))
-        if self.share:
-            self.flat = tuple(np.concatenate([old, *new]) for old, new in zip(self.flat, (self.share, self.start, self.piece), strict=True))
-            self.share, self.start, self.piece = [], [], []
-        share, start, piece = self.flat
-        base, size = np.array(self.base, np.int64)[number], np.array(self.size, np.int64)[number]
+        known: dict[str, int] = defaultdict(count().__next__)
+        number = np.fromiter(map(known.__getitem__, found), np.int32, len(found))
+        lattice = Lattice(self.pieces, list(known))
+        base, size = lattice.base[number], lattice.size[number]
         owner = np.repeat(np.arange(len(texts)), owner_n)
         before = np.cumsum(size) - size
         first = np.concatenate([[0], np.cumsum(owner_n)[:-1]]).astype(np.int64)
@@ -169,16 +235,21 @@ class Sampler:
         node, live = base + size, np.arange(len(number))
         steps = []
         while len(live):
-            u = draws(seeds[live], at_text[live] + node[live] - base[live])
-            edge = np.searchsorted(share, node[live] + u, "right")
-            steps.append((live, piece[edge]))
-            node[live] = start[edge]
+            here = node[live]
+            u = draws(seeds[live], at_text[live] + here - base[live])
+            edge = lattice.first[here]
+            more = np.flatnonzero(lattice.share[edge] <= u)
+            while len(more):
+                edge[more] += 1
+                more = more[lattice.share[edge[more]] <= u[more]]
+            steps.append((live, lattice.number[edge]))
+            node[live] = lattice.start[edge]
             live = live[node[live] > base[live]]
-        count = np.zeros(len(number), np.int64)
+        length = np.zeros(len(number), np.int64)
         for live, _ in steps:
-            count[live] += 1
-        end = np.cumsum(count)
-        ids = np.zeros(int(end[-1]) if len(end) else 0, np.int64)
+            length[live] += 1
+        end = np.cumsum(length)
+        ids = np.zeros(int(end[-1]) if len(end) else 0, np.int32)
         for k, (live, got) in enumerate(steps):
             ids[end[live] - 1 - k] = got
         cuts = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(owner_n)]).astype(np.int64)]
@@ -188,12 +259,12 @@ class Sampler:
         """Byte pieces for characters without a piece; a literal mark counts as such."""
         odd = np.flatnonzero(ids < 0)
         if not len(odd):
-            return ids.astype(np.int32)
+            return ids
         out, last = [], 0
         for i in odd:
-            out += [ids[last:i], np.array([self.pieces.byte_number[b] for b in chr(-int(ids[i]) - 1).encode()], np.int64)]
+            out += [ids[last:i], np.array([self.pieces.byte_number[b] for b in chr(-int(ids[i]) - 1).encode()], np.int32)]
             last = i + 1
-        return np.concatenate([*out, ids[last:]]).astype(np.int32)
+        return np.concatenate([*out, ids[last:]])
 
     def decode(self, ids) -> str:
         return b"".join(map(self.pieces.bytes.__getitem__, ids)).decode()[1:] if len(ids) else ""
@@ -220,12 +291,14 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
             keys, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             ids = sampler.encode(keys, [t or "" for t in texts])
             same = [None if t is None else sampler.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
-            ids = [None if t is None else x for x, t in zip(ids, texts, strict=True)]
-            return {"id": batch.column("id"), "ids": ids, "n_pieces": [None if x is None else len(x) for x in ids], "lossless": same}
+            none = pa.array([t is None for t in texts], pa.bool_())
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids or [np.zeros(0, np.int32)]), pa.int32()), mask=none)
+            return {"id": batch.column("id"), "ids": flat, "n_pieces": [None if t is None else len(x) for x, t in zip(ids, texts, strict=True)], "lossless": same}
 
         return do
 
-    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), f"id {kind}, ids array<int>, n_pieces long, lossless boolean", work, rows=500).withColumnRenamed("id", id_col)
+    return map_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), f"id {kind}, ids array<int>, n_pieces long, lossless boolean", work, rows=2000).withColumnRenamed("id", id_col)
 
 
 def decode_texts(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "text", theta: float = THETA) -> DataFrame:
