@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -211,3 +213,10 @@ def end_mark(text: Column) -> Column:
     for name, marks in END_MARKS.items():
         out = F.when(last.isin(*marks), name).otherwise(out)
     return out
+
+
+def rendered(template: str, values: dict[str, Column]) -> Column:
+    """A template whose {names} are replaced by values; a null value is empty, names without a value stay."""
+    parts = re.split(r"\{(\w+)\}", template)
+    told = [F.lit(p) if i % 2 == 0 else F.coalesce(values[p].cast("string"), F.lit("")) if p in values else F.lit("{" + p + "}") for i, p in enumerate(parts)]
+    return F.concat(*told)

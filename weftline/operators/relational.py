@@ -171,3 +171,12 @@ def longest_name(texts: DataFrame, text: str, names: DataFrame, name: str, tie:
     hits = asked.join(keyed, "_word").where(F.contains(F.lower(text), F.lower(name)))
     best = F.max(F.struct(F.length(name).alias("n"), (-F.col(tie)).alias("t"), F.col(name).alias("x")))
     return hits.groupBy(text).agg(best.alias("_b")).select(text, F.col("_b.x").alias(name))
+
+
+def bundle_digests(df: DataFrame, keys: Sequence[Column], place: Column, entry: Column, block: int) -> DataFrame:
+    """(keys, keys n, digest): SHA-256 over the digests of blocks of ``block`` places, each over its entries in order."""
+    rows = df.select(*keys, F.floor(place / block).alias("_block"), place.alias("_place"), entry.alias("_entry"))
+    names = [c for c in rows.columns if not c.startswith("_")]
+    sha = lambda parts, sep: F.sha2(F.array_join(parts, sep).cast("binary"), 256)
+    blocks = rows.groupBy(*names, "_block").agg(F.count(F.lit(1)).alias("_n"), sha(F.array_sort(F.collect_list(F.struct("_place", "_entry")))["_entry"], ",").alias("_digest"))
+    return blocks.groupBy(*names).agg(F.sum("_n").alias("keys"), sha(F.array_sort(F.collect_list(F.struct("_block", "_digest")))["_digest"], "").alias("digest"))

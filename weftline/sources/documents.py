@@ -164,11 +164,20 @@ def named_elements(df: DataFrame, keep: Sequence[str], text: str, element: str,
     return found.withColumn("value", unescape_markup(inner))
 
 
+def _tagged(seg: Column) -> Column:
+    """The inline elements of a segment as codes: bpt and ept by i open and close one, ph and it by x stand alone; hi goes."""
+    out = F.replace(F.replace(seg, F.lit("⟦"), F.lit("⟦⟦")), F.lit("⟧"), F.lit("⟧⟧"))
+    for tag, name, form in (("bpt", "i", "⟦$1⟧"), ("ept", "i", "⟦/$1⟧"), ("ph", "x", "⟦$1/⟧"), ("it", "x", "⟦$1/⟧")):
+        out = F.regexp_replace(out, rf'(?s)<{tag}\b[^>]*?\b{name}="(\w+)"[^>]*?(?:/>|>.*?</{tag}>)', form)
+    return F.regexp_replace(out, r"</?hi\b[^>]*>", "")
+
+
 def read_tmx(spark: SparkSession, path: str) -> DataFrame:
-    """(n_langs, lang, text) a variant, by unit, through Spark's XML source: large memories are split by their units."""
-    rows = spark.read.format("xml").option("rowTag", "tu").schema("tuv array<struct<`_xml:lang`:string,seg:string>>").load(path)
+    """(unit, lang, text) a variant, through Spark's XML source: large memories are split by their units. Units in fewer
+    than two languages are left out; inline elements become codes."""
+    rows = spark.read.format("xml").option("rowTag", "tu").schema("tuv array<struct<`_xml:lang`:string,_lang:string,seg:string>>").load(path)
     told = rows.where(F.size("tuv") >= 2).withColumn("unit", F.sha2(F.to_json("tuv").cast("binary"), 256))
-    return told.select("unit", F.explode("tuv").alias("v")).select("unit", F.col("v")["_xml:lang"].alias("lang"), F.col("v.seg").alias("text"))
+    return told.select("unit", F.explode("tuv").alias("v")).select("unit", F.coalesce(F.col("v")["_xml:lang"], F.col("v._lang")).alias("lang"), _tagged(F.col("v.seg")).alias("text"))
 
 
 def memory_pairs(variants: DataFrame, source: str, target: str) -> DataFrame:
@@ -180,9 +189,9 @@ def memory_pairs(variants: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def write_tmx(pairs: DataFrame, path: str, source: str, target: str) -> None:
-    """A memory as XML, one file a partition."""
-    side = lambda lang, c: F.struct(F.lit(lang).alias("_xml:lang"), F.col(c).alias("seg"))
-    pairs.select(F.array(side(source, "source"), side(target, "target")).alias("tuv")).write.format("xml").option("rootTag", "tmx").option("rowTag", "tu").save(path)
+    """A memory as XML, one file a partition. The writer knows no xml: attributes, so languages stand in ``lang``."""
+    side = lambda lang, c: F.struct(F.lit(lang).alias("_lang"), F.col(c).alias("seg"))
+    pairs.select(F.array(side(source, "source"), side(target, "target")).alias("tuv")).write.format("xml").option("rootTag", 'tmx version="1.4"').option("rowTag", "tu").save(path)
 
 
 # Names that columns and kinds of a glossary go by.
