@@ -31,5 +31,5 @@ def overlap_counts(df: DataFrame, keys: Sequence[str], first: str, last: str, na
     w = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     counted = every.select("*", F.sum((F.col("_kind") == 3).cast("long")).over(w).alias("_starts"), F.sum((F.col("_kind") == 1).cast("long")).over(w).alias("_ends"))
     asked = counted.where("_kind in (0, 2)").select("_row", "_kind", F.when(F.col("_kind") == 0, F.col("_starts")).otherwise(-F.col("_ends")).alias("_n"))
-    own = F.when(F.col("_row")[first] < F.col("_row")[last], F.lit(1)).otherwise(F.lit(0))
+    own = F.when(F.col("_row")[first] < F.col("_row")[last], F.lit(1)).otherwise(F.lit(-1))
     return asked.groupBy("_row").agg(F.sum("_n").alias("_s")).select("_row.*", (F.col("_s") - own).alias(name))
