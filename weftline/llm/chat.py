@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import written
 
-HEAD, END = "### ", " </turn>\n"
+HEAD, END, BLOCK = "### ", " </turn>\n", 100
 
 
 def escape(text: Column, colon: bool = False) -> Column:
@@ -31,9 +31,19 @@ def unescape(text: Column) -> Column:
 
 
 def turns_as_trees(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Linear conversations as messages: id (conversation and place), parent (the turn before), score 0."""
-    order = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    placed = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text")).withColumn("at", F.row_number().over(order))
+    """Linear conversations as messages: id (conversation and place), parent (the turn before), score 0.
+
+    Places are counted within blocks of ``BLOCK`` turn numbers, to which the rows of earlier blocks are added: a
+    conversation with a large share of all rows is spread over many tasks.
+    """
+    told = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+    told = told.withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**62))))
+    counts = told.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("conv", "block", (F.sum("n").over(Window.partitionBy("conv").orderBy("block")) - F.col("n")).alias("before"))
+    order = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
+    inside = told.withColumn("inside", F.row_number().over(order)).alias("t")
+    same = F.col("t.conv").eqNullSafe(F.col("b.conv")) & (F.col("t.block") == F.col("b.block"))
+    placed = inside.join(before.alias("b"), same).select("t.conv", "t.role", "t.text", (F.col("inside") + F.col("before")).alias("at"))
     key = F.coalesce(F.col("conv").cast("string"), F.lit("null"))
     return placed.select(F.concat_ws("/", key, "at").alias("id"), F.when(F.col("at") > 1, F.concat_ws("/", key, F.col("at") - 1)).alias("parent"), "conv", "role", "text", F.lit(0.0).alias("score"))
 
@@ -43,7 +53,7 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     leaf, with each message's distance from the leaf. The joins' rounds grow with the logarithm of the depth."""
     nodes = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     parents = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
-    step = cut(nodes.join(parents, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("to"), "score", F.lit(1).alias("n")))
+    step = written(nodes.join(parents, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("to"), "score", F.lit(1).alias("n")))
     leaves = step.select("id").join(step.select(F.col("to").alias("id")).where("id is not null").distinct(), "id", "left_anti")
     reach, rounds = [step], 0
     while not reach[-1].where("to is not null").isEmpty():
@@ -54,7 +64,7 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
         rounds += 1
         if rounds > 40:  # over 2**40 levels: what is left hangs on a cycle
             break
-        reach.append(cut(new))
+        reach.append(written(new))
         if rounds >= 2 and rounds % 6 == 0 and _only_cycles(reach[-1], reach[-2]):
             break
     done = reach[-1].where("to is null").select("id", "score", "n")
@@ -63,7 +73,8 @@ def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     paths = ranked.where(F.col("rank") <= top).select(F.col("id").alias("path"), "id", F.lit(0).alias("up"))
     for k, jump in enumerate(reach[:-1]):
         over = jump.where("to is not null").select("id", "to")
-        paths = paths.unionByName(paths.join(over, "id").select("path", F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up")))
+        # written each time: every round names the paths twice
+        paths = written(paths.unionByName(paths.join(over, "id").select("path", F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up"))))
     return paths
 
 

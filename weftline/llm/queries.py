@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import chat, decontam, interpolation, licenses, linededup, pieces, quality, simhash, toxicity, warc
-from weftline.llm.common import cut, table
+from weftline.llm.common import table, written
 
 TOKENIZERS = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
 PIECE_MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -52,7 +52,7 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text"))
-    messages = cut(chat.turns_as_trees(rows.unionByName(extra)))
+    messages = written(chat.turns_as_trees(rows.unionByName(extra)))
     formatted = chat.format_paths(messages, chat.chosen_paths(messages))
     conv = F.split("path", "/")[0]
     read = formatted.select(F.when(conv != "null", conv.cast("long")).alias("conv_id"), "formatted", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss")).alias("loss"))
