@@ -126,3 +126,29 @@ def decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     utf8 = F.concat(F.lit("é€ "), name).cast("binary")
     western = F.concat(F.unhex(F.lit("E98020")), name.cast("binary"))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), D.decoded(utf8).alias("utf8"), D.decoded(western).alias("western"))
+
+
+@query("s55_tbx", "select p_brand as brand, 'en' as lang, p_name || ' & co' as term from part union all select p_brand, 'de', upper(p_name) from part")
+def tbx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    section = lambda lang, term: F.concat(F.lit(f'<langSec xml:lang="{lang}"><termSec><term>'), D.escape_markup(term), F.lit("</term></termSec></langSec>"))
+    entry = F.concat(F.lit('<conceptEntry id="c">'), section("en", F.concat(F.col("p_name"), F.lit(" & co"))), section("de", F.upper("p_name")), F.lit("</conceptEntry>"))
+    return D.tbx(files(spark, sf_dir, entry, head="<tbx><text><body>", tail="</body></text></tbx>"), ["brand"], "text").select("brand", "lang", "term")
+
+
+@query("s39_plural_strings", "select p_brand as brand, 'part.' || p_partkey as key, 'one' as category, p_name as value from part union all select p_brand, 'part.' || p_partkey, 'other', p_type from part")
+def plural_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    form = lambda name, value: F.concat(F.lit(f"<key>{name}</key><string>"), value, F.lit("</string>"))
+    entry = F.concat(F.lit("<key>"), key(), F.lit("</key><dict><key>NSStringLocalizedFormatKey</key><string>%#@n@</string><key>n</key><dict>"), form("one", F.col("p_name")), form("other", F.col("p_type")), F.lit("</dict></dict>"))
+    return D.plural_strings(files(spark, sf_dir, entry, head="<plist><dict>", tail="</dict></plist>"), ["brand"], "text").select("brand", "key", "category", "value")
+
+
+@query("s57_s37_catalogues", PARTS.replace("select p_brand as brand,", "select 'android' as form, p_brand as brand,") + " union all " + PARTS.replace("select p_brand as brand,", "select 'strings' as form, p_brand as brand,") + " union all " + PARTS.replace("select p_brand as brand,", "select 'properties' as form, p_brand as brand,"))
+def catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One catalogue in several forms."""
+    texts = {
+        "android": files(spark, sf_dir, F.concat(F.lit('<string name="'), key(), F.lit('">'), D.escape_markup(value()), F.lit("</string>")), head="<resources>", tail="</resources>"),
+        "strings": files(spark, sf_dir, F.concat(F.lit('"'), key(), F.lit('" = "'), D.escaped(value()), F.lit('";'))),
+        "properties": files(spark, sf_dir, F.concat(key(), F.lit("="), value())),
+    }
+    found = [D.catalogue(text, form, ["brand"], "text").select(F.lit(form).alias("form"), "brand", "key", "value") for form, text in texts.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +76,13 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = arriving_batch(spark, sf_dir).agg(F.max("at").cast("timestamp").alias("newest"))  # one row
     closed = found.crossJoin(F.broadcast(newest)).where(F.col("end") - F.expr("interval 10 minutes") < F.col("newest") - F.expr("interval 75 minutes"))
     return closed.select("org_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("t04_t06_stream_routed", "select event_type as kind, count(*) as n from events where event_type in ('click', 'error') group by event_type")
+def stream_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stream written to a table a kind, batch by batch."""
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    sinks = {kind: f"{path}/{kind}" for kind in ("click", "error")}
+    S.routed(arriving(spark, sf_dir), sinks, f"{path}/state").awaitTermination()
+    read = [spark.read.parquet(where).select(F.lit(kind).alias("kind")) for kind, where in sinks.items()]
+    return read[0].union(read[1]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))

@@ -271,3 +271,12 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that stand twice in a row. A back-reference is needed, which the oracle's regexes lack."""
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?iU)\b([^\W\d_]+)\s+\1\b")).alias("n"))
+
+
+@query("f51_half_even", """
+with told as (select l_orderkey as job, l_linenumber as line, l_partkey as part, l_suppkey as supplier, l_quantity as q, (l_extendedprice::decimal(12,2) * 100)::bigint * 125 as x from lineitem)
+select job, line, part, supplier, q, (x // 1000 + case when x % 1000 > 500 or (x % 1000 = 500 and (x // 1000) % 2 = 1) then 1 else 0 end) / 100.0::double as half_even from told""")
+def half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cents rounded to the even one at a half, in decimals."""
+    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_quantity").alias("q"), F.bround(price * F.lit("0.125").cast("decimal(4,3)"), 2).cast("double").alias("half_even"))

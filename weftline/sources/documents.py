@@ -164,6 +164,44 @@ def named_elements(df: DataFrame, keep: Sequence[str], text: str, element: str,
     return found.withColumn("value", unescape_markup(inner))
 
 
+def tbx(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
+    """(keep, n, lang, term) of TBX entries, versions 2 (termEntry, langSet) and 3 (conceptEntry, langSec)."""
+    entries = _units(df, keep, _pairs(F.col(text), r"(?s)<(?:termEntry|conceptEntry)\b[^>]*>(.*?)</(?:termEntry|conceptEntry)>", ["body"]))
+    sections = _pairs(F.col("body"), r'(?s)<(?:langSet|langSec)\b[^>]*?xml:lang="([^"]*)"[^>]*>(.*?)</(?:langSet|langSec)>', ["lang", "section"])
+    each = entries.select(*keep, "n", F.explode(sections).alias("s")).select(*keep, "n", "s.*")
+    return each.select(*keep, "n", "lang", F.explode(F.regexp_extract_all("section", F.lit(r"(?s)<term\b[^>]*>(.*?)</term>"), F.lit(1))).alias("term")).withColumn("term", unescape_markup(F.col("term")))
+
+
+def plural_strings(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
+    """(keep, n, key, category, value) of the plural forms in a property list."""
+    entries = _units(df, keep, _pairs(F.col(text), r"(?s)<key>([^<]+)</key>\s*<dict>\s*<key>NSStringLocalizedFormatKey</key>(.*?)</dict>\s*</dict>", ["key", "body"]))
+    forms = _pairs(F.col("body"), r"(?s)<key>(zero|one|two|few|many|other)</key>\s*<string>(.*?)</string>", ["category", "value"])
+    return entries.select(*keep, "n", "key", F.explode(forms).alias("f")).select(*keep, "n", "key", F.col("f.category").alias("category"), unescape_markup(F.col("f.value")).alias("value"))
+
+
+def catalogue(df: DataFrame, form: str, keep: Sequence[str], text: str) -> DataFrame:
+    """(keep, key, value) of a string catalogue in any of the forms of ``CATALOGUES``."""
+    return CATALOGUES[form](df, keep, text).select(*keep, "key", "value")
+
+
+def _entries(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
+    return gettext(df, keep, text).select(*keep, F.when(F.col("context") != "", F.concat_ws("\u0004", "context", "source")).otherwise(F.col("source")).alias("key"), F.col("target").alias("value"))
+
+
+#: ARB and the JSON families are flat or nested JSON; ARB's @ keys describe others.
+CATALOGUES = {
+    "json": flat_json,
+    "arb": lambda df, keep, text: flat_json(df, keep, text).where(~F.startswith("key", F.lit("@"))),
+    "android": lambda df, keep, text: named_elements(df, keep, text, "string"),
+    "resx": lambda df, keep, text: named_elements(df, keep, text, "data", value="value"),
+    "strings": apple_strings,
+    "properties": properties,
+    "yaml": yaml_scalars,
+    "gettext": _entries,
+    "xliff": lambda df, keep, text: xliff(df, keep, text).select(*keep, F.col("id").alias("key"), F.coalesce("target", "source").alias("value")),
+}
+
+
 def _tagged(seg: Column) -> Column:
     """The inline elements of a segment as codes: bpt and ept by i open and close one, ph and it by x stand alone; hi goes."""
     out = F.replace(F.replace(seg, F.lit("⟦"), F.lit("⟦⟦")), F.lit("⟧"), F.lit("⟧⟧"))
