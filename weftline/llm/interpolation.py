@@ -4,7 +4,7 @@ P(w|h) = l2 c(h,w)/c(h) + l1 c(w)/N + l0/(V+1), with weights l for each bucket o
 are learned by expectation-maximisation on held-out counts: one fold of the training documents is deleted from the
 counts and its tokens are predicted from the rest. Counts cover all training documents.
 
-How it runs. Tokens are packed into blocks of a few million, written as a table: document ids, token numbers and the
+How it runs. Tokens are packed into blocks of two million, written as a table: document ids, token numbers and the
 64-bit hashes of the block's distinct words. Each block then sends its distinct words and word pairs with their counts, cut by
 ranges of hash into buckets, once: a pair costs a few bytes, and a hot word or pair arrives at most once a block. The
 number of buckets follows the tokens, so a bucket fits a task at any size. A bucket sums its keys and sends the totals back
@@ -32,7 +32,7 @@ from pyspark.sql.types import _parse_datatype_string
 from weftline.llm.common import map_batches, remainder, spaced_words, written
 
 FOLDS, TEST_FOLD, DELETED_FOLD = 7, 2, 3
-BLOCK_TOKENS, BUCKET_TOKENS = 3_000_000, 4_000_000
+BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
 END = xxhash.xxh64_intdigest(b" end", 0)  # no word holds a space
 START = xxhash.xxh64_intdigest(b" start", 0)
 CONTEXT_BUCKETS, STEP, LEVELS = 40, 2, 80
