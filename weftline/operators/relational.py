@@ -33,21 +33,27 @@ def overlay(main: DataFrame, branch: DataFrame, keys: Sequence[str]) -> DataFram
     return upsert(main, branch, keys)
 
 
-def most_specific(rows: DataFrame, rules: DataFrame, columns: Sequence[str], row_id: Sequence[str], rule_id: str) -> DataFrame:
-    """Each row with its most specific rule: a null in a rule matches everything, more set columns win, then the rule id.
+def most_specific(rows: DataFrame, rules: DataFrame, columns: Sequence[str], rule_id: str) -> DataFrame:
+    """Each row that a rule matches, with the values of the most specific one: a null in a rule matches everything, more set
+    columns win, then the smaller rule id.
 
-    Instead of one join with ORs there is an equi-join for every set of columns that some rule sets: at most 2 to the
-    number of columns, and each shuffles or broadcasts as Spark sees fit.
+    Instead of one join with ORs there is a left equi-join for every set of columns that some rule sets (at most 2 to the
+    number of columns), each against rules with one row a key: the rows are read once and stay where they are while
+    Spark finds the rules small enough to send.
     """
+    values = [c for c in rules.columns if c not in columns and c != rule_id]
     shape = F.concat(*(F.when(F.col(c).isNull(), "0").otherwise("1") for c in columns))
     shaped = rules.withColumn("_shape", shape)
-    found = None
+    out, hits = rows, []
     for bits in sorted(r[0] for r in shaped.select("_shape").distinct().collect()):
         on = [c for c, bit in zip(columns, bits, strict=True) if bit == "1"]
-        own = shaped.where(F.col("_shape") == bits).drop("_shape", *(c for c in columns if c not in on))
-        hit = (rows.join(own, on) if on else rows.crossJoin(F.broadcast(own.orderBy(rule_id).limit(1)))).withColumn("_set", F.lit(len(on)))
-        found = hit if found is None else found.unionByName(hit)
-    return latest_wins(found, row_id, [F.col("_set").desc(), F.col(rule_id)]).drop("_set")
+        first = F.min(F.struct(F.lit(-len(on)).alias("_set"), rule_id, *values)).alias(f"_rule{bits}")
+        own = shaped.where(F.col("_shape") == bits)
+        # without columns there is one row
+        out = out.join(own.groupBy(*on).agg(first), on, "left") if on else out.crossJoin(F.broadcast(own.agg(first)))
+        hits.append(f"_rule{bits}")
+    best = out.withColumn("_best", F.array_min(F.array_compact(F.array(*hits)))).where(F.col("_best").isNotNull())
+    return best.select(*rows.columns, *(F.col("_best")[c].alias(c) for c in (rule_id, *values)))
 
 
 def fifo_draws(lots: DataFrame, demand: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -212,7 +212,7 @@ select id, rule, rate::double as rate from ranked where k = 1""")
 def most_specific_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each job's most specific rate; a null in a rule matches everything."""
     rates = spark.createDataFrame(RULES, "rule int, content_type string, target_lang string, rate double")
-    return ops.most_specific(jobs(spark, sf_dir).select("id", "content_type", "target_lang"), rates, ["content_type", "target_lang"], ["id"], "rule").select("id", "rule", "rate")
+    return ops.most_specific(jobs(spark, sf_dir).select("id", "content_type", "target_lang"), rates, ["content_type", "target_lang"], "rule").select("id", "rule", "rate")
 
 
 @query("p19_hidden_money", f"with {JOBS} select state, count(*) as n, cast(null as double) as revenue from jobs group by state")
