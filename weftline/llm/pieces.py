@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import map_batches
 
 #: LITERAL stands for a mark of the text among the chunks: no chunk has a mark after another character.
-MARK, LITERAL, GROUP, SEED, THETA = "▁", "x▁", 1_500_000, 20, 1.0
+MARK, LITERAL, GROUP, SEED, THETA = "▁", "x▁", 400_000, 20, 1.0
 
 
 class Pieces:
