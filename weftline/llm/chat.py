@@ -50,45 +50,38 @@ def turns_as_trees(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", r
 
 def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """Messages (id, parent, score) to (path, id, up): the ``top`` best root-to-leaf paths of each tree, named by their
-    leaf, with each message's distance from the leaf. The joins' rounds grow with the logarithm of the depth."""
+    leaf, with each message's distance from the leaf. The joins' rounds grow with the logarithm of the depth; a message
+    that has found its root takes part in no further one."""
     nodes = messages.select("id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     parents = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there"))
     step = written(nodes.join(parents, "parent", "left").select("id", F.when(F.col("there"), F.col("parent")).alias("to"), "score", F.lit(1).alias("n")))
     leaves = step.select("id").join(step.select(F.col("to").alias("id")).where("id is not null").distinct(), "id", "left_anti")
-    reach, rounds = [step], 0
-    while not reach[-1].where("to is not null").isEmpty():
-        now = reach[-1]
-        on = now.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("score").alias("s2"), F.col("n").alias("n2"), F.lit(True).alias("hit"))
+    done = step.where("to is null")
+    levels = [step.where("to is not null")]
+    while not levels[-1].isEmpty():
+        now = levels[-1]
+        there = now.unionByName(done).select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("score").alias("s2"), F.col("n").alias("n2"))
         # "to" is exclusive in score and n: a jump over "to" adds what stands from there on
-        new = now.join(on, "to", "left").select("id", F.col("to2").alias("to"), (F.col("score") + F.coalesce("s2", F.lit(0.0))).alias("score"), (F.col("n") + F.coalesce("n2", F.lit(0))).alias("n"))
-        rounds += 1
-        if rounds > 40:  # over 2**40 levels: what is left hangs on a cycle
+        new = written(now.join(there, "to").select("id", F.col("to2").alias("to"), (F.col("score") + F.col("s2")).alias("score"), (F.col("n") + F.col("n2")).alias("n")))
+        ended = new.where("to is null")
+        if ended.isEmpty():  # depths have no gaps: what is left hangs on a cycle
             break
-        reach.append(written(new))
-        if rounds >= 2 and rounds % 6 == 0 and _only_cycles(reach[-1], reach[-2]):
-            break
-    done = reach[-1].where("to is null").select("id", "score", "n")
-    roots = _roots(reach, leaves)
-    ranked = roots.join(done, "id").withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy((F.col("score") / F.col("n")).desc(), F.col("n").desc(), "id")))
-    paths = ranked.where(F.col("rank") <= top).select(F.col("id").alias("path"), "id", F.lit(0).alias("up"))
-    for k, jump in enumerate(reach[:-1]):
-        over = jump.where("to is not null").select("id", "to")
+        done = done.unionByName(ended)
+        levels.append(new.where("to is not null"))
+    roots = _roots(levels, leaves)
+    ranked = roots.join(done.select("id", "score", "n"), "id").withColumn("rank", F.row_number().over(Window.partitionBy("root").orderBy((F.col("score") / F.col("n")).desc(), F.col("n").desc(), "id")))
+    paths = written(ranked.where(F.col("rank") <= top).select(F.col("id").alias("path"), "id", F.lit(0).alias("up")))
+    for k, jump in enumerate(levels):
         # written each time: every round names the paths twice
-        paths = written(paths.unionByName(paths.join(over, "id").select("path", F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up"))))
+        paths = paths.unionByName(written(paths.join(jump.select("id", "to"), "id").select("path", F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up"))))
     return paths
 
 
-def _only_cycles(now: DataFrame, before: DataFrame) -> bool:
-    """No message found its root in the last round: those without one never will."""
-    return now.where("to is null").count() == before.where("to is null").count()
-
-
-def _roots(reach: list[DataFrame], leaves: DataFrame) -> DataFrame:
+def _roots(levels: list[DataFrame], leaves: DataFrame) -> DataFrame:
     """(id, root) of each leaf: jump as far as there is something to jump to, largest jumps first."""
     at = leaves.select("id", F.col("id").alias("root"))
-    for jump in reversed(reach[:-1]):
-        over = jump.where("to is not null").select(F.col("id").alias("root"), "to")
-        at = at.join(over, "root", "left").select("id", F.coalesce("to", "root").alias("root"))
+    for jump in reversed(levels):
+        at = at.join(jump.select(F.col("id").alias("root"), "to"), "root", "left").select("id", F.coalesce("to", "root").alias("root"))
     return at
 
 
