@@ -22,7 +22,8 @@ def folder(spark: SparkSession) -> str:
 
 
 def arriving(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.source(spark, f"{sf_dir}/events.parque[t]")  # a pattern, for the table may be one file
+    """The whole table in one batch: its files are in no order of time, so that in several batches older events would be late."""
+    return S.source(spark, f"{sf_dir}/events.parque[t]", None)  # a pattern, for the table may be one file
 
 
 @query("t01_t12_stream_once", f"""with {USAGE} select org_id, kind, strftime("at", '%Y-%m-%d') as day from usage group by all""")

@@ -18,9 +18,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def source(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Events as they arrive as files below ``path``."""
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def source(spark: SparkSession, path: str, files_per_trigger: int | None = 100) -> DataFrame:
+    """Events as they arrive as files below ``path``; None takes all files that are there in one batch.
+
+    With a limit, files must come in time order within the delay of what follows, or their older events are late and go.
+    """
+    reader = spark.readStream.schema(EVENTS)
+    raw = (reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)).parquet(path)
     return raw.select(F.col("event_id").alias("id"), F.col("user_id").alias("org_id"), F.col("event_type").alias("kind"), F.col("value").cast("decimal(14,2)").alias("amount"), F.col("ts").cast("timestamp").alias("at"))
 
 
@@ -45,7 +49,10 @@ FAILURES = "org_id long, longest long, disabled boolean"
 
 
 def failure_runs(events: DataFrame, limit: int = 5) -> DataFrame:
-    """(org_id, longest, disabled): the longest run of errors so far of each organisation, whenever it grows."""
+    """(org_id, longest, disabled): the longest run of errors so far of each organisation, whenever it grows.
+
+    Events are sorted within a batch; batches must come in time order.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run, longest = state.get if state.exists else (0, 0)
