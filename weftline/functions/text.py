@@ -53,9 +53,13 @@ def found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def trigrams(text: Column) -> Column:
-    """Distinct trigrams of the words' letters and digits, each word padded by two spaces before and one after."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+# Letters with their marks and digits of any script; the narrow form is the one that SQL of f13 names.
+LETTERS, ASCII_LETTERS = r"[\p{L}\p{M}\p{N}]+", "[a-z0-9]+"
+
+
+def trigrams(text: Column, word: str = LETTERS) -> Column:
+    """Distinct trigrams of the lower-cased words, runs of ``word``, each padded by two spaces before and one after."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))
     padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
     return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
 

@@ -42,15 +42,15 @@ def inconsistencies(pairs: DataFrame, by: str, other: str) -> DataFrame:
     return grouped.where("others > 1")
 
 
-def similar_pairs(queries: DataFrame, rows: DataFrame, least: float = 0.3) -> DataFrame:
+def similar_pairs(queries: DataFrame, rows: DataFrame, least: float = 0.3, word: str = T.LETTERS) -> DataFrame:
     """(query, id, sim) of (query, text) against (id, text): Jaccard over distinct trigrams, at or above ``least``.
 
     An inverted index: both sides are exploded to trigrams and joined, and common trigrams are counted. A pair that
     reaches the least similarity shares a trigram among the rarest of each side (prefix filter), so only those are
     joined; candidates are then verified on the full sets.
     """
-    q = queries.select("query", T.trigrams(F.col("text")).alias("g")).where(F.size("g") > 0)
-    r = rows.select("id", T.trigrams(F.col("text")).alias("g")).where(F.size("g") > 0)
+    q = queries.select("query", T.trigrams(F.col("text"), word).alias("g")).where(F.size("g") > 0)
+    r = rows.select("id", T.trigrams(F.col("text"), word).alias("g")).where(F.size("g") > 0)
     each = r.select(F.explode("g").alias("t")).union(q.select(F.explode("g").alias("t")))
     freq = each.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
 

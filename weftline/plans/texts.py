@@ -62,11 +62,11 @@ with names as (select distinct p_name || ' ' || p_brand as name from part), told
 pairs as (select a.name as query, b.name as id, len(list_intersect(a.g, b.g)) as c, len(a.g) + len(b.g) as n from told a join told b on a.name <> b.name)
 select query, id, round(c::double / (n - c), 6) as sim from (select *, row_number() over (partition by query order by c::double / (n - c) desc, id) as r from pairs where c::double / (n - c) >= 0.5) where r <= 5""")
 def trigram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five most similar names of each name, by trigrams, at 0.5 or more."""
+    """The five most similar names of each name, by trigrams, at 0.5 or more. Words are those of the SQL: ASCII letters and digits."""
     from weftline.operators import relational as ops
 
     names = table(spark, sf_dir, "part").select(F.concat_ws(" ", "p_name", "p_brand").alias("text")).distinct()
-    found = memory.similar_pairs(names.select(F.col("text").alias("query"), "text"), names.select(F.col("text").alias("id"), "text"), 0.5).where("query != id")
+    found = memory.similar_pairs(names.select(F.col("text").alias("query"), "text"), names.select(F.col("text").alias("id"), "text"), 0.5, T.ASCII_LETTERS).where("query != id")
     return ops.top_per_group(found, ["query"], [F.col("sim").desc(), F.col("id")], 5).select("query", "id", F.round("sim", 6).alias("sim"))
 
 
