@@ -6,6 +6,8 @@ lines is found too, the shortest run of one or two lines with over ``long_words`
 Windows are compared through 128 bits of hash over all documents. The first occurrence, by id and then by position,
 stays; the lines that any later occurrence covers go, with blank lines between them.
 
+Lines are compared whole: a long passage inside different lines, or in a line with one other word, is not found and stays.
+
 Defined results: a null text stays null, an empty text stays empty. Rows equal in id and text are one document and
 get the same result. A null id sorts first. Empty tables give empty results. Other columns pass through unchanged.
 """
