@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructType
 
 #: bytes.lower() changes A-Z only; every byte that is no digit, letter or part of a non-ASCII character becomes a space.
 ALNUM = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in bytes(range(256)).lower())
@@ -28,7 +28,7 @@ def spaced_words(text: str | None) -> list[bytes]:
 
 def map_batches(df: DataFrame, schema: str, work: Callable[[], Callable], rows: int = 1000) -> DataFrame:
     """``work()`` runs once in a task and gives a function from a RecordBatch of at most ``rows`` rows to a dict of columns."""
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
         do = work()
@@ -54,10 +54,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder is set only where none is named, as in tests."""
+    """The cluster's spark.checkpoint.dir. Where it is unset, a temporary folder serves a local session, whose executor is
+    the driver; on a cluster this raises, for no folder of one machine is shared."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="weftline-"))
     return sc.getCheckpointDir()
 
 
@@ -76,3 +80,14 @@ def written(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def join_to_many(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``right`` (one row a key) joined to ``left``, whose keys may be hot.
+
+    Keys with over a thousandth of the rows, fewer than a thousand by that, are broadcast; the others are shuffled.
+    """
+    counts = left.groupBy(key).count()
+    hot = written(counts.where(F.col("count") > F.lit(left.count() / 1000)).select(key))
+    spread = left.join(F.broadcast(right.join(F.broadcast(hot), key, "left_semi")), key)
+    return spread.unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key))

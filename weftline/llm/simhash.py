@@ -19,14 +19,16 @@ doc_id that isn't null (null if all are); repeated rows each get their row; an e
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import golay
-from weftline.llm.common import cut, fresh, map_batches, spaced_words
+from weftline.llm.common import fresh, join_to_many, map_batches, spaced_words, written
 
 LIMIT, BLOCK, SMALL = 4, 8192, 8
 SHIFT, WIDE = (42, 21, 0), (22, 21, 21)
@@ -172,7 +174,7 @@ def links(nodes: DataFrame, parts: int) -> DataFrame:
         yield pack(done, blocks)
 
     checked = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(verify, "a long, b long, key long, block int, prints binary")
-    checked = cut(checked)
+    checked = written(checked)
     direct = checked.where("key is null").select("a", "b")
     blocks = checked.where("key is not null").select("key", "block", "prints")
 
@@ -197,7 +199,7 @@ def components(edges: DataFrame) -> DataFrame:
     nothing changes; the rounds grow with the logarithm of the component's length. Hot nodes are summed before they are
     shuffled and their joins are between slim rows, where Spark splits skewed partitions.
     """
-    tied = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    tied = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
     while True:
         both = tied.union(tied.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -205,7 +207,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
-        tied = cut(small)
+        tied = written(small)
         now = tied.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return tied.select(F.col("u").alias("node"), F.col("v").alias("root")).union(tied.select(F.col("v"), F.col("v")).distinct())
@@ -214,28 +216,54 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """(id, fp, component, root): one row per document; root is the smallest fingerprint of the component."""
-    prints = cut(fingerprints(docs, id_col, text_col, width))
-    nodes = cut(prints.groupBy("fp").agg(F.min("id").alias("first")))
+    prints = written(fingerprints(docs, id_col, text_col, width))
+    return join_to_many(prints, _known(prints), "fp").select("id", "fp", F.col("first.id").alias("component"), "root")
+
+
+def _known(prints: DataFrame) -> DataFrame:
+    """(fp, root, first) of each distinct print; first: the first row of its component, by id (null last), then print."""
+    nodes = written(prints.groupBy("fp").agg(F.min(_place("id", "fp")).alias("first")))
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), nodes.count() // 100_000)
     roots = components(links(nodes, parts))
-    known = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    ids = known.groupBy("root").agg(F.min("first").alias("component"))
-    return prints.join(known.join(ids, "root").select("fp", "root", "component"), "fp").select("id", "fp", "component", "root")
+    known = written(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"))
+    firsts = known.groupBy("root").agg(F.min("first").alias("first"))
+    return written(join_to_many(known.drop("first"), firsts, "root"))
+
+
+def _place(id_col: str, print_col: str) -> Column:
+    return F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col(print_col).alias("print"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """The document with the smallest id of each group; of rows with one id, one. Of a group of null ids one row stays too."""
-    found = near_duplicates(docs, id_col, text_col, width)
-    i, fp, root = (fresh(docs, x) for x in ("_kept_id", "_kept_fp", "_kept_root"))
-    kept = found.where("id = component").select(F.col("id").alias(i)).distinct()
-    with_id = docs.join(kept, docs[id_col] == F.col(i), "left_semi").dropDuplicates([id_col])
+    """One row of each group stays: the one with the smallest id (null last), of texts under one id the one with the
+    smallest fingerprint, of rows equal in both any one. Texts of different groups stay, whatever their ids."""
+    prints = written(fingerprints(docs, id_col, text_col, width))
+    firsts = _known(prints).select("first.id", "first.print").distinct()
+    return keep_rows(docs, prints.select("id", F.col("fp").alias("print")), firsts, id_col, text_col, lambda texts: np.array([fingerprint(x, width) for x in texts], np.uint64).view(np.int64))
 
-    def print_of(batches):
-        for batch in batches:
-            prints = np.array([fingerprint(x, width) for x in batch.column(text_col).to_pylist()], np.uint64)
-            yield batch.append_column(fp, pa.array(prints.view(np.int64)))
 
+def keep_rows(docs: DataFrame, found: DataFrame, firsts: DataFrame, id_col: str, text_col: str, print_of: Callable) -> DataFrame:
+    """The rows of ``docs`` whose (id, print) is in ``firsts``, one row for each. ``found``: (id, print) of all rows.
+
+    Rows go by id where an id has one row. Prints are made again, by ``print_of`` (a list of texts to longs), only for
+    the rows of repeated and null ids, so that no text is shuffled for the others.
+    """
+    one = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["print"] == b["print"])
+    lost = written(found.join(firsts, one(found, firsts), "left_anti").distinct())
+    odd = written(found.groupBy("id").count().where("count > 1 or id is null").select("id"))
+    i, p = fresh(docs, "_odd_id"), fresh(docs, "_odd_print")
+    gone = lost.where("id is not null").join(odd, "id", "left_anti").select(F.col("id").alias(i)).distinct()
+    rest = docs.join(gone, docs[id_col] == gone[i], "left_anti")
+    if odd.isEmpty():
+        return rest
+    named = odd.select(F.col("id").alias(i))
+    is_odd = rest[id_col].eqNullSafe(named[i])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    nameless = docs.where(F.col(id_col).isNull()).mapInArrow(print_of, f"{schema}, `{fp}` long")
-    alone = found.where("component is null").select(F.col("fp").alias(fp), F.col("root").alias(root)).distinct()
-    return with_id.unionByName(nameless.join(alone, fp).dropDuplicates([root]).drop(fp, root))
+
+    def told(batches):
+        for batch in batches:
+            yield batch.append_column(p, pa.array(print_of(batch.column(text_col).to_pylist()), pa.int64()))
+
+    again = rest.join(named, is_odd, "left_semi").mapInArrow(told, f"{schema}, `{p}` long")
+    again = again.join(lost, again[id_col].eqNullSafe(lost["id"]) & (again[p] == lost["print"]), "left_anti").dropDuplicates([id_col, p])
+    return rest.join(named, is_odd, "left_anti").unionByName(again.drop(p))
