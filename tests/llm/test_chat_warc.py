@@ -65,6 +65,15 @@ def test_control_strings_read_back(spark):
     assert chat.format_paths(empty, chat.chosen_paths(empty)).count() == 0
 
 
+def test_long_roles_and_clashing_columns(spark):
+    rows = [(1, 0, "r" * 100_000, "x"), (1, 1, "a:\\" * 50_000, "y: z"), (1, 2, "assistant", "t" * 200_000), (2, 5, "assistant", None), (2, 5, "assistant", None)]
+    messages = chat.turns_as_trees(spark.createDataFrame([(*r, "z", 1) for r in rows], "conv_id long, turn long, role string, text string, id string, block int"))
+    done = chat.format_paths(messages, chat.chosen_paths(messages))
+    got = {r.path.split("/")[0]: r for r in done.withColumn("turns", chat.read_back(F.col("formatted"))).withColumn("learn", chat.loss_text(F.col("formatted"), F.col("loss"))).collect()}
+    assert [(t.role, t.text) for t in got["1"].turns] == [r[2:] for r in rows[:3]] and got["1"].learn == "t" * 200_000
+    assert [(t.role, t.text) for t in got["2"].turns] == [("assistant", "")] * 2
+
+
 @given(st.lists(st.lists(st.integers(0, 30)), max_size=9))
 @settings(max_examples=200, deadline=None)
 def test_loser_tree_merges(runs):

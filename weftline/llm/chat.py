@@ -90,19 +90,24 @@ def format_paths(messages: DataFrame, paths: DataFrame) -> DataFrame:
     turn = F.concat(F.lit(HEAD), escape(F.col("role"), colon=True), F.lit(": "))
     told = messages.select("id", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     told = told.select("id", turn.alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == "assistant").alias("learn"))
-    turns = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "head", "body", "learn")))
-    whole = paths.join(told, "id").groupBy("path").agg(turns.alias("turns"))
-    sizes = F.transform("turns", lambda t: F.struct(F.length(t["head"]).alias("head"), F.length(t["body"]).alias("body"), t["learn"].alias("learn")))
-    none = F.array().cast("array<struct<start:int,n:int>>")
-    spans = F.aggregate(sizes, F.struct(F.lit(0).alias("at"), none.alias("spans")), lambda acc, t: F.struct((acc["at"] + t["head"] + t["body"] + len(END)).alias("at"), F.when(t["learn"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["head"]).alias("start"), t["body"].alias("n"))))).otherwise(acc["spans"]).alias("spans")), lambda acc: acc["spans"])
-    return whole.select("path", F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"), spans.alias("loss"))
+    told = told.select("*", F.length("head").alias("head_n"), F.length("body").alias("body_n"))
+    # starts are running sums over a path's turns, on the partitioning that collects them
+    order = Window.partitionBy("path").orderBy(F.col("up").desc())
+    placed = paths.join(told, "id").withColumn("end", F.sum(F.col("head_n") + F.col("body_n") + len(END)).over(order))
+    turns = F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "head", "body", "learn", (F.col("end") - F.col("body_n") - len(END)).cast("int").alias("start"), F.col("body_n").alias("n"))))
+    whole = placed.groupBy("path").agg(turns.alias("turns"))
+    loss = F.transform(F.filter("turns", lambda t: t["learn"]), lambda t: F.struct(t["start"].alias("start"), t["n"].alias("n")))
+    return whole.select("path", F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(END))), "").alias("formatted"), loss.alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:
     """The turns of a formatted text, as an array of (role, text)."""
     def turn(x: Column) -> Column:
-        role = F.regexp_extract(x, r"(?s)^### ((?:[^\\:]|\\.)*): ", 1)
-        return F.struct(unescape(role).alias("role"), unescape(F.substr(x, F.length(role) + len(HEAD) + 3)).alias("text"))
+        # escaped characters are blotted out at their length: the first colon left ends the role
+        bare = F.regexp_replace(x, r"(?s)\\.", "..")
+        colon = F.instr(bare, ":")
+        role = F.substr(x, F.lit(len(HEAD) + 1), colon - len(HEAD) - 1)
+        return F.struct(unescape(role).alias("role"), unescape(F.substr(x, colon + 2)).alias("text"))
 
     return F.transform(F.filter(F.split(formatted, END, -1), lambda x: x != ""), turn)
 
