@@ -92,15 +92,15 @@ def leaks(text, items, width=10):
             for i in range(len(words) - len(run) + 1):
                 if words[i : i + len(run)] == run:
                     hit |= set(range(i, i + len(run)))
-                    found.add(str(item))
+                    found |= set() if item is None else {str(item)}
     return len(words), hit, sorted(found)
 
 
-ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve"), (20, "Short item"), (3, None), (4, "…!"), (1, "a second text of the same id with enough words to make several windows"), (5, "x")]
+ITEMS = [(1, "one two three four five six seven eight nine ten eleven twelve"), (20, "Short item"), (3, None), (4, "…!"), (1, "a second text of the same id with enough words to make several windows"), (5, "x"), (None, "nameless but whole"), (None, "Short item")]
 
 
 def test_decontamination_against_scanning(spark, frame, odd):
-    texts = odd + ["ONE two, three four-five six seven eight nine ten eleven", "two three four five six seven eight nine ten eleven twelve", "a short item. SHORT ITEM short", "shortitem", "x x", "one two three four five six seven eight nine"]
+    texts = odd + ["ONE two, three four-five six seven eight nine ten eleven", "two three four five six seven eight nine ten eleven twelve", "a short item. SHORT ITEM short", "shortitem", "x x", "it is nameless, but whole!", "one two three four five six seven eight nine"]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     for shard in (50_000, 3):
         got = {r.doc_id: r for r in decontam.find_leaks(frame(texts), items, ["doc_id"], shard_words=shard, spans=True).collect()}
