@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -55,9 +56,48 @@ def test_base_counts_and_rules(spark, frame, odd, sf_dir):
         assert 0 <= r.score <= 1
 
 
+def made_match(regex, rng):
+    """A text that the rule's regex should match: choices, options and gaps by chance."""
+    out = []
+    for part, times in licenses.PART.findall(regex):
+        if times and times[0] in "?*" and rng.random() < 0.5 or part[:3] in ("(?!", "(?=") or part in (r"\b", "^", "$"):
+            continue
+        if part[0] == "(":
+            out.append(made_match(rng.choice(re.split(r"\|(?![^(]*\))", re.sub(r"^\(\?:|\)$|^\(", "", part))), rng))
+        elif part[0] == "[":
+            out.append(rng.choice([c for c in "abcdefghijklmnopqrstuvwxyz" if re.fullmatch(part, c)]))
+        elif part == " ":
+            out.append(rng.choice([" ", "\n", "  # ", ", ", "\n        * "]))
+        else:
+            out.append({r"\d": "3", ".": "x"}.get(part, part[-1]))
+    return "".join(out)
+
+
+def test_every_match_passes_its_gate():
+    rules, lines, rng = licenses.parse_rules(RULES), list(filter(None, map(str.strip, RULES.splitlines()))), random.Random(3)
+    gate = licenses.keyword_gate(rules)
+    matched = set()
+    for rule, line in zip(rules, lines, strict=True):
+        for _ in range(60):
+            text = made_match(line.split(" | ", 2)[2], rng)
+            if rule.pattern.search(text):
+                matched.add(rule.number)
+                assert rule.literals and all(x in text for x in rule.literals), (rule, text)
+                assert any(rule in own for _, own in gate.iter(text)), (rule, text)
+    assert len(matched) == len(rules), [lines[i] for i in set(range(len(rules))) - matched]
+
+
+def test_wrapped_and_commented_notices(frame):
+    texts = ["Permission is hereby granted,\n          # free of charge, to any person obtaining\n//         a copy", "redistribute it and/or modify it under the terms of the GNU General Public License", "Creative Commons Legal Code\n\nCC0 1.0 Universal", "developed by the product includes software developed by the OpenSSL Project", "PostgreSQL Licence", "the open rail-m license"]
+    got = [r.labels for r in licenses.scan_licenses(frame(texts)).orderBy("doc_id").collect()]
+    assert [x.split(",") for x in got] == [["mit"], ["gpl"], ["cc0-1.0"], ["openssl"], ["postgresql"], ["openrail"]]
+
+
 def test_empty_table_and_null_id(frame):
     assert licenses.scan_licenses(frame([]).where("false")).count() == 0
     assert licenses.scan_licenses(frame(["mit license"], [None])).first().n_base == 1
+    long = licenses.scan_licenses(frame([f"{'word ' * 300_000}mit license"]).selectExpr("*", "1 as labels", "2 as n_words")).first()
+    assert (long.n_words, long.first_word, long.labels) == (300_002, 300_000, "mit")
 
 
 def quality_of(text):

@@ -1,254 +1,255 @@
-"""Signature rules for licenses: label | kind | keyword | regex, one a line.
+"""Signature rules for licenses: label | kind | regex, one a line.
 
-A space in a regex stands for one to eight characters that are no word characters. The keyword is a literal that every
-match holds; regexes run only where it occurs. Texts are lower-cased in A-Z before matching.
+A space in a regex stands for one or more characters that are no word characters, " ?" for any number of them, so that
+line breaks, indents and comment marks don't matter. Texts are lower-cased in A-Z before matching. The literals of a
+regex outside groups and classes are in every match; they gate it.
 """
 
 #: kind: (priority, confidence)
 KINDS = {"spdx": (5, 1.0), "text": (4, 0.95), "notice": (3, 0.9), "url": (2, 0.85), "name": (1, 0.7), "hint": (0, 0.3)}
 
 RULES = r"""
-mit | text | free of charge | permission is hereby granted free of charge to any person obtaining a copy
-mit | text | without restriction | to deal in the software without restriction including without limitation
-mit | text | substantial portions | shall be included in all copies or substantial portions of the software
-mit | notice | mit license | (?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?mit license
-mit | notice | mit license | the mit license mit
-mit | name | mit license | \bmit license\b
-mit | name | expat license | \bexpat license\b
-mit | spdx | spdx-license-identifier: mit | spdx license identifier mit(?![\w.-])
-mit | url | opensource.org/licenses/mit | opensource\.org/licenses/mit(?!-)
-mit | url | choosealicense.com/licenses/mit | choosealicense\.com/licenses/mit\b
-mit-0 | name | mit no attribution | \bmit no attribution\b
-mit-0 | spdx | mit-0 | spdx license identifier mit 0\b
-mit-0 | url | licenses/mit-0 | licenses/mit-0\b
-x11 | name | x11 license | \bx11 license\b
-x11 | name | x consortium license | \bx consortium license\b
-x11 | text | x consortium | name of the x consortium shall not be used in advertising
-apache-2.0 | text | apache license | licensed under the apache license version 2 0
-apache-2.0 | text | you may not use this file except | you may not use this file except in compliance with the license
-apache-2.0 | text | apache license | apache license version 2 0 january 2004
-apache-2.0 | name | apache license | \bapache license (?:v|version )?2(?: 0)?\b
-apache-2.0 | name | apache software license | \bapache software license (?:v|version )?2(?: 0)?\b
-apache-2.0 | spdx | apache-2.0 | spdx license identifier apache 2 0
-apache-2.0 | name | apache-2.0 | \bapache-2\.0\b
-apache-2.0 | url | apache.org/licenses/license-2.0 | apache\.org/licenses/license-2\.0
-apache-1.1 | name | apache software license | \bapache software license version 1 1\b
-apache-1.1 | url | apache.org/licenses/license-1.1 | apache\.org/licenses/license-1\.1
-apache-1.0 | name | apache license | \bapache license version 1 0\b
-apache-1.0 | url | apache.org/licenses/license-1.0 | apache\.org/licenses/license-1\.0
-apache | name | apache license | \bapache license\b
-apache | notice | apache software foundation | licensed to the apache software foundation asf under one or more
-gpl-2.0 | text | general public license | gnu general public license version 2 june 1991
-gpl-2.0 | name | general public license | general public license (?:as published by the free software foundation )?(?:v|version )2(?: 0)?\b
-gpl-2.0 | name | gplv2 | \bgplv2\b
-gpl-2.0 | name | gpl-2.0 | \bgpl-2\.0(?:-only)?\b
-gpl-2.0 | spdx | gpl-2.0 | spdx license identifier gpl 2 0(?: only)?\b
-gpl-2.0 | url | gnu.org/licenses/gpl-2.0 | gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0
-gpl-2.0 | url | gnu.org/licenses/old-licenses/gpl-2.0 | gnu\.org/licenses/old-licenses/gpl-2\.0
-gpl-2.0-or-later | notice | any later version | either version 2 of the license or at your option any later version
-gpl-2.0-or-later | spdx | gpl-2.0-or-later | spdx license identifier gpl 2 0 or later
-gpl-2.0-or-later | name | gpl-2.0+ | \bgpl-2\.0\+
-gpl-3.0 | text | general public license | gnu general public license version 3 29 june 2007
-gpl-3.0 | name | general public license | general public license (?:as published by the free software foundation )?(?:v|version )3(?: 0)?\b
-gpl-3.0 | name | gplv3 | \bgplv3\b
-gpl-3.0 | name | gpl-3.0 | \bgpl-3\.0(?:-only)?\b
-gpl-3.0 | spdx | gpl-3.0 | spdx license identifier gpl 3 0(?: only)?\b
-gpl-3.0 | url | gnu.org/licenses/gpl-3.0 | gnu\.org/licenses/gpl-3\.0
-gpl-3.0-or-later | notice | any later version | either version 3 of the license or at your option any later version
-gpl-3.0-or-later | spdx | gpl-3.0-or-later | spdx license identifier gpl 3 0 or later
-gpl-3.0-or-later | name | gpl-3.0+ | \bgpl-3\.0\+
-gpl | name | general public license | \bgeneral public license\b
-gpl | notice | free software foundation | redistribute it and or modify it under the terms of the gnu general public license
-gpl | url | gnu.org/licenses/gpl | gnu\.org/licenses/gpl\b
-gpl | url | gnu.org/copyleft/gpl | gnu\.org/copyleft/gpl
-gpl | name | gnu gpl | \bgnu gpl\b
-lgpl-2.1 | text | lesser general public license | gnu lesser general public license version 2 1 february 1999
-lgpl-2.1 | name | lesser general public license | lesser general public license (?:v|version )2 1\b
-lgpl-2.1 | name | lgpl-2.1 | \blgpl-2\.1\b
-lgpl-2.1 | name | lgplv2.1 | \blgplv2\.1\b
-lgpl-2.1 | spdx | lgpl-2.1 | spdx license identifier lgpl 2 1
-lgpl-2.1 | url | lgpl-2.1 | gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1
-lgpl-3.0 | name | lesser general public license | lesser general public license (?:v|version )3(?: 0)?\b
-lgpl-3.0 | name | lgplv3 | \blgplv3\b
-lgpl-3.0 | name | lgpl-3.0 | \blgpl-3\.0\b
-lgpl-3.0 | spdx | lgpl-3.0 | spdx license identifier lgpl 3 0
-lgpl-3.0 | url | gnu.org/licenses/lgpl-3.0 | gnu\.org/licenses/lgpl-3\.0
-lgpl-2.0 | name | library general public license | \blibrary general public license\b
-lgpl-2.0 | spdx | lgpl-2.0 | spdx license identifier lgpl 2 0
-lgpl | name | lesser general public license | \blesser general public license\b
-lgpl | name | gnu lgpl | \bgnu lgpl\b
-agpl-3.0 | text | affero general public license | gnu affero general public license version 3 19 november 2007
-agpl-3.0 | name | affero general public license | affero general public license (?:v|version )3(?: 0)?\b
-agpl-3.0 | name | agplv3 | \bagplv3\b
-agpl-3.0 | name | agpl-3.0 | \bagpl-3\.0\b
-agpl-3.0 | spdx | agpl-3.0 | spdx license identifier agpl 3 0
-agpl-3.0 | url | gnu.org/licenses/agpl-3.0 | gnu\.org/licenses/agpl-3\.0
-agpl | name | affero general public license | \baffero general public license\b
-gfdl | name | free documentation license | \b(?:gnu )?free documentation license\b
-gfdl-1.3 | name | free documentation license | free documentation license version 1 3\b
-gfdl-1.2 | name | free documentation license | free documentation license version 1 2\b
-gfdl | url | gnu.org/licenses/fdl | gnu\.org/licenses/fdl
-gfdl | url | gnu.org/copyleft/fdl | gnu\.org/copyleft/fdl
-gfdl-1.3 | spdx | gfdl-1.3 | spdx license identifier gfdl 1 3
-bsd-2-clause | name | 2-clause bsd | \b2-clause bsd\b
-bsd-2-clause | name | bsd-2-clause | \bbsd-2-clause\b
-bsd-2-clause | name | simplified bsd | \bsimplified bsd license\b
-bsd-2-clause | name | freebsd license | \bfreebsd license\b
-bsd-2-clause | spdx | bsd-2-clause | spdx license identifier bsd 2 clause
-bsd-2-clause | url | licenses/bsd-2-clause | opensource\.org/licenses/bsd-2-clause
-bsd-3-clause | name | 3-clause bsd | \b3-clause bsd\b
-bsd-3-clause | name | bsd-3-clause | \bbsd-3-clause\b
-bsd-3-clause | name | new bsd license | \bnew bsd license\b
-bsd-3-clause | name | modified bsd license | \bmodified bsd license\b
-bsd-3-clause | name | revised bsd license | \brevised bsd license\b
-bsd-3-clause | text | endorse or promote | neither the names? of .{1,120}? may be used to endorse or promote products
-bsd-3-clause | spdx | bsd-3-clause | spdx license identifier bsd 3 clause
-bsd-3-clause | url | licenses/bsd-3-clause | opensource\.org/licenses/bsd-3-clause
-bsd-4-clause | name | original bsd license | \boriginal bsd license\b
-bsd-4-clause | name | bsd-4-clause | \bbsd-4-clause\b
-bsd-4-clause | text | all advertising materials | all advertising materials mentioning features or use of this software
-bsd-4-clause | spdx | bsd-4-clause | spdx license identifier bsd 4 clause
-bsd | text | redistribution and use in source and binary | redistribution and use in source and binary forms with or without modification are permitted
-bsd | text | redistributions of source code | redistributions of source code must retain the above copyright notice
-bsd | text | redistributions in binary form | redistributions in binary form must reproduce the above copyright notice
-bsd | name | bsd license | \bbsd license\b
-bsd | name | bsd-style license | \bbsd-style license\b
-0bsd | name | 0bsd | \b0bsd\b
-0bsd | name | zero-clause bsd | \bzero-clause bsd\b
-0bsd | spdx | spdx-license-identifier: 0bsd | spdx license identifier 0bsd\b
-isc | name | isc license | \bisc license\b
-isc | text | permission to use, copy, modify | permission to use copy modify and or distribute this software for any purpose with or without fee
-isc | spdx | spdx-license-identifier: isc | spdx license identifier isc\b
-isc | url | opensource.org/licenses/isc | opensource\.org/licenses/isc\b
-mpl-2.0 | text | mozilla public | this source code form is subject to the terms of the mozilla public license v 2 0
-mpl-2.0 | name | mozilla public license | mozilla public license (?:v|version )? ?2 0\b
-mpl-2.0 | name | mpl-2.0 | \bmpl-2\.0\b
-mpl-2.0 | name | mpl 2.0 | \bmpl 2 0\b
-mpl-2.0 | spdx | mpl-2.0 | spdx license identifier mpl 2 0
-mpl-2.0 | url | mozilla.org/mpl/2.0 | mozilla\.org/(?:en-us/)?mpl/2\.0
-mpl-1.1 | name | mozilla public license | mozilla public license version 1 1\b
-mpl-1.1 | spdx | mpl-1.1 | spdx license identifier mpl 1 1
-mpl-1.1 | url | mozilla.org/mpl/mpl-1.1 | mozilla\.org/mpl/mpl-1\.1
-mpl | name | mozilla public license | \bmozilla public license\b
-epl-1.0 | name | eclipse public license | eclipse public license (?:v|version )?1 0\b
-epl-1.0 | url | eclipse.org/legal/epl-v10 | eclipse\.org/legal/epl-v10
-epl-1.0 | spdx | epl-1.0 | spdx license identifier epl 1 0
-epl-2.0 | name | eclipse public license | eclipse public license (?:v|version )?2 0\b
-epl-2.0 | url | eclipse.org/legal/epl-2.0 | eclipse\.org/legal/epl-2\.0
-epl-2.0 | url | eclipse.org/legal/epl-v20 | eclipse\.org/legal/epl-v20
-epl-2.0 | spdx | epl-2.0 | spdx license identifier epl 2 0
-epl | name | eclipse public license | \beclipse public license\b
-edl-1.0 | name | eclipse distribution license | \beclipse distribution license\b
-cddl-1.0 | name | common development and distribution license | common development and distribution license (?:cddl )?(?:v|version )1 0\b
-cddl-1.1 | name | common development and distribution license | common development and distribution license (?:cddl )?(?:v|version )1 1\b
-cddl | name | common development and distribution license | \bcommon development and distribution license\b
-cddl-1.0 | spdx | cddl-1.0 | spdx license identifier cddl 1 0
-cpl-1.0 | name | common public license | \bcommon public license\b
-cpl-1.0 | spdx | cpl-1.0 | spdx license identifier cpl 1 0
-ibm-public-1.0 | name | ibm public license | \bibm public license\b
-eupl-1.2 | name | european union public licen | european union public licen[cs]e (?:eupl )?(?:v|version )? ?1 2\b
-eupl-1.1 | name | european union public licen | european union public licen[cs]e (?:eupl )?(?:v|version )? ?1 1\b
-eupl | name | european union public licen | \beuropean union public licen[cs]e\b
-eupl-1.2 | spdx | eupl-1.2 | spdx license identifier eupl 1 2
-cecill-2.1 | name | cecill | \bcecill(?: free software license agreement)? (?:v|version )? ?2 1\b
-cecill-b | name | cecill-b | \bcecill-b\b
-cecill-c | name | cecill-c | \bcecill-c\b
-cecill | name | cecill | \bcecill licen[cs]e\b
-artistic-2.0 | name | artistic license | artistic license (?:v|version )? ?2(?: 0)?\b
-artistic-1.0 | name | artistic license | artistic license (?:v|version )? ?1 0\b
-artistic | name | artistic license | \bartistic license\b
-artistic-2.0 | spdx | artistic-2.0 | spdx license identifier artistic 2 0
-artistic-2.0 | url | licenses/artistic-2.0 | licenses/artistic-2\.0
-perl | notice | same terms as perl | (?:redistribute it and or modify it )?under the same terms as perl itself
-bsl-1.0 | name | boost software license | \bboost software license\b
-bsl-1.0 | spdx | bsl-1.0 | spdx license identifier bsl 1 0
-bsl-1.0 | url | boost.org/license_1_0 | boost\.org/license_1_0
-zlib | text | in no event will the authors be held | this software is provided as is without any express or implied warranty in no event will the authors be held liable
-zlib | text | altered source versions | altered source versions must be plainly marked as such
-zlib | name | zlib license | \bzlib(?: libpng)? license\b
-zlib | spdx | spdx-license-identifier: zlib | spdx license identifier zlib\b
-libpng | name | libpng license | \blibpng license\b
-unlicense | text | released into the public domain | this is free and unencumbered software released into the public domain
-unlicense | url | unlicense.org | \bunlicense\.org\b
-unlicense | name | the unlicense | \bthe unlicense\b
-unlicense | spdx | spdx-license-identifier: unlicense | spdx license identifier unlicense\b
-wtfpl | name | wtfpl | \bwtfpl\b
-wtfpl | text | what the fuck you want | do what the fuck you want to public license
-public-domain | notice | public domain | (?:dedicated|released|placed|donated) (?:in|to|into) the public domain
-public-domain | hint | public domain | \bpublic domain\b
-cc0-1.0 | url | publicdomain/zero/1.0 | creativecommons\.org/publicdomain/zero/1\.0
-cc0-1.0 | name | cc0 | \bcc0(?: 1 0)?\b
-cc0-1.0 | spdx | cc0-1.0 | spdx license identifier cc0 1 0
-cc0-1.0 | text | no copyright | creative commons legal code cc0 1 0 universal
-cc-pdm | url | publicdomain/mark/1.0 | creativecommons\.org/publicdomain/mark/1\.0
-cc-by-4.0 | url | creativecommons.org/licenses/by/4.0 | creativecommons\.org/licenses/by/4\.0
-cc-by-3.0 | url | creativecommons.org/licenses/by/3.0 | creativecommons\.org/licenses/by/3\.0
-cc-by-2.5 | url | creativecommons.org/licenses/by/2.5 | creativecommons\.org/licenses/by/2\.5
-cc-by-2.0 | url | creativecommons.org/licenses/by/2.0 | creativecommons\.org/licenses/by/2\.0
-cc-by-sa-4.0 | url | creativecommons.org/licenses/by-sa/4.0 | creativecommons\.org/licenses/by-sa/4\.0
-cc-by-sa-3.0 | url | creativecommons.org/licenses/by-sa/3.0 | creativecommons\.org/licenses/by-sa/3\.0
-cc-by-sa-2.5 | url | creativecommons.org/licenses/by-sa/2.5 | creativecommons\.org/licenses/by-sa/2\.5
-cc-by-nc-4.0 | url | creativecommons.org/licenses/by-nc/4.0 | creativecommons\.org/licenses/by-nc/4\.0
-cc-by-nc-3.0 | url | creativecommons.org/licenses/by-nc/3.0 | creativecommons\.org/licenses/by-nc/3\.0
-cc-by-nd-4.0 | url | creativecommons.org/licenses/by-nd/4.0 | creativecommons\.org/licenses/by-nd/4\.0
-cc-by-nc-sa-4.0 | url | creativecommons.org/licenses/by-nc-sa/4.0 | creativecommons\.org/licenses/by-nc-sa/4\.0
-cc-by-nc-sa-3.0 | url | creativecommons.org/licenses/by-nc-sa/3.0 | creativecommons\.org/licenses/by-nc-sa/3\.0
-cc-by-nc-nd-4.0 | url | creativecommons.org/licenses/by-nc-nd/4.0 | creativecommons\.org/licenses/by-nc-nd/4\.0
-cc-by-nc-nd-3.0 | url | creativecommons.org/licenses/by-nc-nd/3.0 | creativecommons\.org/licenses/by-nc-nd/3\.0
-cc-by-4.0 | name | cc by 4.0 | \bcc by 4 0\b
-cc-by-4.0 | name | cc-by-4.0 | \bcc-by-4\.0\b
-cc-by-sa-4.0 | name | cc by-sa 4.0 | \bcc by sa 4 0\b
-cc-by-sa-4.0 | name | cc-by-sa-4.0 | \bcc-by-sa-4\.0\b
-cc-by-sa-3.0 | name | cc by-sa 3.0 | \bcc by sa 3 0\b
-cc-by-nc-4.0 | name | cc by-nc 4.0 | \bcc by nc 4 0\b
-cc-by-nc-sa-4.0 | name | cc by-nc-sa 4.0 | \bcc by nc sa 4 0\b
-cc-by-4.0 | name | attribution 4.0 international | creative commons attribution 4 0 international
-cc-by-sa-4.0 | name | sharealike 4.0 international | creative commons attribution sharealike 4 0 international
-cc-by-sa-3.0 | name | sharealike 3.0 unported | creative commons attribution sharealike 3 0 unported
-cc-by-nc-4.0 | name | noncommercial 4.0 international | creative commons attribution noncommercial 4 0 international
-cc-by-nc-sa-4.0 | name | noncommercial-sharealike 4.0 | creative commons attribution noncommercial sharealike 4 0 international
-cc-by-nd-4.0 | name | noderivatives 4.0 international | creative commons attribution noderivatives 4 0 international
-cc | name | creative commons | \bcreative commons(?: attribution)?(?: [a-z]+)? licen[cs]e\b
-cc | hint | creative commons | \bcreative commons\b
-odbl-1.0 | name | open database license | \bopen database license\b
-odbl-1.0 | url | opendatacommons.org/licenses/odbl | opendatacommons\.org/licenses/odbl
-odc-by-1.0 | name | open data commons attribution | \bopen data commons attribution license\b
-odc-by-1.0 | url | opendatacommons.org/licenses/by | opendatacommons\.org/licenses/by\b
-pddl-1.0 | name | public domain dedication and license | \bpublic domain dedication and license\b
-pddl-1.0 | url | opendatacommons.org/licenses/pddl | opendatacommons\.org/licenses/pddl
-ogl-uk-3.0 | name | open government licence | \bopen government licence(?: v3 0)?\b
-cdla-permissive-2.0 | name | community data license agreement | community data license agreement permissive(?: version)? 2 0\b
-cdla-sharing-1.0 | name | community data license agreement | community data license agreement sharing\b
-psf-2.0 | name | python software foundation license | \bpython software foundation license\b
-psf-2.0 | spdx | psf-2.0 | spdx license identifier psf 2 0
-php-3.01 | name | php license | \bphp license(?: version 3 01)?\b
-php-3.01 | url | php.net/license/3_01 | php\.net/license/3_01
-ruby | name | ruby license | \bruby license\b
-openssl | name | openssl license | \bopenssl license\b
-openssl | text | openssl toolkit | product includes software developed by the openssl project
-curl | name | curl license | \bcurl license\b
-postgresql | name | postgresql license | \bpostgresql licen[cs]e\b
-ncsa | name | illinois | \buniversity of illinois ncsa open source license\b
-upl-1.0 | name | universal permissive license | \buniversal permissive license\b
-upl-1.0 | url | oss.oracle.com/licenses/upl | oss\.oracle\.com/licenses/upl
-afl-3.0 | name | academic free license | academic free license(?: (?:v|version )? ?3 0)?\b
-osl-3.0 | name | open software license | open software license (?:v|version )? ?3 0\b
-ms-pl | name | microsoft public license | \bmicrosoft public license\b
-ms-rl | name | microsoft reciprocal license | \bmicrosoft reciprocal license\b
-ofl-1.1 | name | open font license | (?:sil )?open font license(?: version 1 1)?\b
-ofl-1.1 | url | scripts.sil.org/ofl | scripts\.sil\.org/ofl
-vim | name | vim license | \bvim license\b
-w3c | name | w3c software | \bw3c software(?: notice)?(?: and)?(?: document)? license\b
-json | text | good, not evil | the software shall be used for good not evil
-beerware | name | beer-ware license | \bbeer ware license\b
-bsl-1.1 | name | business source license | \bbusiness source license(?: 1 1)?\b
-sspl-1.0 | name | server side public license | \bserver side public license\b
-elastic-2.0 | name | elastic license | \belastic license(?: 2 0)?\b
-polyform | name | polyform | \bpolyform (?:noncommercial|shield|small business|strict|perimeter|internal use)\b
-commons-clause | name | commons clause | \bcommons clause\b
-openrail | name | openrail | \b(?:bigscience |creativeml )?open ?rail(?: ?[ms]{1,2})?\b
-llama-community | name | llama | \bllama (?:\d(?: \d)? )?community license\b
-proprietary | notice | all rights reserved | \ball rights reserved\b
-proprietary | notice | proprietary and confidential | \bproprietary and confidential\b
-proprietary | notice | unauthorized copying | \bunauthorized copying of this file\b
+mit | text | permission is hereby granted free of charge to any person obtaining a copy
+mit | text | to deal in the software without restriction including without limitation
+mit | text | shall be included in all copies or substantial portions of the software
+mit | notice | (?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?mit license
+mit | notice | the mit license mit
+mit | name | \bmit license\b
+mit | name | \bexpat license\b
+mit | spdx | spdx license identifier mit(?![\w.-])
+mit | url | opensource\.org/licenses/mit(?!-)
+mit | url | choosealicense\.com/licenses/mit\b
+mit-0 | name | \bmit no attribution\b
+mit-0 | spdx | spdx license identifier mit 0\b
+mit-0 | url | licenses/mit-0\b
+x11 | name | \bx11 license\b
+x11 | name | \bx consortium license\b
+x11 | text | name of the x consortium shall not be used in advertising
+apache-2.0 | text | licensed under the apache license version 2 0
+apache-2.0 | text | you may not use this file except in compliance with the license
+apache-2.0 | text | apache license version 2 0 january 2004
+apache-2.0 | name | \bapache license (?:v|version )?2(?: 0)?\b
+apache-2.0 | name | \bapache software license (?:v|version )?2(?: 0)?\b
+apache-2.0 | spdx | spdx license identifier apache 2 0
+apache-2.0 | name | \bapache-2\.0\b
+apache-2.0 | url | apache\.org/licenses/license-2\.0
+apache-1.1 | name | \bapache software license version 1 1\b
+apache-1.1 | url | apache\.org/licenses/license-1\.1
+apache-1.0 | name | \bapache license version 1 0\b
+apache-1.0 | url | apache\.org/licenses/license-1\.0
+apache | name | \bapache license\b
+apache | notice | licensed to the apache software foundation asf under one or more
+gpl-2.0 | text | gnu general public license version 2 june 1991
+gpl-2.0 | name | general public license (?:as published by the free software foundation )?(?:v|version )2(?: 0)?\b
+gpl-2.0 | name | \bgplv2\b
+gpl-2.0 | name | \bgpl-2\.0(?:-only)?\b
+gpl-2.0 | spdx | spdx license identifier gpl 2 0(?: only)?\b
+gpl-2.0 | url | gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0
+gpl-2.0 | url | gnu\.org/licenses/old-licenses/gpl-2\.0
+gpl-2.0-or-later | notice | either version 2 of the license or at your option any later version
+gpl-2.0-or-later | spdx | spdx license identifier gpl 2 0 or later
+gpl-2.0-or-later | name | \bgpl-2\.0\+
+gpl-3.0 | text | gnu general public license version 3 29 june 2007
+gpl-3.0 | name | general public license (?:as published by the free software foundation )?(?:v|version )3(?: 0)?\b
+gpl-3.0 | name | \bgplv3\b
+gpl-3.0 | name | \bgpl-3\.0(?:-only)?\b
+gpl-3.0 | spdx | spdx license identifier gpl 3 0(?: only)?\b
+gpl-3.0 | url | gnu\.org/licenses/gpl-3\.0
+gpl-3.0-or-later | notice | either version 3 of the license or at your option any later version
+gpl-3.0-or-later | spdx | spdx license identifier gpl 3 0 or later
+gpl-3.0-or-later | name | \bgpl-3\.0\+
+gpl | name | \bgeneral public license\b
+gpl | notice | redistribute it and or modify it under the terms of the gnu general public license
+gpl | url | gnu\.org/licenses/gpl\b
+gpl | url | gnu\.org/copyleft/gpl
+gpl | name | \bgnu gpl\b
+lgpl-2.1 | text | gnu lesser general public license version 2 1 february 1999
+lgpl-2.1 | name | lesser general public license (?:v|version )2 1\b
+lgpl-2.1 | name | \blgpl-2\.1\b
+lgpl-2.1 | name | \blgplv2\.1\b
+lgpl-2.1 | spdx | spdx license identifier lgpl 2 1
+lgpl-2.1 | url | gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1
+lgpl-3.0 | name | lesser general public license (?:v|version )3(?: 0)?\b
+lgpl-3.0 | name | \blgplv3\b
+lgpl-3.0 | name | \blgpl-3\.0\b
+lgpl-3.0 | spdx | spdx license identifier lgpl 3 0
+lgpl-3.0 | url | gnu\.org/licenses/lgpl-3\.0
+lgpl-2.0 | name | \blibrary general public license\b
+lgpl-2.0 | spdx | spdx license identifier lgpl 2 0
+lgpl | name | \blesser general public license\b
+lgpl | name | \bgnu lgpl\b
+agpl-3.0 | text | gnu affero general public license version 3 19 november 2007
+agpl-3.0 | name | affero general public license (?:v|version )3(?: 0)?\b
+agpl-3.0 | name | \bagplv3\b
+agpl-3.0 | name | \bagpl-3\.0\b
+agpl-3.0 | spdx | spdx license identifier agpl 3 0
+agpl-3.0 | url | gnu\.org/licenses/agpl-3\.0
+agpl | name | \baffero general public license\b
+gfdl | name | \b(?:gnu )?free documentation license\b
+gfdl-1.3 | name | free documentation license version 1 3\b
+gfdl-1.2 | name | free documentation license version 1 2\b
+gfdl | url | gnu\.org/licenses/fdl
+gfdl | url | gnu\.org/copyleft/fdl
+gfdl-1.3 | spdx | spdx license identifier gfdl 1 3
+bsd-2-clause | name | \b2-clause bsd\b
+bsd-2-clause | name | \bbsd-2-clause\b
+bsd-2-clause | name | \bsimplified bsd license\b
+bsd-2-clause | name | \bfreebsd license\b
+bsd-2-clause | spdx | spdx license identifier bsd 2 clause
+bsd-2-clause | url | opensource\.org/licenses/bsd-2-clause
+bsd-3-clause | name | \b3-clause bsd\b
+bsd-3-clause | name | \bbsd-3-clause\b
+bsd-3-clause | name | \bnew bsd license\b
+bsd-3-clause | name | \bmodified bsd license\b
+bsd-3-clause | name | \brevised bsd license\b
+bsd-3-clause | text | neither the names? of .{1,120}? may be used to endorse or promote products
+bsd-3-clause | spdx | spdx license identifier bsd 3 clause
+bsd-3-clause | url | opensource\.org/licenses/bsd-3-clause
+bsd-4-clause | name | \boriginal bsd license\b
+bsd-4-clause | name | \bbsd-4-clause\b
+bsd-4-clause | text | all advertising materials mentioning features or use of this software
+bsd-4-clause | spdx | spdx license identifier bsd 4 clause
+bsd | text | redistribution and use in source and binary forms with or without modification are permitted
+bsd | text | redistributions of source code must retain the above copyright notice
+bsd | text | redistributions in binary form must reproduce the above copyright notice
+bsd | name | \bbsd license\b
+bsd | name | \bbsd-style license\b
+0bsd | name | \b0bsd\b
+0bsd | name | \bzero-clause bsd\b
+0bsd | spdx | spdx license identifier 0bsd\b
+isc | name | \bisc license\b
+isc | text | permission to use copy modify and or distribute this software for any purpose with or without fee
+isc | spdx | spdx license identifier isc\b
+isc | url | opensource\.org/licenses/isc\b
+mpl-2.0 | text | this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2.0 | name | mozilla public license (?:v|version )? ?2 0\b
+mpl-2.0 | name | \bmpl-2\.0\b
+mpl-2.0 | name | \bmpl 2 0\b
+mpl-2.0 | spdx | spdx license identifier mpl 2 0
+mpl-2.0 | url | mozilla\.org/(?:en-us/)?mpl/2\.0
+mpl-1.1 | name | mozilla public license version 1 1\b
+mpl-1.1 | spdx | spdx license identifier mpl 1 1
+mpl-1.1 | url | mozilla\.org/mpl/mpl-1\.1
+mpl | name | \bmozilla public license\b
+epl-1.0 | name | eclipse public license (?:v|version )?1 0\b
+epl-1.0 | url | eclipse\.org/legal/epl-v10
+epl-1.0 | spdx | spdx license identifier epl 1 0
+epl-2.0 | name | eclipse public license (?:v|version )?2 0\b
+epl-2.0 | url | eclipse\.org/legal/epl-2\.0
+epl-2.0 | url | eclipse\.org/legal/epl-v20
+epl-2.0 | spdx | spdx license identifier epl 2 0
+epl | name | \beclipse public license\b
+edl-1.0 | name | \beclipse distribution license\b
+cddl-1.0 | name | common development and distribution license (?:cddl )?(?:v|version )1 0\b
+cddl-1.1 | name | common development and distribution license (?:cddl )?(?:v|version )1 1\b
+cddl | name | \bcommon development and distribution license\b
+cddl-1.0 | spdx | spdx license identifier cddl 1 0
+cpl-1.0 | name | \bcommon public license\b
+cpl-1.0 | spdx | spdx license identifier cpl 1 0
+ibm-public-1.0 | name | \bibm public license\b
+eupl-1.2 | name | european union public licen[cs]e (?:eupl )?(?:v|version )? ?1 2\b
+eupl-1.1 | name | european union public licen[cs]e (?:eupl )?(?:v|version )? ?1 1\b
+eupl | name | \beuropean union public licen[cs]e\b
+eupl-1.2 | spdx | spdx license identifier eupl 1 2
+cecill-2.1 | name | \bcecill(?: free software license agreement)? (?:v|version )? ?2 1\b
+cecill-b | name | \bcecill-b\b
+cecill-c | name | \bcecill-c\b
+cecill | name | \bcecill licen[cs]e\b
+artistic-2.0 | name | artistic license (?:v|version )? ?2(?: 0)?\b
+artistic-1.0 | name | artistic license (?:v|version )? ?1 0\b
+artistic | name | \bartistic license\b
+artistic-2.0 | spdx | spdx license identifier artistic 2 0
+artistic-2.0 | url | licenses/artistic-2\.0
+perl | notice | (?:redistribute it and or modify it )?under the same terms as perl itself
+bsl-1.0 | name | \bboost software license\b
+bsl-1.0 | spdx | spdx license identifier bsl 1 0
+bsl-1.0 | url | boost\.org/license_1_0
+zlib | text | this software is provided as is without any express or implied warranty in no event will the authors be held liable
+zlib | text | altered source versions must be plainly marked as such
+zlib | name | \bzlib(?: libpng)? license\b
+zlib | spdx | spdx license identifier zlib\b
+libpng | name | \blibpng license\b
+unlicense | text | this is free and unencumbered software released into the public domain
+unlicense | url | \bunlicense\.org\b
+unlicense | name | \bthe unlicense\b
+unlicense | spdx | spdx license identifier unlicense\b
+wtfpl | name | \bwtfpl\b
+wtfpl | text | do what the fuck you want to public license
+public-domain | notice | (?:dedicated|released|placed|donated) (?:in|to|into) the public domain
+public-domain | hint | \bpublic domain\b
+cc0-1.0 | url | creativecommons\.org/publicdomain/zero/1\.0
+cc0-1.0 | name | \bcc0(?: 1 0)?\b
+cc0-1.0 | spdx | spdx license identifier cc0 1 0
+cc0-1.0 | text | creative commons legal code cc0 1 0 universal
+cc-pdm | url | creativecommons\.org/publicdomain/mark/1\.0
+cc-by-4.0 | url | creativecommons\.org/licenses/by/4\.0
+cc-by-3.0 | url | creativecommons\.org/licenses/by/3\.0
+cc-by-2.5 | url | creativecommons\.org/licenses/by/2\.5
+cc-by-2.0 | url | creativecommons\.org/licenses/by/2\.0
+cc-by-sa-4.0 | url | creativecommons\.org/licenses/by-sa/4\.0
+cc-by-sa-3.0 | url | creativecommons\.org/licenses/by-sa/3\.0
+cc-by-sa-2.5 | url | creativecommons\.org/licenses/by-sa/2\.5
+cc-by-nc-4.0 | url | creativecommons\.org/licenses/by-nc/4\.0
+cc-by-nc-3.0 | url | creativecommons\.org/licenses/by-nc/3\.0
+cc-by-nd-4.0 | url | creativecommons\.org/licenses/by-nd/4\.0
+cc-by-nc-sa-4.0 | url | creativecommons\.org/licenses/by-nc-sa/4\.0
+cc-by-nc-sa-3.0 | url | creativecommons\.org/licenses/by-nc-sa/3\.0
+cc-by-nc-nd-4.0 | url | creativecommons\.org/licenses/by-nc-nd/4\.0
+cc-by-nc-nd-3.0 | url | creativecommons\.org/licenses/by-nc-nd/3\.0
+cc-by-4.0 | name | \bcc by 4 0\b
+cc-by-4.0 | name | \bcc-by-4\.0\b
+cc-by-sa-4.0 | name | \bcc by sa 4 0\b
+cc-by-sa-4.0 | name | \bcc-by-sa-4\.0\b
+cc-by-sa-3.0 | name | \bcc by sa 3 0\b
+cc-by-nc-4.0 | name | \bcc by nc 4 0\b
+cc-by-nc-sa-4.0 | name | \bcc by nc sa 4 0\b
+cc-by-4.0 | name | creative commons attribution 4 0 international
+cc-by-sa-4.0 | name | creative commons attribution sharealike 4 0 international
+cc-by-sa-3.0 | name | creative commons attribution sharealike 3 0 unported
+cc-by-nc-4.0 | name | creative commons attribution noncommercial 4 0 international
+cc-by-nc-sa-4.0 | name | creative commons attribution noncommercial sharealike 4 0 international
+cc-by-nd-4.0 | name | creative commons attribution noderivatives 4 0 international
+cc | name | \bcreative commons(?: attribution)?(?: [a-z]+)? licen[cs]e\b
+cc | hint | \bcreative commons\b
+odbl-1.0 | name | \bopen database license\b
+odbl-1.0 | url | opendatacommons\.org/licenses/odbl
+odc-by-1.0 | name | \bopen data commons attribution license\b
+odc-by-1.0 | url | opendatacommons\.org/licenses/by\b
+pddl-1.0 | name | \bpublic domain dedication and license\b
+pddl-1.0 | url | opendatacommons\.org/licenses/pddl
+ogl-uk-3.0 | name | \bopen government licence(?: v3 0)?\b
+cdla-permissive-2.0 | name | community data license agreement permissive(?: version)? 2 0\b
+cdla-sharing-1.0 | name | community data license agreement sharing\b
+psf-2.0 | name | \bpython software foundation license\b
+psf-2.0 | spdx | spdx license identifier psf 2 0
+php-3.01 | name | \bphp license(?: version 3 01)?\b
+php-3.01 | url | php\.net/license/3_01
+ruby | name | \bruby license\b
+openssl | name | \bopenssl license\b
+openssl | text | product includes software developed by the openssl project
+curl | name | \bcurl license\b
+postgresql | name | \bpostgresql licen[cs]e\b
+ncsa | name | \buniversity of illinois ncsa open source license\b
+upl-1.0 | name | \buniversal permissive license\b
+upl-1.0 | url | oss\.oracle\.com/licenses/upl
+afl-3.0 | name | academic free license(?: (?:v|version )? ?3 0)?\b
+osl-3.0 | name | open software license (?:v|version )? ?3 0\b
+ms-pl | name | \bmicrosoft public license\b
+ms-rl | name | \bmicrosoft reciprocal license\b
+ofl-1.1 | name | (?:sil )?open font license(?: version 1 1)?\b
+ofl-1.1 | url | scripts\.sil\.org/ofl
+vim | name | \bvim license\b
+w3c | name | \bw3c software(?: notice)?(?: and)?(?: document)? license\b
+json | text | the software shall be used for good not evil
+beerware | name | \bbeer ware license\b
+bsl-1.1 | name | \bbusiness source license(?: 1 1)?\b
+sspl-1.0 | name | \bserver side public license\b
+elastic-2.0 | name | \belastic license(?: 2 0)?\b
+polyform | name | \bpolyform (?:noncommercial|shield|small business|strict|perimeter|internal use)\b
+commons-clause | name | \bcommons clause\b
+openrail | name | \b(?:bigscience |creativeml )?open ?rail(?: ?[ms]{1,2})?\b
+llama-community | name | \bllama (?:\d(?: \d)? )?community license\b
+proprietary | notice | \ball rights reserved\b
+proprietary | notice | \bproprietary and confidential\b
+proprietary | notice | \bunauthorized copying of this file\b
 """

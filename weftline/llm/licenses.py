@@ -6,8 +6,9 @@ is suppressed. What stays gives the labels; the score is the best confidence amo
 
 Base phrases (``mit license`` and so on) are counted over the words of ``letter_words``, apart from the rules.
 
-Defined results: null and empty texts have no words, no labels and score 0; repeated rows each get their row; other
-columns are not read.
+Defined results: null and empty texts have no words, no labels and score 0; texts of any length are scanned whole;
+repeated rows each get their row; detections that tie go by place, then by rule; an empty table gives no rows; other columns
+are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -30,26 +31,44 @@ BASE = {(b"mit", b"license"): "mit", (b"apache", b"license"): "apache", (b"gener
 class Rule:
     number: int
     label: str
-    keyword: str
+    literals: tuple[str, ...]
     pattern: re.Pattern
     priority: int
     confidence: float
 
 
+#: A regex is read as groups (one level deep), classes, escapes and single characters, each with its quantifier.
+PART = re.compile(r"(\((?:[^()\\]|\\.|\([^()]*\))*\)|\[[^]]*\]|\\.|.)([?*+]\??|\{[\d,]+\}\??)?")
+
+
+def literals(regex: str) -> tuple[str, ...]:
+    """The runs of characters that every match holds, the longest first."""
+    runs = [""]
+    for part, times in PART.findall(regex):
+        char = part[1:] if part[0] == "\\" and part[1] not in "bBdDsSwW" else part
+        if len(char) == 1 and char not in " .^$" or part == r"\.":
+            runs[-1] += char if not times else ""
+            if times:
+                runs.append(char if times[0] == "+" else "")
+        else:
+            runs.append("")
+    return tuple(sorted(set(filter(None, runs)), key=lambda x: (-len(x), x)))
+
+
 def parse_rules(text: str = RULES) -> list[Rule]:
     rules = []
     for line in filter(None, map(str.strip, text.splitlines())):
-        label, kind, keyword, regex = line.split(" | ", 3)
+        label, kind, regex = line.split(" | ", 2)
         priority, confidence = KINDS[kind]
-        rules.append(Rule(len(rules), label, keyword, re.compile(regex.replace(" ?", r"\W{0,8}").replace(" ", r"\W{1,8}"), re.DOTALL), priority, confidence))
+        rules.append(Rule(len(rules), label, literals(regex), re.compile(regex.replace(" ?", r"\W*").replace(" ", r"\W+"), re.DOTALL), priority, confidence))
     return rules
 
 
 def keyword_gate(rules: list[Rule]):
-    """The longest word of each keyword gates its rules; the other words are looked for where it occurs."""
+    """The longest literal of each rule gates it; the other literals are looked for where it occurs."""
     gate, by_key = ahocorasick.Automaton(), {}
     for rule in rules:
-        by_key.setdefault(max(re.findall(r"\w+", rule.keyword), key=len), []).append(rule)
+        by_key.setdefault(rule.literals[0], []).append(rule)
     for key, own in by_key.items():
         gate.add_word(key, own)
     gate.make_automaton()
@@ -61,8 +80,7 @@ def detect(text: str, rules_gate) -> list[tuple[int, int, Rule]]:
     candidates = {rule.number: rule for _, own in rules_gate.iter(text) for rule in own}
     found = []
     for rule in candidates.values():
-        words = re.findall(r"\w+", rule.keyword)
-        if all(w in text for w in words):
+        if all(x in text for x in rule.literals):
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(text)]
     return suppress(found)
 
