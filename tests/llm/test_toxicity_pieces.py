@@ -5,6 +5,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.llm import pieces, toxicity
@@ -94,3 +96,21 @@ def test_a_key_gives_one_segmentation():
     a = sampler.encode([1, 2, None], ["reproducible sampling"] * 3)
     b = pieces.Sampler(pieces.load(PIECE_MODEL)).encode([None, 1], ["reproducible sampling"] * 2)
     assert a[0].tolist() == b[1].tolist() and a[2].tolist() == b[0].tolist()
+
+
+@given(st.lists(st.text(st.sampled_from("abet ▁é日x\n"), max_size=40), min_size=1, max_size=12), st.randoms(use_true_random=False))
+@settings(max_examples=60, deadline=None)
+def test_shares_do_not_depend_on_the_group(texts, rng):
+    """Bit for bit: each chunk's shares alone and among others, in another order."""
+    model = pieces.load(PIECE_MODEL)
+    found = sorted({c for t in texts if "▁" not in t for c in pieces.chunks(t)} | {"▁the", "▁segmentation", "▁" + "ab" * 50})
+
+    def shares(chunks):
+        lattice = pieces.Lattice(model, chunks)
+        return {c: [lattice.share[lattice.first[b + k] : lattice.first[b + k + 1]].tobytes() for k in range(1, n + 1)] for c, b, n in zip(chunks, lattice.base.tolist(), lattice.size.tolist(), strict=True)}
+
+    whole = shares(found)
+    other = list(found)
+    rng.shuffle(other)
+    half = len(other) // 2
+    assert whole == shares(other) | {} and whole == shares(other[:half]) | shares(other[half:])

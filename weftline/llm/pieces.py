@@ -169,10 +169,13 @@ class Lattice:
             # a cut begins anew: only differences behind it count
             total[to[heads]] = np.where(cut[to[heads]], 0.0, value)
             way[edges] = got - np.repeat(value, runs)
-        share = np.cumsum(np.exp(way))
+        # summed within each place, so that a share never depends on what else is in the group
+        share = np.exp(way)
         heads = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]])) if len(end) else np.zeros(0, np.int64)
         runs = np.diff(np.append(heads, len(end)))
-        share -= np.repeat(np.concatenate([[0.0], share])[heads], runs)
+        for k in range(1, int(runs.max()) if len(runs) else 0):
+            at = heads[runs > k] + k
+            share[at] += share[at - 1]
         if len(heads):
             share[np.append(heads[1:], len(end)) - 1] = 2.0  # the last edge takes what rounding leaves
         return share
