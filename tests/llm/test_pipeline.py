@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.test_interpolation_decontam import leaks
-from tests.llm.test_simhash_lines import SPACED, groups, lines_without, print_of
+from tests.llm.test_overlap import groups
+from tests.llm.test_simhash_lines import SPACED, lines_without
 from weftline.llm import pieces, toxicity
 
 
@@ -31,8 +32,8 @@ def test_stages_against_brute_force(spark, folder):
     ids = [i for i, s in zip(ids, model.score([rows[i] for i in ids]), strict=True) if s < 0.5]
     texts, removed = lines_without([rows[i] for i in ids], ids)
     kept = [(i, t) for i, t, n in zip(ids, texts, removed, strict=True) if n == 0 or SPACED.search(t)]
-    root = groups([print_of(t) for _, t in kept], [i for i, _ in kept])
-    kept = [(i, t) for i, t in kept if root[i] == i]
+    root = groups([t for _, t in kept])
+    kept = [x for at, x in enumerate(kept) if root[at] == at]
     kept = [(i, t) for i, t in kept if not leaks(t, items)[1]]
     sampler = pieces.Sampler(pieces.load(corpus_pipeline.PIECE_MODEL))
     want = {i: None if t is None else x.tolist() for (i, t), x in zip(kept, sampler.encode([i for i, _ in kept], [t or "" for _, t in kept]), strict=True)}

@@ -7,7 +7,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from weftline.llm import golay, linededup, simhash
+from weftline.llm import golay, linededup, overlap, simhash
 
 SPACED = re.compile("[^\x20\x09-\x0d]+")
 ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -121,6 +121,22 @@ def test_null_ids_and_empty(frame):
     assert simhash.near_duplicates(frame([]).where("false")).count() == 0
 
 
+ONE_ID = (["first text of the id here", "quite another one under the id", "first text of the id here", "some other text", "some other text", None], [5, 5, 5, 7, 5, None])
+
+
+def test_texts_under_one_id_stay(frame):
+    docs = frame(*ONE_ID).selectExpr("*", "1 as fp", "2 as print", "'x' as _odd_id")
+    for kept in (simhash.keep_one(docs), overlap.keep_one(docs)):
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (5, ONE_ID[0][0]), (5, ONE_ID[0][1]), (5, "some other text")]
+
+
+def test_very_long_text(frame):
+    long = " ".join(str(i % 7001) for i in range(200_000))
+    kept = simhash.keep_one(frame([long, f"{long} end", "other"]))
+    assert {r.doc_id for r in kept.collect()} == {0, 2}
+
+
 def lines_without(texts, ids):
     """Windows of three worded lines over all texts in order of id; later ones are covered."""
     split, worded = [(t or "").split("\n") for t in texts], []
@@ -131,12 +147,6 @@ def lines_without(texts, ids):
         at, lines = worded[d], split[d]
         size = min(3, len(at))
         found = {(at[i], at[i + size - 1], (size, *(lines[p] for p in at[i : i + size]))) for i in range(len(at) - size + 1)} if size else set()
-        for i, p in enumerate(at):
-            n = len(SPACED.findall(lines[p]))
-            if n > 50:
-                found.add((p, p, (1, lines[p])))
-            elif i + 1 < len(at) and n + len(SPACED.findall(lines[at[i + 1]])) > 50:
-                found.add((p, at[i + 1], (2, lines[p], lines[at[i + 1]])))
         windows += [(d, *w) for w in sorted(found)]
     seen, gone = set(), [set() for _ in texts]
     for d, p, q, content in sorted(windows, key=lambda w: (ids[w[0]], w[1])):
@@ -162,7 +172,10 @@ def test_line_dedup_against_scanning(frame, odd):
 def test_line_dedup_defined_cases(frame):
     passage = "first line\nsecond line\nthird line"
     got = {r.doc_id: r.text for r in linededup.dedup_lines(frame([passage, f"before\n{passage}\nafter", None, "", f"{passage}\n{passage}"])).collect()}
-    assert got == {0: passage, 1: "before\nafter", 2: None, 3: "", 4: ""} or got[1] == "before\nafter"
+    assert got == {0: passage, 1: "before\nafter", 2: None, 3: "", 4: ""}
+    long = " ".join(["long"] * 60)
+    short = {r.doc_id: r.text for r in linededup.dedup_lines(frame([f"{long}\nb", f"{long}\nb", f"{long}\nc", long, f"{long}\nb\nc\nd"])).collect()}
+    assert short == {0: f"{long}\nb", 1: "", 2: f"{long}\nc", 3: long, 4: f"{long}\nb\nc\nd"}
     assert linededup.dedup_lines(frame([]).where("false")).count() == 0
     again = linededup.dedup_lines(frame(["x\ny\nz", "x\ny\nz"], [None, None])).collect()
     assert [r.text for r in again] == ["x\ny\nz"] * 2

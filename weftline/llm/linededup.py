@@ -1,14 +1,13 @@
 """Line dedup by overlapping windows of three lines, in DataFrame functions only.
 
 A text is split at newlines. Lines without a word (``[^\\x20\\x09-\\x0D]+``) stand in no window. A window is three
-consecutive lines with words; a text with one or two of them is one window. So that a long passage in fewer than three
-lines is found too, the shortest run of one or two lines with over ``long_words`` words is a window of its own.
-Windows are compared through 128 bits of hash over all documents. The first occurrence, by id and then by position,
+consecutive lines with words. Windows are compared through 128 bits of hash over all documents. The first occurrence, by id and then by position,
 stays; the lines that any later occurrence covers go, with blank lines between them.
 
-Lines are compared whole: a long passage inside different lines, or in a line with one other word, is not found and stays.
+Lines are compared whole: a long passage inside different lines, in a line with one other word, or in fewer than three
+lines of a longer text, is not found and stays.
 
-Defined results: a null text stays null, an empty text stays empty. Rows equal in id and text are one document and
+Defined results: a text with one or two lines with words has these as its only window, so that whole short copies go; a null text stays null, an empty text stays empty. Rows equal in id and text are one document and
 get the same result. A null id sorts first. Empty tables give empty results. Other columns pass through unchanged.
 """
 
@@ -23,12 +22,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _lines(text: Column) -> Column:
-    """The lines with words: position p, two hashes a and b, words n."""
-    split = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("p"), F.regexp_count(x, F.lit(WORD)).alias("n"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
-    return F.filter(split, lambda s: s["n"] > 0)
+    """The lines with words: position p, two hashes a and b."""
+    split = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("p"), x.rlike(WORD).alias("worded"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b")))
+    return F.filter(split, lambda s: s["worded"])
 
 
-def windows(docs: DataFrame, id_col: str, text_col: str, long_words: int = 50) -> DataFrame:
+def windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row a window: id, t (hash of the text), p and q (its first and last line), a and b (its hash)."""
     lines = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), _lines(F.col(text_col)).alias("l")).where(F.size("l") > 0)
 
@@ -38,14 +37,12 @@ def windows(docs: DataFrame, id_col: str, text_col: str, long_words: int = 50) -
 
     n = F.size("l")
     threes = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: window(i, 3, 3))).when(n == 2, F.array(window(F.lit(0), 2, 2))).otherwise(F.array(window(F.lit(0), 1, 1)))
-    words = lambda i, k: sum((F.coalesce(F.get("l", i + j)["n"], F.lit(0)) for j in range(1, k)), F.get("l", i)["n"])
-    long = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(words(i, 1) > long_words, window(i, 1, 1)).when((i + 1 < n) & (words(i, 2) > long_words), window(i, 2, 2)))
-    return lines.select("id", "t", F.explode(F.array_distinct(F.concat(threes, F.filter(long, lambda x: x.isNotNull())))).alias("w")).select("id", "t", "w.*")
+    return lines.select("id", "t", F.explode(F.array_distinct(threes)).alias("w")).select("id", "t", "w.*")
 
 
-def repeated(docs: DataFrame, id_col: str, text_col: str, long_words: int = 50) -> DataFrame:
+def repeated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """For each document with later occurrences: id, t and the covered positions, merged."""
-    all_windows = windows(docs, id_col, text_col, long_words)
+    all_windows = windows(docs, id_col, text_col)
     place = F.struct("id", "t", "p")
     firsts = all_windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").drop("last")
     later = all_windows.join(firsts, ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
@@ -53,9 +50,9 @@ def repeated(docs: DataFrame, id_col: str, text_col: str, long_words: int = 50)
     return spans.select("id", "t", F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["p"], s["q"])))).alias("covered"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_words: int = 50, removed_col: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = None) -> DataFrame:
     """``docs`` with later occurrences of repeated windows taken out of the text; ``removed_col`` gets the lines removed."""
-    gone = repeated(docs, id_col, text_col, long_words)
+    gone = repeated(docs, id_col, text_col)
     i, t, c = (fresh(docs, x) for x in ("_line_id", "_line_text", "_line_covered"))
     gone = gone.toDF(i, t, c)
     joined = docs.join(gone, docs[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col]) == F.col(t)), "left")

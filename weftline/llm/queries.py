@@ -100,19 +100,15 @@ from firsts""",
 with split as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
 each_line as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as p from split),
 worded as (
-  select *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) as n from each_line
-  where regexp_matches(line, '[^\x20\x09-\x0D]')
+  select * from each_line where regexp_matches(line, '[^\x20\x09-\x0D]')
 ), runs as (
-  select doc_id, line, p, n, count(*) over d as lines,
-    lead(line, 1) over w as line2, lead(p, 1) over w as p2, lead(n, 1) over w as n2,
-    lead(line, 2) over w as line3, lead(p, 2) over w as p3, row_number() over w as k
+  select doc_id, line, p, count(*) over d as lines, lead(line, 1) over w as line2, lead(p, 1) over w as p2,
+    lead(line, 2) over w as line3, lead(p, 2) over w as p3
   from worded window w as (partition by doc_id order by p), d as (partition by doc_id)
 ), windows as (
   select doc_id, p, p3 as q, '3' || chr(10) || line || chr(10) || line2 || chr(10) || line3 as content from runs where line3 is not null
-  union select doc_id, p, p2, '2' || chr(10) || line || chr(10) || line2 from runs where lines = 2 and line2 is not null
-  union select doc_id, p, p, '1' || chr(10) || line from runs where lines = 1
-  union select doc_id, p, p, '1' || chr(10) || line from runs where n > 50
-  union select doc_id, p, p2, '2' || chr(10) || line || chr(10) || line2 from runs where n <= 50 and n + n2 > 50
+  union all select doc_id, p, p2, '2' || chr(10) || line || chr(10) || line2 from runs where lines = 2 and line2 is not null
+  union all select doc_id, p, p, '1' || chr(10) || line from runs where lines = 1
 ), later as (
   select doc_id, p, q from (select *, row_number() over (partition by content order by doc_id, p) as place from windows) where place > 1
 ), gone as (select distinct doc_id, unnest(range(p, q + 1)) as p from later),
@@ -134,7 +130,7 @@ dwindows as (
   from (select doc_id, w, n, unnest(range(len(w) - n + 1)) as i from dwords, sizes where len(w) >= n)
 ), hits as (select d.doc_id, d.i, d.n, b.item from dwindows d join iwindows b on d.n = b.n and d.content = b.content),
 words as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id),
-items as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as digest from (select distinct doc_id, item from hits) group by doc_id)
+items as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as digest from (select distinct doc_id, item from hits where item is not null) group by doc_id)
 select d.doc_id, len(d.w) as n_words, coalesce(h.n_hit, 0) as n_hit, coalesce(i.n_items, 0) as n_items,
   coalesce(i.digest, sha256('')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
 from dwords d left join words h on d.doc_id = h.doc_id left join items i on d.doc_id = i.doc_id""",
