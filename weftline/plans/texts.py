@@ -267,10 +267,14 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.paragraphs(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.col("n").cast("long").alias("n"), F.length("paragraph").cast("long").alias("chars"))
 
 
-@query("f19_repeated_words")
+@query("f19_repeated_words", r"""
+with told as (select doc_id, string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+') as parts from documents),
+each_pair as (select doc_id, regexp_extract(parts[i], '(?:^|[^\pL\pN_])(\pL+)$', 1) as a, regexp_extract(parts[i + 1], '^(\pL+)(?:[^\pL\pN_]|$)', 1) as b
+  from (select doc_id, parts, unnest(range(1, len(parts))) as i from told))
+select d.doc_id, (select count(*) from each_pair e where e.doc_id = d.doc_id and a <> '' and a = b) as n from documents d""")
 def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words that stand twice in a row. A back-reference is needed, which the oracle's regexes lack."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?iU)\b([^\W\d_]+)\s+\1\b")).alias("n"))
+    """Words that stand twice in a row."""
+    return table(spark, sf_dir, "documents").select("doc_id", T.repeated_words(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
 
 
 @query("f51_half_even", """
