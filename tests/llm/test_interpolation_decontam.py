@@ -56,11 +56,13 @@ def test_scores_against_counting(spark, frame, odd, sf_dir):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_small_blocks_and_buckets_change_nothing(frame, monkeypatch):
-    texts = [f"the cat {i % 5} sat on the mat {i}" for i in range(60)] + [None, ""]
-    want = sorted((r.doc_id, round(r.score, 9)) for r in interpolation.score(frame(texts)).collect())
-    monkeypatch.setattr(interpolation, "BUCKET_TOKENS", 10)
-    assert sorted((r.doc_id, round(r.score, 9)) for r in interpolation.score(frame(texts).repartition(5)).collect()) == want
+@pytest.mark.parametrize("bits", [1, 2, 8])
+def test_small_blocks_and_many_levels_change_nothing(frame, bits):
+    """Blocks of a few texts, in groups of two, four and 256: up to six levels of sums."""
+    texts = [f"the cat {i % 5} sat on the mat {i}" for i in range(120)] + [None, ""]
+    rows = lambda df: sorted((r.doc_id, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in df.collect())
+    want = rows(interpolation.score(frame(texts).repartition(1)))
+    assert rows(interpolation.score(frame(texts).repartition(5), block_tokens=20, bits=bits)) == want
 
 
 def test_expectation_maximisation_rises():

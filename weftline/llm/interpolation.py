@@ -4,15 +4,19 @@ P(w|h) = l2 c(h,w)/c(h) + l1 c(w)/N + l0/(V+1), with weights l for each bucket o
 are learned by expectation-maximisation on held-out counts: one fold of the training documents is deleted from the
 counts and its tokens are predicted from the rest. Counts cover all training documents.
 
-How it runs. Tokens are packed into blocks of two million, written as a table: document ids, token numbers and the
-64-bit hashes of the block's distinct words. Each block then sends its distinct words and word pairs with their counts, cut by
-ranges of hash into buckets, once: a pair costs a few bytes, and a hot word or pair arrives at most once a block. The
-number of buckets follows the tokens, so a bucket fits a task at any size. A bucket sums its keys and sends the totals back
-to each block, which then scores its documents. The weights come from a histogram of quantised probabilities of bounded
-size, the only thing that reaches the driver besides N and V.
+The order is two: a context is the word before. The weights see the probabilities of the deleted fold rounded to half
+powers of two, so that their histogram has a bounded size; it is the only thing that reaches the driver besides N and V.
+
+How it runs. Tokens are packed into blocks, written as a table: document ids, token numbers and the 64-bit hashes of the
+block's distinct words. Counts are exchanged in levels. On each level up to ``1 << FAN_BITS`` nodes (blocks at first) form a
+group; each sends its sorted distinct keys with their counts, cut into as many ranges of hash, and the group's sums of one
+range are a node of the next level. So a node is about as large on every level, rows are sent in proportion to the
+blocks and the levels (their logarithm), and a hot word or pair arrives at most once a node. On the last level the sums
+are totals; they go back the same way, aligned with the keys that came, and each block scores its documents.
 
 Defined results: a null or empty text has one token, its end; words that hash alike (64 bits) would count as one;
-with no training token every word is unknown; rows repeated are counted as often; an empty table gives no rows.
+with no training token every word is unknown; rows repeated are counted as often; an empty table gives no rows; columns
+other than id and text are not read, and the id keeps its name, which may be that of a result column only in other case.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from weftline.llm.common import map_batches, remainder, spaced_words, written
 
 FOLDS, TEST_FOLD, DELETED_FOLD = 7, 2, 3
-BLOCK_TOKENS, BUCKET_TOKENS = 2_000_000, 2_000_000
+BLOCK_TOKENS, FAN_BITS = 1_000_000, 8
 END = xxhash.xxh64_intdigest(b" end", 0)  # no word holds a space
 START = xxhash.xxh64_intdigest(b" start", 0)
 CONTEXT_BUCKETS, STEP, LEVELS = 40, 2, 80
@@ -64,11 +68,11 @@ def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return k ^ (k >> np.uint64(29))
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def blocks(docs: DataFrame, id_col: str, text_col: str, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row a block: ids, folds and token counts of its documents, token numbers, hashes of its words."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"block long, ids array<{kind}>, folds array<int>, lengths array<int>, train_tokens long, n_tokens long, words binary, tokens binary"
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def pack(batches):
         part, number = TaskContext.get().partitionId(), 0
@@ -89,7 +93,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 folds.append(fold)
                 lengths.append(len(words) + 1)
                 held += len(words) + 1
-                if held >= BLOCK_TOKENS:
+                if held >= block_tokens:
                     yield row()
                     ids, folds, lengths, chunks, known, held, number = [], [], [], [], {}, 0, number + 1
         if held:
@@ -118,52 +122,114 @@ def _sorted_counts(keys: np.ndarray, fold: np.ndarray):
     order = np.argsort(keys, kind="stable")
     keys, fold = keys[order], fold[order]
     start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[start], np.add.reduceat(fold != TEST_FOLD, start, dtype=np.uint32), np.add.reduceat(fold == DELETED_FOLD, start, dtype=np.uint32)
+    return keys[start], np.add.reduceat(fold != TEST_FOLD, start, dtype=np.int64), np.add.reduceat(fold == DELETED_FOLD, start, dtype=np.int64)
+
+
+PIECE = "kind int, node long, range long, sub int, keys binary, train binary, deleted binary"
+TOTAL = "kind int, node long, range long, sub int, train binary, deleted binary, distinct long"
+
+
+def _cut(keys: np.ndarray, level: int, bits: int):
+    """(number, first, end) of the ranges of sorted keys by the level's bits; keys agree in the bits before."""
+    sub = (keys << np.uint64(level * bits)) >> np.uint64(64 - bits)
+    heads = np.flatnonzero(np.concatenate([[True], sub[1:] != sub[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return zip(sub[heads].tolist(), heads.tolist(), [*heads[1:].tolist(), len(keys)], strict=True)
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _unpack_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
 
 
 def _send(table: DataFrame, bits: int) -> DataFrame:
-    """(kind, bucket, block, keys, train, deleted): each block's distinct words (0) and pairs (1), by leading bits."""
+    """The pieces of the blocks: distinct words (kind 0) and pairs (1) with their counts, by ranges of hash."""
     def work():
         def do(batch):
-            out = {k: [] for k in ("kind", "bucket", "block", "keys", "train", "deleted")}
+            out = {k: [] for k in ("kind", "node", "range", "sub", "keys", "train", "deleted")}
             for row in batch.to_pylist():
                 words, tokens, before, fold, _ = unpack(row)
                 for kind, keys in ((0, words[tokens]), (1, token_pairs(words, tokens, before))):
                     keys, train, deleted = _sorted_counts(keys, fold)
-                    edge = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-                    for bucket, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-                        if b > a:
-                            step = np.diff(keys[a:b], prepend=np.uint64(0))
-                            for name, x in zip(out, (kind, bucket, row["block"], planes(step), planes(train[a:b]), planes(deleted[a:b])), strict=True):
-                                out[name].append(x)
+                    for sub, a, b in _cut(keys, 0, bits):
+                        for name, x in zip(out, (kind, row["block"], 0, sub, _pack_keys(keys[a:b]), planes(train[a:b]), planes(deleted[a:b])), strict=True):
+                            out[name].append(x)
             return out
 
         return do
 
-    return map_batches(table, "kind int, bucket int, block long, keys binary, train binary, deleted binary", work, rows=1)
+    return map_batches(table, PIECE, work, rows=1)
+
+
+def _summed(pdf):
+    """The distinct keys of some pieces, where each piece's keys stand in them, and the sums."""
+    keys = [_unpack_keys(x) for x in pdf["keys"]]
+    distinct, where = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(where, np.concatenate([unplanes(x, np.int64) for x in pdf[c]])).astype(np.int64) for c in ("train", "deleted")]
+    return distinct, np.split(where, np.cumsum([len(k) for k in keys])[:-1]), sums
 
 
 def _total(pdf):
-    """Sums of one bucket, aligned with the keys of each block; distinct: keys in training, told once."""
+    """Totals of one range, aligned with the keys of each piece; distinct: keys in training, told once."""
     import pandas as pd
 
-    keys = [np.cumsum(unplanes(x, np.uint64), dtype=np.uint64) for x in pdf["keys"]]
-    _, where = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = [np.bincount(where, np.concatenate([unplanes(x, np.uint32) for x in pdf[c]])).astype(np.int64) for c in ("train", "deleted")]
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    back = [[planes(part) for part in np.split(s[where], cuts)] for s in sums]
-    return pd.DataFrame({"kind": pdf["kind"], "bucket": pdf["bucket"], "block": pdf["block"], "train": back[0], "deleted": back[1], "distinct": [int((sums[0] > 0).sum())] + [0] * (len(pdf) - 1)})
+    _, where, sums = _summed(pdf)
+    back = {c: [planes(s[w]) for w in where] for c, s in zip(("train", "deleted"), sums, strict=True)}
+    return pd.DataFrame({c: pdf[c] for c in ("kind", "node", "range", "sub")} | back | {"distinct": [int((sums[0] > 0).sum())] + [0] * (len(pdf) - 1)})
+
+
+def _exchange(pieces: DataFrame, groups: int, level: int, bits: int) -> DataFrame:
+    """Totals over all nodes for the keys of every piece, by levels of groups."""
+    if groups <= 1:
+        return pieces.groupBy("kind", "range", "sub").applyInPandas(_total, TOTAL)
+    pieces = written(pieces.withColumn("up", F.pmod(F.xxhash64(F.lit(level), "node"), F.lit(groups))).withColumn("wide", F.col("range") * (1 << bits) + F.col("sub")))
+    place = ["kind", "up", "wide"]
+
+    def merge(key, pdf):
+        import pandas as pd
+
+        keys, _, sums = _summed(pdf)
+        return pd.DataFrame({"kind": [key[0]], "up": [key[1]], "wide": [key[2]], "keys": [_pack_keys(keys)], "train": [planes(sums[0])], "deleted": [planes(sums[1])]})
+
+    merged = written(pieces.groupBy(*place).applyInPandas(merge, "kind int, up long, wide long, keys binary, train binary, deleted binary"))
+
+    def again():
+        def do(batch):
+            out = {k: [] for k in ("kind", "node", "range", "sub", "keys", "train", "deleted")}
+            for row in batch.to_pylist():
+                keys, train, deleted = _unpack_keys(row["keys"]), unplanes(row["train"], np.int64), unplanes(row["deleted"], np.int64)
+                for sub, a, b in _cut(keys, level + 1, bits):
+                    for name, x in zip(out, (row["kind"], row["up"], row["wide"], sub, _pack_keys(keys[a:b]), planes(train[a:b]), planes(deleted[a:b])), strict=True):
+                        out[name].append(x)
+            return out
+
+        return do
+
+    above = _exchange(map_batches(merged, PIECE, again, rows=8), -(-groups >> bits), level + 1, bits)
+    parts = above.groupBy("kind", F.col("node").alias("up"), F.col("range").alias("wide")).agg(F.array_sort(F.collect_list(F.struct("sub", "train", "deleted"))).alias("parts"), F.sum("distinct").alias("distinct"))
+    known = merged.select(*place, F.col("keys").alias("known")).join(parts, place)
+
+    def back(left, right):
+        import pandas as pd
+
+        known, parts = _unpack_keys(right["known"].iloc[0]), right["parts"].iloc[0]
+        totals = {c: np.concatenate([unplanes(p[c], np.int64) for p in parts]) for c in ("train", "deleted")}
+        at = [np.searchsorted(known, _unpack_keys(x)) for x in left["keys"]]
+        return pd.DataFrame({c: left[c] for c in ("kind", "node", "range", "sub")} | {c: [planes(x[w]) for w in at] for c, x in totals.items()} | {"distinct": [int(right["distinct"].iloc[0])] + [0] * (len(left) - 1)})
+
+    return pieces.groupBy(*place).cogroup(known.groupBy(*place)).applyInPandas(back, TOTAL)
 
 
-def corpus_counts(table: DataFrame, n_tokens: int) -> DataFrame:
-    """(kind, bucket, block, train, deleted, distinct): totals over the corpus for the keys of every block."""
-    bits = max(5, int(np.ceil(np.log2(max(1, n_tokens / BUCKET_TOKENS)))))
-    return written(_send(table, bits).groupBy("kind", "bucket").applyInPandas(_total, "kind int, bucket int, block long, train binary, deleted binary, distinct long"))
+def corpus_counts(table: DataFrame, bits: int = FAN_BITS) -> DataFrame:
+    """(kind, node, range, sub, train, deleted, distinct): totals over the corpus for the keys of every block."""
+    return written(_exchange(_send(table, bits), -(-table.count() >> bits), 0, bits))
 
 
 def _gathered(table: DataFrame, counts: DataFrame) -> DataFrame:
-    parts = F.array_sort(F.collect_list(F.struct("kind", "bucket", "train", "deleted"))).alias("parts")
-    return table.join(counts.groupBy("block").agg(parts), "block")
+    parts = F.array_sort(F.collect_list(F.struct("kind", "sub", "train", "deleted"))).alias("parts")
+    return table.join(counts.groupBy(F.col("node").alias("block")).agg(parts), "block")
 
 
 def _lookup(row: dict, only: int | None = None):
@@ -238,17 +304,17 @@ def expectation_maximisation(p: np.ndarray, n: np.ndarray, weights: np.ndarray,
     return np.maximum(weights, [0, 0, 1e-6]) / np.maximum(weights, [0, 0, 1e-6]).sum()
 
 
-def fit(table: DataFrame) -> tuple[Model, DataFrame]:
-    train, tokens = table.agg(F.sum("train_tokens"), F.sum("n_tokens")).first()
-    counts = corpus_counts(table, tokens or 0)
+def fit(table: DataFrame, bits: int = FAN_BITS) -> tuple[Model, DataFrame]:
+    train = table.agg(F.sum("train_tokens")).first()[0]
+    counts = corpus_counts(table, bits)
     distinct = counts.where("kind = 0").agg(F.sum("distinct")).first()[0] or 0
     return Model(train or 0, distinct, learn_weights(table, counts, train or 0, distinct)), counts
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, bits: int = FAN_BITS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, both sums of log10."""
-    table = blocks(docs, id_col, text_col)
-    model, counts = fit(table)
+    table = blocks(docs, id_col, text_col, block_tokens)
+    model, counts = fit(table, bits)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work():
