@@ -36,6 +36,7 @@ def map_batches(df: DataFrame, schema: str, work: Callable[[], Callable], rows:
             for at in range(0, batch.num_rows, rows):
                 out = do(batch.slice(at, rows))
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)
 
