@@ -87,7 +87,7 @@ PAGES = [(5, "http://b.example/x", BIG), (2, "http://a.example/", BIG), (9, "htt
 
 def test_archives_read_back(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
-    index = warc.archive(pages, str(tmp_path / "w"), records_per_file=2).collect()
+    index = warc.archive(pages, str(tmp_path / "w"), file_bytes=900).collect()
     assert len(index) == len(PAGES)
     by = {r.page_id: r for r in index}
     for i, _, body in PAGES:
@@ -100,8 +100,31 @@ def test_archives_read_back(spark, tmp_path):
     assert len(files) > 1
 
 
+def test_large_index_in_global_order(spark, tmp_path):
+    """Many files, many pages of one url: several ranges, each from pieces of many runs."""
+    rng = random.Random(12)
+    rows = [(i, f"http://{rng.choice('abc')}.example/{rng.randrange(40)}", f"page {i} " * rng.randrange(1, 40), rng.randrange(9)) for i in range(6000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, at long").repartition(5)
+    warc.write_archives(pages, str(tmp_path / "w"), file_bytes=40_000, ts_col="at")
+    runs = warc.written(warc.read_runs(spark, str(tmp_path / "w")))
+    assert runs.select("file").distinct().count() > 10
+    merged = warc.merge_runs(runs, 7)
+    got = [tuple(r) for r in merged.collect()]
+    assert len(got) == 6000 and got == sorted(got, key=warc.capture_order) and {r[2] for r in got} == set(range(6000))
+    per_part = merged.groupBy(F.spark_partition_id()).count().collect()
+    assert len(per_part) > 4 and max(r["count"] for r in per_part) < 3000
+
+
+@given(st.lists(st.lists(st.integers(0, 50), max_size=30), max_size=8), st.integers(1, 5), st.integers(1, 4))
+@settings(max_examples=150, deadline=None)
+def test_pieces_merge_and_little_is_held(runs, size, wave):
+    runs = [sorted(("k", t, n, 0, "", "", None, f"f{f}", n) for n, t in enumerate(r)) for f, r in enumerate(runs)]
+    pieces = sorted((r[i : i + size] for r in runs for i in range(0, len(r), size)), key=lambda p: warc.capture_order(p[0]))
+    assert [x for out in warc.merge_pieces(iter(pieces), wave) for x in out] == sorted((x for r in runs for x in r), key=warc.capture_order)
+
+
 def test_damaged_payload_is_told(spark):
-    bad = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: \r\nWARC-Payload-Digest: sha256:00\r\nX-Payload-Length: 1\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    bad = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Target-URI: \r\nWARC-Payload-Digest: sha256:00\r\nX-Payload-Length: 1\r\nContent-Length: 20\r\n\r\nHTTP/1.1 200 OK\r\n\r\nx\r\n\r\n"
     with pytest.raises(ValueError, match="digest"):
         warc.captures(bad, "f")
 
