@@ -46,14 +46,63 @@ def test_no_labels_score_nothing(spark, frame):
     assert [r.score for r in toxicity.score_texts(frame(["a b", None]), none, ["doc_id"]).collect()] == [0.0, 0.0]
 
 
-def test_class_models_are_distributions(spark):
-    """The unigrams of either class sum to one; a pair's mass and what is left to the backoff do too."""
+def class_models(texts, min_pairs):
+    """By counting: of either class the unigrams, what is left to the backoff, and the kept pairs, word by word."""
+    pairs = {c: Counter(p for t, toxic in texts if toxic == c for p in set(zip(["", *t.split()[:-1]], t.split(), strict=True))) for c in (0, 1)}
+    words = sorted({w for c in pairs for _, w in pairs[c]})
+    heard = {c: Counter(w for _, w in pairs[c]) for c in pairs}
+    context = {c: Counter() for c in pairs}
+    for c in pairs:
+        for (h, _), n in pairs[c].items():
+            context[c][h] += n
+    both = {w: heard[0][w] + heard[1][w] + 0.5 for w in words}
+    rest = sum(both.values()) + 2 * 0.5  # the unknown word and the start
+    shared = {w: n / rest for w, n in both.items()} | {None: 0.5 / rest}
+    kept = {p for p in set(pairs[0]) | set(pairs[1]) if pairs[0][p] + pairs[1][p] >= min_pairs}
+    unigram, left, pair = {}, {}, {}
+    for c in pairs:
+        total = sum(heard[c].values())
+        held = {w: max(0.0, heard[c][w] - toxicity.FLAT - toxicity.SHARE * total * shared[w]) / total for w in words}
+        unigram[c] = {w: held.get(w, 0.0) + (1 - sum(held.values())) * shared[w] for w in shared}
+        own = {}
+        for h, w in kept:
+            together = (pairs[0][h, w] + pairs[1][h, w]) / max(1, context[0][h] + context[1][h])
+            own[h, w] = max(0.0, pairs[c][h, w] - toxicity.FLAT_PAIRS - toxicity.SHARE * context[c][h] * together) / max(1, context[c][h])
+        left[c] = {h: 1 - sum(x for (a, _), x in own.items() if a == h) for h in [*words, ""]}
+        pair[c] = {(h, w): own[h, w] + left[c][h] * (pairs[0][h, w] + pairs[1][h, w]) / max(1, context[0][h] + context[1][h]) * unigram[c][w] / shared[w] for h, w in kept}
+    return unigram, left, pair
+
+
+def test_class_models_against_counting(spark):
+    """The unigrams of either class and its unknown words sum to one; evidence is that of the models, word by word."""
     rng = np.random.default_rng(0)
-    texts = [(" ".join(rng.choice(list("abcdefgh"), 12)), int(i % 3 == 0), False) for i in range(300)]
-    rows = spark.createDataFrame(texts, "text string, toxic int, fit boolean")
-    vocabulary = {w.encode(): i + 2 for i, w in enumerate("abcdefgh")}
-    built = toxicity.kneser_ney(vocabulary, toxicity.count_pairs(rows, vocabulary), 1)
-    assert np.isfinite(built.word).all() and np.isfinite(built.pair).all() and np.isfinite(built.backoff).all()
+    letters = [f"w{i}" for i in range(200)]
+    spoken = [*letters, "m", "n", "o"]
+    texts = [(" ".join([*rng.choice(letters, 12), *(["m", "n", "o"] if i % 10 == 0 and i % 50 else [])]), int(i % 10 == 0)) for i in range(600)]
+    rows = spark.createDataFrame([(t, c, False) for t, c in texts], "text string, toxic int, fit boolean")
+    vocabulary = {w.encode(): i + 2 for i, w in enumerate(spoken)}
+    built = toxicity.kneser_ney(vocabulary, toxicity.count_pairs(rows, vocabulary), 6)
+    unigram, left, pair = class_models(texts, 6)
+    for c in (0, 1):
+        assert sum(unigram[c].values()) + unigram[c][None] == pytest.approx(1)
+    new = [" ".join(rng.choice([*letters, "zz"], rng.integers(0, 20))) for _ in range(50)] + ["m n o", "", None, "zz zz"]
+    for text, got in zip(new, built.evidence(new), strict=True):
+        words, total = (text or "").split(), 0.0
+        for h, w in zip(["", *words], words, strict=False):
+            at = [pair[c].get((h, w)) or left[c].get(h, 1.0) * unigram[c].get(w, unigram[c][None]) for c in (0, 1)]
+            total += math.log2(at[1]) - math.log2(at[0])
+        assert got == pytest.approx(total / (len(words) + toxicity.PRIOR_WORDS), abs=1e-9)
+    assert built.evidence(["m n o"])[0] > 0.1 > abs(built.evidence(["w1 w2 w3 w4"])[0])
+
+
+def test_empty_very_long_and_tied(spark, frame, model):
+    assert toxicity.score_texts(frame([]).where("false"), model, ["doc_id"]).count() == 0
+    none = toxicity.train(frame([]).where("false"), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert none.score(["anything"]).tolist() == [0.0]
+    long = toxicity.score_texts(frame(["word " * 400_000, "word " * 10]), model, ["doc_id"]).collect()
+    assert all(0 <= r.score < 0.5 for r in long)
+    rows = [toxicity.training_rows(frame(["a", "b", "c", "d"], [1, 2, 3, 3]).repartition(n), spark.createDataFrame([(i, 1) for i in (1, 2, 3, 3)], "doc_id long, toxic int"), F.lit(True), "doc_id", "text", "toxic", 2) for n in (1, 3)]
+    assert sorted(r.text for r in rows[0].collect()) == sorted(r.text for r in rows[1].collect())
 
 
 def test_round_trip(spark, frame, odd, sf_dir):

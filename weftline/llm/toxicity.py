@@ -4,7 +4,9 @@ Two bigram models, of toxic and of ordinary texts, share their backoff. At the t
 documents; below them its words, by Kneser-Ney continuation counts (distinct words before); below both the continuation
 counts of all classes together. Each class count is discounted by ``FLAT`` and by ``SHARE`` times what the shared backoff
 expects of it, and the mass goes to the backoff: a rare expression, or one that is about as common in both classes,
-weighs alike in both, so that language and subject don't move the ratio. Copies of a text teach once.
+weighs alike in both, so that language and subject don't move the ratio. That is more than Kneser and Ney take: with one
+discount a level, estimated from counts of counts, subjects drown the few words that tell (README has the figures).
+Copies of a text teach once.
 A text's evidence is the log-likelihood ratio of its words, by their number (and ``PRIOR_WORDS`` more, so that a short
 text needs strong words). A logistic curve, fitted on labelled rows that the counts leave out, turns it into a score.
 
@@ -12,7 +14,9 @@ The models learn from at most ``SAMPLE`` labelled rows, those with the smallest
 ``MIN_DOCS`` and pairs in fewer than ``MIN_PAIRS`` documents are left to the backoff. All are parameters. The models are
 so bounded in size, and go to every task.
 
-Defined results: a text without words has no evidence and gets the score of that; rows without a label, or with a null
+Defined results: a text without words has no evidence and gets the score of that; an empty table gives no rows; texts of any
+length are read whole; ids that tie in hash are ordered by id, and rows of one id all belong to the sample or none; columns
+other than those named are not read by ``score_texts`` and pass through ``drop_toxic``; rows without a label, or with a null
 one, teach nothing; of several labels of one id the largest counts; without rows of both classes every score is 0.
 """
 
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, fresh, letter_words, map_batches, remainder
+from weftline.llm.common import fresh, letter_words, map_batches, remainder, written
 
 SAMPLE, MIN_DOCS, MIN_PAIRS, PRIOR_WORDS = 12_000, 4, 6, 8
 FLAT, FLAT_PAIRS, SHARE = 2.0, 8.0, 2.0
@@ -77,7 +81,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: s
     chosen = said.withColumn("order", order).orderBy("order", "id").limit(sample).select("id", "toxic", (F.pmod("order", F.lit(4)) == 0).alias("fit"))
     # at most ``sample`` slim rows
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    return cut(rows.select("text", "toxic", "fit").dropDuplicates(["text", "toxic"]))
+    return written(rows.select("text", "toxic", "fit").dropDuplicates(["text", "toxic"]))
 
 
 def count_words(rows: DataFrame) -> DataFrame:
@@ -182,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, id_
     classes = {r["toxic"] > 0 for r in rows.select("toxic").distinct().collect()}
     if classes != {True, False}:
         return none
-    model = kneser_ney(vocabulary, cut(count_pairs(counted, vocabulary)), min_pairs)
+    model = kneser_ney(vocabulary, written(count_pairs(counted, vocabulary)), min_pairs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work():
