@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -40,19 +40,28 @@ def runs(toks: Column, most: int) -> Column:
 
 def find_terms(segments: DataFrame, terms: DataFrame, keep: list[str]) -> DataFrame:
     """(keep, hits): terms (term_id, kind, source_term, target_term, case_sensitive) in (keep, source), longest first, none
-    over another. Tokens meet only terms that begin alike, so the join is by key; a token carries as many tokens as the
-    longest term has, not its text."""
-    pats = terms.where("kind != 'forbidden'").select("*", tokens(F.col("source_term")).alias("_pat")).where(F.size("_pat") > 0).withColumn("_key", F.substring(F.col("_pat")[0]["key"], 1, 3))
+    over another. Forms of a word are equal or agree in their first four letters, so that is the key of the join; a token
+    carries as many tokens as the longest term has, not its text. Of terms on one span the best goes on, and the longest
+    are chosen within each cluster of spans that overlap, so long segments take no longer a hit than short ones."""
+    pats = terms.where("kind != 'forbidden'").select("*", tokens(F.col("source_term")).alias("_pat")).where(F.size("_pat") > 0).withColumn("_key", F.substring(F.col("_pat")[0]["key"], 1, 4))
     most = pats.agg(F.max(F.size("_pat"))).first()[0] or 1
     toks = segments.select(*keep, tokens(F.col("source")).alias("_toks"))
-    begun = toks.select(*keep, F.explode(runs(F.col("_toks"), most)).alias("_run")).withColumn("_key", F.substring(F.col("_run")[0]["key"], 1, 3))
+    begun = toks.select(*keep, F.explode(runs(F.col("_toks"), most)).alias("_run")).withColumn("_key", F.substring(F.col("_run")[0]["key"], 1, 4))
     hit = begun.join(pats, "_key").where(matches(F.col("_run"), F.col("_pat"), F.col("case_sensitive")))
     start, last = F.col("_run")[0]["start"], F.get("_run", F.size("_pat") - 1)["end"]
     rank = F.coalesce(*(F.when(F.col("kind") == k, n) for k, n in PRIORITY.items()), F.lit(9))
-    found = hit.select(*keep, F.struct((start - last).alias("order"), start.alias("start"), rank.alias("rank"), "term_id", last.alias("end"), "kind", "source_term", "target_term", "case_sensitive").alias("h"))
-    ranked = found.groupBy(*keep).agg(F.array_sort(F.collect_list("h")).alias("ranked"))
+    found = hit.select(*keep, start.alias("start"), last.alias("end"), F.struct(rank.alias("rank"), "term_id", "kind", "source_term", "target_term", "case_sensitive").alias("t"))
+    spans = found.groupBy(*keep, "start", "end").agg(F.min("t").alias("t"))
+    order = Window.partitionBy(*keep).orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = spans.withColumn("_new", F.when(F.col("start") < reach, 0).otherwise(1))
+    numbered = begins.withColumn("_cluster", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    fields = F.struct((F.col("start") - F.col("end")).alias("order"), "start", "t.rank", "t.term_id", "end", "t.kind", "t.source_term", "t.target_term", "t.case_sensitive")
+    ranked = numbered.groupBy(*keep, "_cluster").agg(F.array_sort(F.collect_list(fields)).alias("ranked"))
     free = lambda acc, h: F.when(F.exists(acc, lambda x: (x["start"] < h["end"]) & (h["start"] < x["end"])), acc).otherwise(F.concat(acc, F.array(h)))
-    return ranked.select(*keep, F.array_sort(F.aggregate("ranked", F.slice("ranked", 1, 0), free), lambda a, b: a["start"] - b["start"]).alias("hits"))
+    chosen = ranked.select(*keep, F.when(F.size("ranked") == 1, F.col("ranked")).otherwise(F.aggregate("ranked", F.slice("ranked", 1, 0), free)).alias("hits"))
+    whole = chosen.groupBy(*keep).agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    return whole.select(*keep, F.array_sort("hits", lambda a, b: a["start"] - b["start"]).alias("hits"))
 
 
 def violations(hits: DataFrame, keep: list[str], target: str) -> DataFrame:

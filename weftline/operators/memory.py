@@ -68,8 +68,8 @@ def similar_pairs(queries: DataFrame, rows: DataFrame, least: float = 0.3, word:
 
 def ngrams(words: Column, most: int) -> Column:
     """All runs of one to ``most`` words, space-joined, repeats kept."""
-    one = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.array(*(one(n) for n in range(1, most + 1))))
+    one = lambda n: F.when(F.size(words) >= n, F.transform(F.slice(words, 1, F.size(words) - n + 1), lambda w, i: F.concat_ws(" ", w, *(F.get(words, i + k) for k in range(1, n))))).otherwise(F.array().cast("array<string>"))
+    return F.concat(words, *(one(n) for n in range(2, most + 1)))
 
 
 def extract_terms(rows: DataFrame, words: Column, keys: list[str], most: int = 3, least: int = 2, limit: int = 50) -> DataFrame:

@@ -14,11 +14,13 @@ def nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, k: int,
     Queries are packed into matrices of ``block`` rows at most, and each partition of the rows meets one matrix at a
     time: it keeps k rows a query, so what is shuffled is k a query and partition. Zero vectors have no neighbours.
     """
-    packs = queries.where(F.col(vector).isNotNull()).groupBy((F.xxhash64(key) % F.lit(64)).alias("_part")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))).alias("q"))
+    told = queries.where(F.col(vector).isNotNull())
+    packs = told.groupBy(F.pmod(F.xxhash64(key), F.lit(max(1, -(-told.count() // block)))).alias("_part")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))).alias("q"))
     # a pack in several pieces once it passes ``block``
     packs = packs.select(F.explode(F.expr(f"transform(sequence(0, (size(q) - 1) div {block}), i -> slice(q, i * {block} + 1, {block}))")).alias("q"))
     spark, out = rows.sparkSession, None
-    matrix = [(np.array([x["id"] for x in r["q"]], np.int64), _unit(np.array([x["v"] for x in r["q"]], np.float64))) for r in packs.toLocalIterator()]
+    # a block at a time is on the driver
+    matrix = ((np.array([x["id"] for x in r["q"]], np.int64), _unit(np.array([x["v"] for x in r["q"]], np.float64))) for r in packs.toLocalIterator())
     slim = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
     for pack in _joined(matrix, block):
         sent = spark.sparkContext.broadcast(pack)  # at most ``block`` vectors

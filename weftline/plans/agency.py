@@ -152,11 +152,18 @@ def guarded_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("id long, cell string").option("header", True).csv(path)
 
 
-@query("s04_s12_files_and_signatures", "select p_brand as brand, count(*) as lines from part group by p_brand")
+SECRET = b"a secret of the tests"
+_PADS = {n: "".join(f"\\x{b ^ x:02X}" for b in SECRET.ljust(64, b"\0")) for n, x in (("inner", 0x36), ("outer", 0x5C))}
+
+
+@query("s04_s12_files_and_signatures", f"""
+select p_brand as brand, count(*) as lines,
+  sha256('{_PADS['outer']}'::blob || unhex(sha256('{_PADS['inner']}'::blob || encode('1700000000.' || p_brand || ':' || count(*))))) as signature from part group by p_brand""")
 def files_and_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blobs written by kind and read back whole."""
+    """Blobs written by kind and read back whole, and what a webhook would sign for each."""
     path = f"{folder(spark)}/{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "part").select(F.concat_ws("\t", "p_brand", "p_name").alias("value"))
     rows.write.text(path)
     lines = D.read_files(spark, path, "part-*").select(F.explode(F.split(F.rtrim("text"), "\n")).alias("line")).where("line != ''")
-    return lines.groupBy(F.split("line", "\t")[0].alias("brand")).agg(F.count(F.lit(1)).alias("lines"))
+    counted = lines.groupBy(F.split("line", "\t")[0].alias("brand")).agg(F.count(F.lit(1)).alias("lines"))
+    return counted.withColumn("signature", T.signature(SECRET, F.lit(1_700_000_000), F.concat_ws(":", "brand", F.col("lines").cast("string"))))

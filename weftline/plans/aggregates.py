@@ -129,10 +129,15 @@ def ledger_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.ledger(usage(spark, sf_dir).where("kind in ('purchase', 'click')"), "id", F.concat(F.lit("org:"), "org_id"), F.when(F.col("kind") == "purchase", "cash").otherwise("revenue"), "amount").groupBy("account").agg(F.count(F.lit(1)).alias("entries"), shown(F.sum("amount")).alias("balance"))
 
 
-@query("a20_ledger_violations", "select 0::bigint as id, 0::double as sum where false")
+@query("a20_ledger_violations", f"""
+with {USAGE}, postings as (select id, 'customer' as account, amount from usage union all select id, 'income', -amount from usage
+  union all select id, 'income', 0.01 from usage where kind = 'error' and id % 7 = 0)
+select id, sum(amount)::double as sum from postings group by id having sum(amount) <> 0""")
 def ledger_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transactions that don't cancel: none."""
-    rows = ops.ledger(usage(spark, sf_dir), "id", F.lit("a"), F.lit("b"), "amount")
+    """Transactions that don't cancel, in a ledger where a cent was posted too much for some events."""
+    rows = usage(spark, sf_dir)
+    stray = rows.where((F.col("kind") == "error") & (F.col("id") % 7 == 0)).select("id", F.lit("income").alias("account"), F.lit("0.01").cast("decimal(12,2)").alias("amount"))
+    rows = ops.ledger(rows, "id", F.lit("customer"), F.lit("income"), "amount").unionByName(stray)
     return rows.groupBy("id").agg(F.sum("amount").alias("sum")).where("sum != 0").select("id", shown("sum").alias("sum"))
 
 

@@ -118,7 +118,11 @@ def senate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("job_id", "roles", "outcome", n("confirmed").alias("confirmed"), n("discarded").alias("discarded"), n("verify").alias("to_verify"))
 
 
-@query("d61_d41_d48_grading")
+@query("d61_d41_d48_grading", """
+with e as (select l_orderkey as id, coalesce(list_distinct(list(l_returnflag) filter (where l_linenumber <= 3)), []) as want, coalesce(list_distinct(list(l_returnflag) filter (where l_linenumber >= 3)), []) as have from lineitem group by 1),
+told as (select *, len(list_intersect(want, have)) as hit, len(list_filter(have, lambda x: not list_contains(want, x))) as wrong from e)
+select id, round(case when len(want) = 0 then case when wrong = 0 then 1.0 else 0.0 end else greatest(0.0, (hit - 0.5 * wrong) / len(want)) end::double, 6) as grade,
+  (not list_contains(want, 'A') or list_contains(have, 'A')) and (not list_contains(want, 'R') or list_contains(have, 'R')) as terms_kept from told""")
 def grading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Controls graded by the errors found, and edits that lose a term."""
     e = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set(F.when(F.col("l_linenumber") <= 3, F.col("l_returnflag"))).alias("want"), F.collect_set(F.when(F.col("l_linenumber") >= 3, F.col("l_returnflag"))).alias("have"))
@@ -144,7 +148,10 @@ def find_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.regexp_count(x, F.lit(r"\b[Tt]he\b")).cast("long").alias("found"), F.sha2(F.regexp_replace(x, r"\b[Tt]he\b", "THE").cast("binary"), 256).alias("digest"))
 
 
-@query("f47_relative_dates")
+@query("f47_relative_dates", """
+with d as (select o_orderkey as id, o_orderdate::date as now from orders)
+select id, strftime(case id % 6 when 0 then now + ((11 - isodow(now)) % 7 + 1)::integer when 1 then now + 3 when 2 then now + 1
+  when 3 then make_date(year(now) + case when now > make_date(year(now), 12, 24) then 1 else 0 end, 12, 24) when 4 then now + 14 end, '%Y-%m-%d') as day from d""")
 def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that phrases mean, from each job's date."""
     phrase = F.element_at(F.array(*map(F.lit, ("by Friday", "in 3 days", "tomorrow", "on 24.12.", "in 2 weeks", "soon"))), (F.col("o_orderkey") % 6 + 1).cast("int"))

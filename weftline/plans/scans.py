@@ -151,13 +151,13 @@ def language_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("p08_p09_p10_p11_name_search", r"""
-select p_partkey as id, p_name as name, lower(trim(p_name)) = lower(trim(' ' || upper(p_name))) as same, starts_with(p_type, 'STANDARD') as standard,
-  p_brand like 'Brand#1%' as numbered, p_name ilike '%100\%%' escape '\' as literal_percent from part where p_name ilike '%part%'""")
+select p_partkey as id, p_name as name, lower(trim(p_name)) = lower(trim(' ' || upper(p_name))) as same, starts_with(p_type, 'STAND') as standard,
+  p_brand like 'Brand#1%' as numbered, (p_name || case when p_size > 25 then ' 100%' else ' 1000' end) ilike '%100\%%' escape '\' as literal_percent from part where p_name ilike '%DGET%'""")
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Substring, equality without case, prefix and escaped searches."""
     name = F.col("p_name")
     same = F.lower(F.trim(name)) == F.lower(F.trim(F.concat(F.lit(" "), F.upper(name))))
-    return table(spark, sf_dir, "part").where(name.ilike("%part%")).select(F.col("p_partkey").alias("id"), name.alias("name"), same.alias("same"), F.startswith("p_type", F.lit("STANDARD")).alias("standard"), F.col("p_brand").like("Brand#1%").alias("numbered"), F.lower(name).contains(text.literal("100%")).alias("literal_percent"))
+    return table(spark, sf_dir, "part").where(name.ilike("%DGET%")).select(F.col("p_partkey").alias("id"), name.alias("name"), same.alias("same"), F.startswith("p_type", F.lit("STAND")).alias("standard"), F.col("p_brand").like("Brand#1%").alias("numbered"), F.lower(F.concat(name, F.when(F.col("p_size") > 25, " 100%").otherwise(" 1000"))).contains(text.literal("100%")).alias("literal_percent"))
 
 
 @query("p12_p13_f71_json_predicates", """

@@ -14,10 +14,13 @@ from weftline.streaming import events as S
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where there is none, as in tests."""
+    """The shared folder that the cluster names; a temporary one serves local sessions only, whose executor is the driver."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftline-"))
     return f"{sc.getCheckpointDir()}/streams"
 
 

@@ -218,10 +218,13 @@ def memory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("a11_d15_inconsistencies", f"""
-with {PAIRS} select sha256(lower({SQUEEZE.format('source')})) as id, count(*) as n, count(distinct lower({SQUEEZE.format('target')})) as others from pairs group by lower({SQUEEZE.format('source')}) having count(distinct lower({SQUEEZE.format('target')})) > 1""")
+with pairs as (select case when p_partkey % 2 = 0 then upper(p_name) else p_name || '  ' end as source, p_brand as target from part)
+select sha256(lower({SQUEEZE.format('source')})) as id, count(*) as n, count(distinct lower({SQUEEZE.format('target')})) as others from pairs group by lower({SQUEEZE.format('source')}) having count(distinct lower({SQUEEZE.format('target')})) > 1""")
 def inconsistencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sources that are translated in more than one way."""
-    return memory.inconsistencies(parallel(spark, sf_dir), "source", "target").select(F.sha2(F.col("source").cast("binary"), 256).alias("id"), "n", "others")
+    """Sources, here names of parts in unlike case and spacing, that have more than one target."""
+    source = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat("p_name", F.lit("  ")))
+    pairs = table(spark, sf_dir, "part").select(source.alias("source"), F.col("p_brand").alias("target"))
+    return memory.inconsistencies(pairs, "source", "target").select(F.sha2(F.col("source").cast("binary"), 256).alias("id"), "n", "others")
 
 
 @query("a43_consistency", """

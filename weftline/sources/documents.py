@@ -63,7 +63,7 @@ def properties(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
 def apple_strings(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
     """(keep, n, key, value) of "key" = "value"; entries, comments aside."""
     bare = F.regexp_replace(text, r"(?s)/\*.*?\*/", "")
-    found = _units(df, keep, _pairs(bare, r'"((?:[^"\\]|\\.)*)"\s*=\s*"((?:[^"\\]|\\.)*)"\s*;', ["key", "value"]))
+    found = _units(df, keep, _pairs(bare, r'"((?:[^"\\]|\\.)*+)"\s*=\s*"((?:[^"\\]|\\.)*+)"\s*;', ["key", "value"]))
     return found.withColumns({c: _unescaped(F.col(c)) for c in ("key", "value")})
 
 
@@ -72,8 +72,8 @@ def gettext(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
     entries = df.select(*keep, F.posexplode(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"\n[ \t]*\n")).alias("n", "_e"))
 
     def part(name: str) -> Column:
-        lines = F.regexp_extract("_e", rf'(?m)^{name} ((?:"(?:[^"\\]|\\.)*"\s*)+)', 1)
-        return _unescaped(F.array_join(F.regexp_extract_all(lines, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1)), ""))
+        lines = F.regexp_extract("_e", rf'(?m)^{name} ((?:"(?:[^"\\]|\\.)*+"\s*)++)', 1)
+        return _unescaped(F.array_join(F.regexp_extract_all(lines, F.lit(r'"((?:[^"\\]|\\.)*+)"'), F.lit(1)), ""))
 
     told = entries.select(*keep, "n", part("msgctxt").alias("context"), part("msgid").alias("source"), part("msgid_plural").alias("plural"), F.coalesce(F.nullif(part(r"msgstr"), F.lit("")), part(r"msgstr\[0\]")).alias("target"), F.col("_e").rlike(r"(?m)^#,.*\bfuzzy\b").alias("fuzzy"))
     return told.where("source != ''")
