@@ -13,7 +13,10 @@ further, so a long text without spaces is no long chain unless its pieces overla
 Decoding is lossless: a space mark that stands in the text itself is written in byte pieces, and the mark that encoding
 puts in front is taken off again.
 
-Defined results: a null text has null ids and decodes to null; an empty text has no ids; a null key counts as empty.
+A piece's weight is a choice, for the model file holds ranks of merges and no probabilities; ``theta`` is a parameter.
+
+Defined results: a null text has null ids and decodes to null; an empty text has no ids; a null key counts as empty, so rows
+that repeat in key and text are segmented alike; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import re
 from collections import defaultdict
 from functools import cache
 from itertools import count
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +44,10 @@ class Pieces:
 
     COMMON = 128
 
-    def __init__(self, model_file: str, theta: float = THETA):
+    def __init__(self, model: bytes, theta: float = THETA):
         from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=model_file)
+        model = SentencePieceProcessor(model_proto=model)
         size = model.get_piece_size()
         self.number, self.weight, self.bytes = {}, {}, [b""] * size
         self.byte_number = [0] * 256
@@ -182,8 +186,17 @@ class Lattice:
 
 
 @cache
+def _loaded(model: bytes, theta: float) -> Pieces:
+    return Pieces(model, theta)
+
+
 def load(model_file: str, theta: float = THETA) -> Pieces:
-    return Pieces(model_file, theta)
+    return _loaded(Path(model_file).read_bytes(), theta)
+
+
+def _sent(df: DataFrame, model_file: str):
+    """The model file's bytes, read on the driver: a few megabytes at most, and executors need no file of their own."""
+    return df.sparkSession.sparkContext.broadcast(Path(model_file).read_bytes())
 
 
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -285,10 +298,10 @@ def _around_marks(text: str) -> list[str]:
 
 def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, theta: float = THETA) -> DataFrame:
     """id, ids, n_pieces, lossless (the ids decode to the text)."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, sent = docs.schema[id_col].dataType.simpleString(), _sent(docs, model_file)
 
     def work():
-        sampler = Sampler(load(model_file, theta), seed)
+        sampler = Sampler(_loaded(sent.value, theta), seed)
 
         def do(batch):
             keys, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
@@ -306,10 +319,10 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
 
 def decode_texts(encoded: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "text", theta: float = THETA) -> DataFrame:
     """``encoded`` with the text that the ids stand for."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
+    schema, sent = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema), _sent(encoded, model_file)
 
     def work():
-        sampler = Sampler(load(model_file, theta))
+        sampler = Sampler(_loaded(sent.value, theta))
 
         def do(batch):
             texts = [None if x is None else sampler.decode(x) for x in batch.column(ids_col).to_pylist()]
