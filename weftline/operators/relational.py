@@ -186,3 +186,12 @@ def bundle_digests(df: DataFrame, keys: Sequence[Column], place: Column, entry:
     sha = lambda parts, sep: F.sha2(F.array_join(parts, sep).cast("binary"), 256)
     blocks = rows.groupBy(*names, "_block").agg(F.count(F.lit(1)).alias("_n"), sha(F.array_sort(F.collect_list(F.struct("_place", "_entry")))["_entry"], ",").alias("_digest"))
     return blocks.groupBy(*names).agg(F.sum("_n").alias("keys"), sha(F.array_sort(F.collect_list(F.struct("_block", "_digest")))["_digest"], "").alias("digest"))
+
+
+def replayed(log: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], entry: Column) -> DataFrame:
+    """(keys, changes, fields, history) of an append-only log: each field's last value that isn't null, and a digest of the
+    entries in order. ``order`` must tell a key's changes apart; a key's log is one row, like the evidence it goes into."""
+    place = F.struct(*order)
+    last = [F.max_by(F.when(F.col(f).isNotNull(), F.col(f)), F.when(F.col(f).isNotNull(), place)).alias(f) for f in fields]
+    told = F.transform(F.array_sort(F.collect_list(F.struct(*order, entry.alias("_entry")))), lambda x: x["_entry"])
+    return log.groupBy(*keys).agg(F.count(F.lit(1)).alias("changes"), *last, F.sha2(F.array_join(told, ",").cast("binary"), 256).alias("history"))

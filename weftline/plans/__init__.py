@@ -1,3 +1,3 @@
 """Queries that bind the operators to tables; importing the package registers them."""
 
-from weftline.plans import agency, aggregates, formats, joins, language, scans, streams, texts  # noqa: F401
+from weftline.plans import agency, aggregates, formats, joins, language, scans, streams, texts, units  # noqa: F401

@@ -150,16 +150,32 @@ def markdown_blocks(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
     return parts.select(*keep, "n", kind.alias("kind"), F.trim(F.regexp_replace(b, r"^\s*(?:#{1,6}|[-*+]|\d+[.)]|>) ", ""), F.lit(" \n\t")).alias("block"))
 
 
+def _codes(x: Column) -> Column:
+    """Inline elements of XLIFF as codes by their ids, from the innermost pairs on (four levels); others' tags go."""
+    out = F.replace(F.replace(x, F.lit("⟦"), F.lit("⟦⟦")), F.lit("⟧"), F.lit("⟧⟧"))
+    for tag, form in (("bpt", "⟦$1⟧"), ("ept", "⟦/$1⟧"), ("ph", "⟦$1/⟧"), ("it", "⟦$1/⟧"), ("x|bx|ex|sc|ec", "⟦$1/⟧")):
+        out = F.regexp_replace(out, rf'(?s)<(?:{tag})\b[^>]*?\bid="([\w.-]+)"[^>]*?(?:/>|>[^<]*</(?:{tag})>)', form)
+    for _ in range(4):
+        out = F.regexp_replace(out, r'(?s)<(g|pc)\b[^>]*?\bid="([\w.-]+)"[^>]*>([^<]*)</\1>', "⟦$2⟧$3⟦/$2⟧")
+    return F.regexp_replace(out, r"<[^>]*>", "")
+
+
 def xliff(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
-    """(keep, n, id, source, target) of XLIFF 1.2 trans-units and 2.x units; inline elements stay as markup."""
-    units = _units(df, keep, _pairs(F.col(text), r"(?s)<(?:trans-unit|unit)\b([^>]*)>(.*?)</(?:trans-unit|unit)>", ["head", "body"]))
-    inner = lambda tag: unescape_markup(F.regexp_extract("body", rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1))
-    return units.select(*keep, "n", F.regexp_extract("head", r'\bid="([^"]*)"', 1).alias("id"), inner("source").alias("source"), F.nullif(inner("target"), F.lit("")).alias("target"))
+    """(keep, n, id, segment, source, target) of XLIFF 1.2 trans-units and of every segment of 2.x units; inline elements
+    become codes, units that are not to be translated are left out."""
+    units = _units(df, keep, _pairs(F.col(text), r"(?s)<(?:trans-unit|unit)\b([^>]*)>(.*?)</(?:trans-unit|unit)>", ["head", "body"])).where(~F.col("head").rlike(r'\btranslate="no"'))
+    parts = _pairs(F.col("body"), r"(?s)<segment\b([^>]*)>(.*?)</segment>", ["head", "body"])
+    own = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.struct(F.lit("").alias("head"), F.col("body"))))
+    each = units.select(*keep, "n", "head", F.posexplode(own).alias("_at", "_s"))
+    name = lambda c: F.regexp_extract(c, r'\bid="([^"]*)"', 1)
+    inner = lambda tag: unescape_markup(_codes(F.regexp_extract("_s.body", rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1)))
+    segment = F.coalesce(F.nullif(name(F.col("_s.head")), F.lit("")), (F.col("_at") + 1).cast("string"))
+    return each.select(*keep, "n", name(F.col("head")).alias("id"), segment.alias("segment"), inner("source").alias("source"), F.nullif(inner("target"), F.lit("")).alias("target"))
 
 
 def named_elements(df: DataFrame, keep: Sequence[str], text: str, element: str, name: str = "name", value: str | None = None) -> DataFrame:
     """(keep, n, key, value) of elements with a name: Android strings (string), resx data (data, value in ``value``)."""
-    found = _units(df, keep, _pairs(F.col(text), rf'(?s)<{element}\b[^>]*?\b{name}="([^"]*)"[^>]*>(.*?)</{element}>', ["key", "value"]))
+    found = _units(df, keep, _pairs(F.col(text), rf'(?s)<{element}(?=[\s>])[^>]*?\b{name}="([^"]*)"[^>]*>(.*?)</{element}>', ["key", "value"]))
     inner = F.regexp_extract("value", rf"(?s)<{value}\b[^>]*>(.*?)</{value}>", 1) if value else F.col("value")
     return found.withColumn("value", unescape_markup(inner))
 
@@ -198,7 +214,7 @@ CATALOGUES = {
     "properties": properties,
     "yaml": yaml_scalars,
     "gettext": _entries,
-    "xliff": lambda df, keep, text: xliff(df, keep, text).select(*keep, F.col("id").alias("key"), F.coalesce("target", "source").alias("value")),
+    "xliff": lambda df, keep, text: xliff(df, keep, text).select(*keep, F.when(F.col("segment") == "1", F.col("id")).otherwise(F.concat_ws("/", "id", "segment")).alias("key"), F.coalesce("target", "source").alias("value")),
 }
 
 
@@ -218,12 +234,19 @@ def read_tmx(spark: SparkSession, path: str) -> DataFrame:
     return told.select("unit", F.explode("tuv").alias("v")).select("unit", F.coalesce(F.col("v")["_xml:lang"], F.col("v._lang")).alias("lang"), _tagged(F.col("v.seg")).alias("text"))
 
 
+def tmx_units(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
+    """(keep, n, variants (lang, text)) of memories that are whole texts in a column."""
+    units = _units(df, keep, _pairs(F.col(text), r"(?s)<tu(?=[\s>])[^>]*>(.*?)</tu>", ["body"]))
+    variants = _pairs(F.col("body"), r"""(?s)<tuv\b[^>]*?\b(?:xml:)?lang=["']([^"']*)["'][^>]*>.*?<seg>(.*?)</seg>""", ["lang", "seg"])
+    return units.select(*keep, "n", F.transform(variants, lambda v: F.struct(v["lang"].alias("lang"), unescape_markup(_tagged(v["seg"])).alias("text"))).alias("variants"))
+
+
 def memory_pairs(variants: DataFrame, source: str, target: str) -> DataFrame:
-    """(unit, source, target) of the variants in two languages, by primary subtag."""
+    """(unit, source, target) of the variants in two languages, by primary subtag: each of one with each of the other."""
     from weftline.functions.text import primary
 
-    told = variants.groupBy("unit").agg(F.max(F.when(primary(F.col("lang")) == source, F.col("text"))).alias("source"), F.max(F.when(primary(F.col("lang")) == target, F.col("text"))).alias("target"))
-    return told.where("source is not null and target is not null")
+    side = lambda lang, name: variants.where(primary(F.col("lang")) == lang).select("unit", F.col("text").alias(name)).where(F.col(name).isNotNull()).distinct()
+    return side(source, "source").join(side(target, "target"), "unit")
 
 
 def write_tmx(pairs: DataFrame, path: str, source: str, target: str) -> None:
