@@ -28,9 +28,20 @@ def tokens(text: pd.Series) -> pd.Series:
 
 def matches(run: Column, pattern: Column, exact: Column) -> Column:
     """The pattern's tokens stand at the start of the run."""
+    alike = lambda a, b: F.when(exact, a["form"] == b["form"]).otherwise(T.loose_stem_match(a["key"], b["key"]))
     part = F.slice(run, F.lit(1), F.size(pattern))
-    same = F.zip_with(part, pattern, lambda a, b: F.when(exact, a["form"] == b["form"]).otherwise(T.loose_stem_match(a["key"], b["key"])))
-    return (F.size(part) == F.size(pattern)) & F.forall(same, lambda x: x)
+    all_alike = (F.size(part) == F.size(pattern)) & F.forall(F.zip_with(part, pattern, alike), lambda x: x)
+    return F.when(F.size(pattern) == 1, alike(run[0], pattern[0])).otherwise(all_alike)
+
+
+def begun(toks: DataFrame, keep: list[str], most: int) -> DataFrame:
+    """(keep, _run, _key): a row a token, with the next ``most`` tokens and the first letters, in which forms agree."""
+    return toks.select(*keep, F.explode(runs(F.col("_toks"), most)).alias("_run")).withColumn("_key", F.substring(F.col("_run")[0]["key"], 1, 4))
+
+
+def longest(terms: DataFrame, column: str) -> int:
+    """The most tokens that a term of the column has, one at least."""
+    return terms.agg(F.max(F.size(tokens(F.col(column))))).first()[0] or 1
 
 
 def runs(toks: Column, most: int) -> Column:
@@ -44,10 +55,8 @@ def find_terms(segments: DataFrame, terms: DataFrame, keep: list[str]) -> DataFr
     carries as many tokens as the longest term has, not its text. Of terms on one span the best goes on, and the longest
     are chosen within each cluster of spans that overlap, so long segments take no longer a hit than short ones."""
     pats = terms.where("kind != 'forbidden'").select("*", tokens(F.col("source_term")).alias("_pat")).where(F.size("_pat") > 0).withColumn("_key", F.substring(F.col("_pat")[0]["key"], 1, 4))
-    most = pats.agg(F.max(F.size("_pat"))).first()[0] or 1
     toks = segments.select(*keep, tokens(F.col("source")).alias("_toks"))
-    begun = toks.select(*keep, F.explode(runs(F.col("_toks"), most)).alias("_run")).withColumn("_key", F.substring(F.col("_run")[0]["key"], 1, 4))
-    hit = begun.join(pats, "_key").where(matches(F.col("_run"), F.col("_pat"), F.col("case_sensitive")))
+    hit = begun(toks, keep, longest(terms, "source_term")).join(pats, "_key").where(matches(F.col("_run"), F.col("_pat"), F.col("case_sensitive")))
     start, last = F.col("_run")[0]["start"], F.get("_run", F.size("_pat") - 1)["end"]
     rank = F.coalesce(*(F.when(F.col("kind") == k, n) for k, n in PRIORITY.items()), F.lit(9))
     found = hit.select(*keep, start.alias("start"), last.alias("end"), F.struct(rank.alias("rank"), "term_id", "kind", "source_term", "target_term", "case_sensitive").alias("t"))
@@ -64,14 +73,19 @@ def find_terms(segments: DataFrame, terms: DataFrame, keep: list[str]) -> DataFr
     return whole.select(*keep, F.array_sort("hits", lambda a, b: a["start"] - b["start"]).alias("hits"))
 
 
-def violations(hits: DataFrame, keep: list[str], target: str) -> DataFrame:
-    """(keep, term_id, code, need, found): hits whose term the target lacks as often as the source has it."""
+def violations(hits: DataFrame, keep: list[str], target: str, most: int | None = None) -> DataFrame:
+    """(keep, term_id, code, need, found): hits whose term the target lacks as often as the source has it. ``most`` is the
+    ``longest`` of the terms' targets; where it isn't given, the hits are gone through for it."""
     each = hits.select(*keep, target, F.explode("hits").alias("h"))
     need = each.groupBy(*keep, target, "h.term_id", "h.kind", "h.source_term", "h.target_term", "h.case_sensitive").agg(F.count(F.lit(1)).alias("need"))
-    told = need.withColumn("_toks", tokens(F.col(target))).withColumn("_pat", tokens(F.col("target_term")))
-    # a slice of the pattern's size at every token
-    places = F.transform("_toks", lambda _, i: matches(F.slice("_toks", i + 1, F.greatest(F.size("_pat"), F.lit(1))), F.col("_pat"), F.col("case_sensitive")))
-    inflected = F.when(F.size("_pat") > 0, F.size(F.filter(places, lambda x: x))).otherwise(F.col("need"))
+    # the answer's tokens meet the terms of the same segment that begin alike; terms without a form of their own are found
+    names = need.select("target_term", tokens(F.col("target_term")).alias("_pat")).distinct()
+    pats = need.select(*keep, "term_id", "target_term", "case_sensitive").join(names.where(F.size("_pat") > 0), "target_term").withColumn("_key", F.substring(F.col("_pat")[0]["key"], 1, 4))
+    toks = hits.select(*keep, tokens(F.col(target)).alias("_toks"))
+    met = begun(toks, keep, most or longest(need, "target_term")).join(pats, [*keep, "_key"]).where(matches(F.col("_run"), F.col("_pat"), F.col("case_sensitive")))
+    seen = met.groupBy(*keep, "term_id").agg(F.count(F.lit(1)).alias("_seen"))
+    told = need.join(seen, [*keep, "term_id"], "left")
+    inflected = F.when(F.coalesce(F.col("target_term"), F.lit("")).rlike(r"[\p{L}\p{N}_]"), F.coalesce("_seen", F.lit(0))).otherwise(F.col("need"))
     literal = F.when(F.col("case_sensitive"), _count(F.col(target), F.col("source_term"))).otherwise(_count(F.lower(target), F.lower("source_term")))
     counted = told.withColumn("found", F.when(F.col("kind") == "do_not_translate", literal).otherwise(inflected))
     code = F.when(F.col("kind") == "do_not_translate", "dnt_changed").when(F.col("kind") == "mandatory", "term_missing").otherwise("term_preferred_missing")

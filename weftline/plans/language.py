@@ -58,7 +58,8 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.size("s").alias("n"), (F.array_join("s", "") == F.col("text")).alias("lossless"))
 
 
-@query("f24_d81_icu_checks")
+@query("f24_d81_icu_checks", """
+select p_partkey as id, case p_partkey % 3 when 0 then '' when 1 then 'icu_no_other,icu_argument_missing' else 'icu_argument_missing,icu_argument_added' end as codes from part""")
 def icu_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ICU messages against translations that lose a branch or an argument."""
     n = F.col("p_partkey") % 3
@@ -92,7 +93,7 @@ def glossary_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = words.select(F.xxhash64("w").alias("term_id"), kind.alias("kind"), F.col("w").alias("source_term"), F.col("w").alias("target_term"), F.lit(False).alias("case_sensitive"))
     pairs = parallel(spark, sf_dir)
     hits = glossary.find_terms(pairs, terms, ["conv_id", "turn"]).join(pairs.select("conv_id", "turn", "target"), ["conv_id", "turn"])
-    return glossary.violations(hits, ["conv_id", "turn"], "target")
+    return glossary.violations(hits, ["conv_id", "turn"], "target", glossary.longest(terms, "target_term"))
 
 
 @query("d30_a45_alignment")
