@@ -54,6 +54,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def check_id(id_col: str, results: str) -> None:
+    """Raises if the id bears the name of a result column (names differ in more than case)."""
+    if id_col.lower() in {x.strip().split(" ")[0].lower() for x in results.split(",")}:
+        raise ValueError(f"the id column {id_col!r} has the name of a result column; rename it first")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir. Where it is unset, a temporary folder serves a local session, whose executor is
     the driver; on a cluster this raises, for no folder of one machine is shared."""
@@ -66,12 +72,6 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later plans start from files all executors share."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a compressed table in the shared folder; smaller on disk than a checkpoint."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"

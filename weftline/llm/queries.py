@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat, decontam, interpolation, licenses, linededup, pieces, quality, simhash, toxicity, warc
+from weftline.llm import chat, decontam, interpolation, licenses, linededup, pieces, quality, resample, secrets, simhash, toxicity, warc, whitening
 from weftline.llm.common import table, written
 
 TOKENIZERS = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
@@ -69,9 +69,95 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_quality_rules, op4_sentencepiece, op5_lm_scoring, op6_decontamination, op7_simhash, op8_chat_formatting, op9_warc, op10_line_dedup)}
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kinds: F.filter("found", lambda s: s["rank"].isin(kinds))
+    count = lambda rank: F.size(of([rank])).cast("long").alias(f"n_{secrets.KINDS[rank]}")
+    base, digest = list(range(secrets.STRONG)), F.sha2(secrets.told(of(list(range(secrets.STRONG)))).cast("binary"), 256)
+    return found.select("doc_id", *map(count, base), digest.alias("base_sha256"), secrets.told(F.col("found")).alias("spans"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_toxicity, op3_quality_rules, op4_sentencepiece, op5_lm_scoring, op6_decontamination, op7_simhash, op8_chat_formatting, op9_warc, op10_line_dedup, op11_secret_scan, op12_importance_resampling, op13_whitening)}
+
+def _secret_sql() -> str:
+    """The same patterns, which mean the same to both engines; places by running sums, links by window frames."""
+    one = "select r, {rank} as rank, unnest(range(length(text) + 1)) as i, unnest(regexp_extract_all(text, '{p}')) as m, unnest(string_split_regex(text, '{p}')) as gap from t where regexp_matches(text, '{p}')"
+    patterns = [*secrets.PATTERNS.values(), secrets.BREAK]
+    found = " union all ".join(f"select * from ({one.format(rank=i, p=p.replace(chr(39), chr(39) * 2))}) where m is not null" for i, p in enumerate(patterns))
+    value = secrets.PATTERNS["assign"].replace("'", "''")
+    kinds = "[" + ", ".join(f"'{k}'" for k in secrets.KINDS) + "]"
+    told = "string_agg({kinds}[rank + 1] || ':' || s || ':' || e, ',' order by s, rank, e)".format(kinds=kinds)
+    return rf"""
+with t as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+found as ({found}),
+placed as (
+  select r, rank, m, sum(length(gap) + length(m)) over (partition by r, rank order by i) as e from found
+), held as (
+  select r, rank, e, e - length(m) as s from placed
+  where case when rank = 0 then length(regexp_extract(m, '{value}', 2)) >= 6
+    when rank = 4 then regexp_matches(m, '[A-Z]') and regexp_matches(m, '[a-z]') and regexp_matches(m, '[0-9]') else true end
+), seen as (
+  select *, max(case when rank < 3 then e end) over b as s0, min(case when rank < 3 then s end) over f as s1,
+    max(case when rank < 6 and rank <> 4 then e end) over b as n0, min(case when rank < 6 and rank <> 4 then s end) over f as n1,
+    sum(case when rank = 6 then 1 else 0 end) over (partition by r order by s, rank) as scope
+  from held window b as (partition by r order by s, rank rows between unbounded preceding and 1 preceding),
+    f as (partition by r order by s, rank rows between 1 following and unbounded following)
+), apart as (
+  select r, rank, s, e, scope from seen
+  where rank < 6 and case when rank < 3 then true when rank = 4 then not (coalesce(n0 > s, false) or coalesce(n1 < e, false))
+    else not (coalesce(s0 > s, false) or coalesce(s1 < e, false)) end
+), met as (
+  select *, max(case when rank in (0, 2, 4) then e end) over b as p0, min(case when rank in (0, 2, 4) then s end) over f as p1,
+    max(case when rank in (1, 3, 5) then e end) over b as o0, min(case when rank in (1, 3, 5) then s end) over f as o1
+  from apart window b as (partition by r, scope order by s, rank rows between unbounded preceding and 1 preceding),
+    f as (partition by r, scope order by s, rank rows between 1 following and unbounded following)
+), told as (
+  select * from met where rank < 3
+    or case when rank = 4 then coalesce(s - o0 <= 300, false) or coalesce(o1 - e <= 300, false)
+      else coalesce(s - p0 <= 300, false) or coalesce(p1 - e <= 300, false) end
+), summed as (
+  select r, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex,
+    {told} filter (rank < 3) as base, {told} as spans from told group by r
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join summed using (r)"""
+
 
 ORACLE = {
+    "op11_secret_scan": _secret_sql(),
+    "op12_importance_resampling": r"""
+with docs as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as f from benchmark),
+counted as (select r, f, count(*) as c from (select r, unnest(w) as f from docs) group by r, f),
+sources as (select f, sum(c) as s, 0 as t from counted group by f union all select f, 0, count(*) from items group by f),
+strings as (select f, sum(s) as s, sum(t) as t from sources group by f),
+steps as (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+hashed as (
+  select f, s, t, xor(list_reduce(list_concat([4294967295], list_transform(range(strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])), 4294967295) % 10000 as bucket
+  from strings, steps
+), totals as (select sum(s)::double as all_s, sum(t)::double as all_t from strings),
+gains as (
+  select bucket, floor(1000 * ln((sum(t) + 1)::double * (all_s + 10000) / ((sum(s) + 1)::double * (all_t + 10000))))::bigint as gain
+  from hashed, totals group by bucket, all_s, all_t
+), weights as (select r, sum(c * gain)::bigint as weight from counted join hashed using (f) join gains using (bucket) group by r),
+scored as (
+  select r, doc_id, len(w) as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296)))::bigint as score
+  from docs left join weights using (r)
+), ordered as (
+  select r, row_number() over (order by score desc, doc_id nulls last) as place, count(*) over () as many from scored where n_features >= 20
+)
+select doc_id, n_features, weight, score, case when place <= 10 * many // 100 then place end as rank from scored left join ordered using (r)""",
     "op8_chat_formatting": r"""
 with all_rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
