@@ -89,10 +89,56 @@ def drifted(base: Column, current: Column, most: float = 0.30) -> Column:
     return F.when(base <= 0, current > 0).otherwise(F.abs(current - base) / base > most)
 
 
-# Plural categories by language.
-PLURALS = {"de": ["one", "other"], "en": ["one", "other"], "es": ["one", "many", "other"], "fr": ["one", "many", "other"]}
+# The plural categories of CLDR in its order, and the languages that have each set of them; others have one and other.
+CATEGORIES = ("zero", "one", "two", "few", "many", "other")
+PLURALS = {
+    "other": "id ja km ko ms th vi zh",
+    "one other": "af az bg bn da de el en et eu fa fi fil gl hi hu hy is ka kk mk nb nl nn no sq sv sw ta tr ur uz",
+    "one few other": "bs hr ro sr",
+    "one many other": "ca es fr it pt",
+    "one two other": "he",
+    "zero one other": "lv",
+    "one few many other": "be cs lt pl ru sk uk",
+    "one two few other": "gd sl",
+    "one two few many other": "ga mt",
+    "zero one two few many other": "ar cy",
+}
+# Languages whose category "many" is for compact or decimal numbers, so that a file need not have it, and what the
+# forms of a gettext file stand for where it isn't the required categories.
+MANY_IS_OPTIONAL = "ca cs es fr it lt pt sk"
+GETTEXT_FORMS = {"one few many": "be pl ru uk", "one few other": "cs lt sk", "one other": "ca es fr it pt"}
 
 
 def plural_table(spark: SparkSession) -> DataFrame:
-    """(lang, required)"""
-    return spark.createDataFrame(list(PLURALS.items()), "lang string, required array<string>")
+    """(lang, categories, required, gettext): a row a language of the tables, in CLDR's order."""
+    have = {lang: forms.split() for forms, langs in PLURALS.items() for lang in langs.split()}
+    rows = []
+    for lang, forms in have.items():
+        required = [f for f in forms if f != "many" or lang not in MANY_IS_OPTIONAL.split()]
+        gettext = next((f.split() for f, langs in GETTEXT_FORMS.items() if lang in langs.split()), required)
+        rows.append((lang, forms, required, gettext))
+    return spark.createDataFrame(rows, "lang string, categories array<string>, required array<string>, gettext array<string>")
+
+
+def plural_forms(rows: DataFrame, lang: str) -> DataFrame:
+    """``rows`` with the categories, required and gettext forms of their language, by its primary subtag; languages out of
+    the table, and null, have one and other."""
+    from weftline.functions.text import primary
+
+    known = plural_table(rows.sparkSession).withColumnRenamed("lang", "_primary")
+    default = F.array(F.lit("one"), F.lit("other"))
+    found = rows.withColumn("_primary", primary(F.col(lang))).join(F.broadcast(known), "_primary", "left")  # a row a language
+    return found.withColumns({c: F.coalesce(c, default) for c in ("categories", "required", "gettext")}).drop("_primary")
+
+
+def plural_gaps(required: Column, categories: Column, given: Column) -> Column:
+    """(missing, surplus): required categories that are not given, in CLDR's order, and given ones that the language hasn't;
+    explicit numbers (=0) are never surplus."""
+    known = F.filter(given, lambda g: ~F.startswith(g, F.lit("=")))
+    return F.struct(F.array_except(required, given).alias("missing"), F.array_sort(F.array_except(known, categories)).alias("surplus"))
+
+
+def source_form(category: Column, source_forms: Column) -> Column:
+    """The source form that a category is translated from: its own, else other, else the first; an explicit number has only its own."""
+    own, rest = F.array_contains(source_forms, category), F.when(F.array_contains(source_forms, F.lit("other")), F.lit("other")).otherwise(F.get(source_forms, F.lit(0)))
+    return F.when(own, category).when(~F.startswith(category, F.lit("=")), rest)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import Column
@@ -12,21 +13,34 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
 # A link runs over the characters that an address may hold, and letters beyond ASCII; quotes and brackets of codes end it.
 LINK = r"\b(?:https?://|www\.)[-A-Za-z0-9._~:/?#@!$&()*+,;=%\[\]\u00C0-\u1FFF]+"
-NAME = r"[A-Za-z_][A-Za-z0-9_.]*"
-# Forms of placeholders.
+# What may follow the percent sign of a conversion in C, Objective-C and Python.
+FLAGS, LENGTHS, CONVERSIONS = "-+0#'", ("hh", "h", "ll", "l", "L", "q", "j", "z", "t"), "diuxXeEfFgGcs@"
+PATH = r"[A-Za-z_]\w*(?:[.-]\w+)*"
+
+
+def conversion() -> str:
+    """The regex of a printf conversion, put together in the order of its parts: position, flags, width, precision, length, letter."""
+    number = r"(?:\d+|\*)"
+    optional = [r"\d+\$", f"[{FLAGS}]+", number, rf"\.{number}", "|".join(LENGTHS)]
+    return "%" + "".join(f"(?:{part})?" for part in optional) + f"[{CONVERSIONS}]"
+
+
+#: Placeholders by where they are at home; the first that matches at a place wins.
 PLACEHOLDERS = {
-    "{{name}}": r"\{\{\s*[A-Za-z0-9_.]+\s*\}\}",
-    "${name}": r"\$\{[^{}]+\}",
-    "{0} or {name}": rf"\{{(?:[0-9]+|{NAME})\}}",
-    "%(name)s": r"%\([A-Za-z_][A-Za-z0-9_]*\)[dfis]",
-    "%s, %1$s, %.2f, %@": r"%(?:[0-9]+\$)?[-+#0]*[0-9]*(?:\.[0-9]+)?[@EGXcdefgisux]",
+    "mustache": r"\{\{\{?[#/^&>!-]?[^{}]+\}?\}\}",
+    "template literal": r"\$\{[^{}]+\}",
+    "ruby": rf"%(?:\{{{PATH}\}}|<{PATH}>)",
+    "python": rf"%\({PATH}\)[{CONVERSIONS}]",
+    "format": rf"\{{(?:\d+|{PATH})\}}",
+    "printf": conversion(),
 }
 PLACEHOLDER = "|".join(PLACEHOLDERS.values())
 
 
 def signature(secret: bytes, seconds: Column, body: Column) -> Column:
-    """HMAC-SHA256 of ``seconds.body``, as hex, for a webhook's header; the secret has 64 bytes at most."""
-    key = secret.ljust(64, b"\0")
+    """HMAC-SHA256 of ``seconds.body``, as hex, for a webhook's header."""
+    short = hashlib.sha256(secret).digest() if len(secret) > 64 else secret  # longer keys than a block are hashed first
+    key = short.ljust(64, b"\0")
     inner, outer = (F.lit(bytearray(b ^ x for b in key)) for x in (0x36, 0x5C))
     said = F.concat(seconds.cast("string"), F.lit("."), body).cast("binary")
     return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, said), 256))), 256)

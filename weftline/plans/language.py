@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import language
+from weftline.functions import dates, language, messages
 from weftline.functions import text as T
 from weftline.operators import alignment, glossary, memory, review
 from weftline.plans.registry import query
@@ -59,13 +59,35 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("f24_d81_icu_checks", """
-select p_partkey as id, case p_partkey % 3 when 0 then '' when 1 then 'icu_no_other,icu_argument_missing' else 'icu_argument_missing,icu_argument_added' end as codes from part""")
+select p_partkey as id, case p_partkey % 7 when 1 then 'icu_no_other,icu_argument_missing' when 2 then 'icu_argument_missing,icu_argument_added'
+  when 3 then 'icu_argument_missing' when 4 then 'icu_unbalanced' when 5 then 'icu_type_changed' when 6 then 'icu_selectors_changed' else '' end as codes,
+  'kind:select:full,other;count:plural:one,other' as shape from part""")
 def icu_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ICU messages against translations that lose a branch or an argument."""
-    n = F.col("p_partkey") % 3
-    source = F.concat(F.lit("{count, plural, one {# "), "p_name", F.lit("} other {# pieces of {name}}}"))
-    target = F.when(n == 0, source).when(n == 1, F.lit("{count, plural, one {# Teil}}")).otherwise(F.lit("{menge} Teile"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.array_join(language.icu_check(source, target), ",").alias("codes"))
+    """ICU messages, a plural inside a select, against translations that lose or change a part of it."""
+    n = F.col("p_partkey") % 7
+    name = F.replace(F.col("p_name"), F.lit("'"), F.lit(""))
+    plural = F.concat(F.lit("{count, plural, one {# "), name, F.lit("} other {# pieces of {name}, it''s '{x}'}}"))
+    whole = lambda arg, full, rest: F.concat(F.lit(f"{{{arg}, select, "), F.lit(full), F.lit(" {"), plural, F.lit("} other {"), F.lit(rest), F.lit("}}"))
+    source = whole("kind", "full", "none")
+    target = (
+        F.when(n == 0, source).when(n == 1, F.lit("{kind, select, full {{count, plural, one {# Teil}}} other {}}")).when(n == 2, F.concat(whole("kind", "full", "keine"), F.lit("{menge}")))
+        .when(n == 3, plural).when(n == 4, F.concat(source, F.lit("}"))).when(n == 5, F.lit("{kind, select, full {{count, selectordinal, other {{name}}}} other {}}")).otherwise(whole("kind", "half", "keine"))
+    )
+    target = F.when(n == 2, F.replace(target, F.lit("{name}"), F.lit("Namen"))).otherwise(target)
+    part = lambda s: F.concat_ws(":", s["name"], s["type"], F.array_join(s["selectors"], ","))
+    told = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), messages.icu_check(source, target).alias("codes"), messages.icu_skeleton(source).alias("shape"))
+    return told.select("id", F.array_join("codes", ",").alias("codes"), F.array_join(F.transform("shape", part), ";").alias("shape"))
+
+
+@query("f24_protect_restore", """
+select p_partkey as id, '⟦1/⟧' || p_name || ' ⟦⟦2⟧⟧⟦2/⟧# of ⟦3/⟧⟦4/⟧ & ' || p_type || ' ⟦5/⟧' as tagged,
+  '{n, plural, =0 {|} other {|{0}|}}|%1$s' as codes, '{n, plural, =0 {' || p_name || ' ⟦2⟧} other {# of {0}}} & ' || p_type || ' %1$s' as restored, '' as unknown from part""")
+def protect_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages whose frame and placeholders become codes, and come back; a code that the source hasn't gives nothing."""
+    value = F.concat(F.lit("{n, plural, =0 {"), "p_name", F.lit(" ⟦2⟧} other {# of {0}}} & "), "p_type", F.lit(" %1$s"))
+    told = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), messages.protected(value).alias("p"))
+    back = told.select("id", "p.*", messages.restored("p.tagged", "p.codes").alias("restored"), messages.restored(F.concat("p.tagged", F.lit("⟦9/⟧")), "p.codes").alias("unknown"))
+    return back.select("id", "tagged", F.array_join("codes", "|").alias("codes"), "restored", F.coalesce("unknown", F.lit("")).alias("unknown"))
 
 
 @query("f27_r15_pseudo_translation")
@@ -149,14 +171,25 @@ def find_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.regexp_count(x, F.lit(r"\b[Tt]he\b")).cast("long").alias("found"), F.sha2(F.regexp_replace(x, r"\b[Tt]he\b", "THE").cast("binary"), 256).alias("digest"))
 
 
-@query("f47_relative_dates", """
+#: Phrases and what they mean in SQL, from "now"; isodow counts from Monday, so Friday is 5.
+PHRASES = {
+    "by Friday": "now + ((5 - isodow(now) + 7) % 7)::integer", "in 3 days": "now + 3", "tomorrow": "now + 1",
+    "on 24.12.": "make_date(year(now) + case when now > make_date(year(now), 12, 24) then 1 else 0 end, 12, 24)",
+    "within 2 weeks": "now + 14", "soon": "null", "next week, please": "now + ((5 - isodow(now) + 7) % 7)::integer + 7",
+    "end of the week": "now + ((5 - isodow(now) + 7) % 7)::integer", "do ponedeljka": "now + ((1 - isodow(now) + 7) % 7)::integer",
+    "before Sunday": "now + ((7 - isodow(now) + 7) % 7)::integer", "za 10 dana": "now + 10", "until 31.02.": "null", "2026-10-20": "date '2026-10-20'",
+    "do petka": "now + ((5 - isodow(now) + 7) % 7)::integer", "on 1.3.2031": "date '2031-03-01'", "TODAY": "now",
+}
+
+
+@query("f47_relative_dates", f"""
 with d as (select o_orderkey as id, o_orderdate::date as now from orders)
-select id, strftime(case id % 6 when 0 then now + ((11 - isodow(now)) % 7 + 1)::integer when 1 then now + 3 when 2 then now + 1
-  when 3 then make_date(year(now) + case when now > make_date(year(now), 12, 24) then 1 else 0 end, 12, 24) when 4 then now + 14 end, '%Y-%m-%d') as day from d""")
+select id, strftime(case id % {len(PHRASES)} {' '.join(f"when {i} then {x}" for i, x in enumerate(PHRASES.values()))} end, '%Y-%m-%d') as day from d""")
 def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that phrases mean, from each job's date."""
-    phrase = F.element_at(F.array(*map(F.lit, ("by Friday", "in 3 days", "tomorrow", "on 24.12.", "in 2 weeks", "soon"))), (F.col("o_orderkey") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(language.relative_date(phrase, F.col("o_orderdate").cast("date")), "yyyy-MM-dd").alias("day"))
+    phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("o_orderkey") % len(PHRASES) + 1).cast("int"))
+    day = dates.relative_date(phrase, F.col("o_orderdate").cast("date"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.date_format(day, "yyyy-MM-dd").alias("day"))
 
 
 @query("s45_splice", "select doc_id, sha256(coalesce(text, '')) as digest from documents where coalesce(text, '') <> ''")

@@ -96,15 +96,44 @@ def surface_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("doc_id", F.col("seq").cast("long").alias("seq"), *(c.alias(n) for n, c in T.surface_checks(a, b).items()))
 
 
-@query("f25_plural_forms", """
-with forms(lang, required) as (values ('en', ['one', 'other']), ('de', ['one', 'other']), ('fr', ['one', 'many', 'other']), ('es', ['one', 'many', 'other'])),
-have as (select doc_id, lang, case when doc_id % 2 = 0 then ['one', 'other'] else ['other'] end as given from documents)
-select doc_id, array_to_string(list_sort(list_filter(required, lambda x: not list_contains(given, x))), ',') as missing from have join forms using (lang)""")
+def _plural_values() -> str:
+    """The table of plurals as SQL rows."""
+    optional = rules.MANY_IS_OPTIONAL.split()
+    gettext = {lang: forms for forms, langs in rules.GETTEXT_FORMS.items() for lang in langs.split()}
+    told = lambda forms: "string_split('" + forms + "', ' ')"
+    needed = lambda lang, forms: " ".join(f for f in forms.split() if f != "many" or lang not in optional)
+    return ", ".join(f"('{lang}', {told(forms)}, {told(needed(lang, forms))}, {told(gettext.get(lang, needed(lang, forms)))})" for forms, langs in rules.PLURALS.items() for lang in langs.split())
+
+
+#: Tags under which the documents are looked at, so that every set of categories comes up, and languages out of the table.
+PLURAL_TAGS = "ar be cs-CZ de en_GB fr ga he ja lt lv pl pt-BR ro ru sl sr-Latn tlh xx zh-Hant".split()
+
+
+@query("f25_plural_forms", f"""
+with forms(lang, categories, required, gettext) as (values {_plural_values()}),
+have as (
+  select doc_id, ({PLURAL_TAGS})[(doc_id % {len(PLURAL_TAGS)} + 1)::bigint] as tag,
+    case doc_id % 3 when 0 then ['one', 'other'] when 1 then ['other', '=0', 'few'] else ['many', 'one', 'two'] end as given from documents
+), told as (
+  select doc_id, tag, given, coalesce(categories, ['one', 'other']) as categories, coalesce(required, ['one', 'other']) as required, coalesce(gettext, ['one', 'other']) as gettext
+  from have left join forms on lang = string_split(lower(replace(tag, '_', '-')), '-')[1]
+)
+select doc_id, tag, array_to_string(list_filter(required, lambda x: not list_contains(given, x)), ',') as missing,
+  array_to_string(list_sort(list_filter(given, lambda x: not starts_with(x, '=') and not list_contains(categories, x))), ',') as surplus,
+  array_to_string(gettext, ',') as gettext,
+  array_to_string(list_transform(required, lambda x: x || '<' || case when list_contains(given, x) then x when list_contains(given, 'other') then 'other' else given[1] end), ',') as sources
+from told""")
 def plural_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plural categories that a translation still lacks."""
-    given = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("one"), F.lit("other"))).otherwise(F.array(F.lit("other")))
-    docs = table(spark, sf_dir, "documents").join(F.broadcast(rules.plural_table(spark)), "lang")  # one row a language
-    return docs.select("doc_id", F.array_join(F.array_sort(F.array_except("required", given)), ",").alias("missing"))
+    """Plural categories that a translation still lacks or has too many of, and the source form that each is made from."""
+    n = F.col("doc_id") % 3
+    forms = lambda *x: F.array(*map(F.lit, x))
+    given = F.when(n == 0, forms("one", "other")).when(n == 1, forms("other", "=0", "few")).otherwise(forms("many", "one", "two"))
+    tag = F.element_at(forms(*PLURAL_TAGS), (F.col("doc_id") % len(PLURAL_TAGS) + 1).cast("int"))
+    docs = rules.plural_forms(table(spark, sf_dir, "documents").select("doc_id", tag.alias("tag"), given.alias("given")), "tag")
+    gaps = rules.plural_gaps(F.col("required"), F.col("categories"), F.col("given"))
+    sources = F.transform("required", lambda x: F.concat_ws("<", x, rules.source_form(x, F.col("given"))))
+    joined = lambda c: F.array_join(c, ",")
+    return docs.select("doc_id", "tag", joined(gaps["missing"]).alias("missing"), joined(gaps["surplus"]).alias("surplus"), joined("gettext").alias("gettext"), joined(sources).alias("sources"))
 
 
 @query("f26_iban_check", """
