@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.plans.registry import query
+from weftline.plans.texts import PAIRS
 from weftline.sources import documents as D
 from weftline.sources.tables import table
 
@@ -152,3 +153,57 @@ def catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     }
     found = [D.catalogue(text, form, ["brand"], "text").select(F.lit(form).alias("form"), "brand", "key", "value") for form, text in texts.items()]
     return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+BLOCK = 25
+
+
+def blocks(spark: SparkSession, sf_dir: str, line: Column, head: str, tail: str) -> DataFrame:
+    """(file, text): one file for every ``BLOCK`` part numbers, so that files grow in number and not in size."""
+    lines = F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line"))))["line"]
+    parts = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / BLOCK).alias("file")).agg(lines.alias("l"))
+    return parts.select("file", F.concat(F.lit(head), F.array_join("l", "\n"), F.lit(tail)).alias("text"))
+
+
+XLIFF_HEAD, XLIFF_TAIL = '<?xml version="1.0"?>\n<xliff version="2.0"><!-- <source>no</source> --><file id="f">\n', "\n</file></xliff>\n"
+
+
+@query("s27_xliff_merge", f"""
+with p as (
+  select p_partkey // {BLOCK} as file, p_partkey as k, '<unit id="' || p_partkey || '"><segment><source>' || p_name || ' <pc id="1">' || p_type || '</pc> &#38; <ph id="2"/></source>' as head,
+    case when p_partkey % 2 = 0 then '<target>alt &#38; <ph id="2"/></target>' else '' end as old, '</segment></unit>' as tail,
+    case when p_partkey % 3 = 0 then '<target><pc id="1">' || upper(p_type) || '</pc> ' || p_name || ' <ph id="2"/> &amp; co</target>' end as new from part
+)
+select file, sha256('{XLIFF_HEAD}' || string_agg(head || old || tail, chr(10) order by k) || '{XLIFF_TAIL}') as same,
+  sha256('{XLIFF_HEAD}' || string_agg(head || coalesce(new, old) || tail, chr(10) order by k) || '{XLIFF_TAIL}') as merged,
+  count(new) as written, count(*) filter (k % 3 = 1) as refused from p group by file""")
+def xliff_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Translations written into files: some replace a target, some are new, some are refused for a code of no source; and a
+    merge of each file's own targets, which changes no byte."""
+    from weftline.sources import xliff as X
+
+    old = F.when(F.col("p_partkey") % 2 == 0, F.lit('<target>alt &#38; <ph id="2"/></target>')).otherwise("")
+    unit = F.concat(F.lit('<unit id="'), F.col("p_partkey"), F.lit('"><segment><source>'), "p_name", F.lit(' <pc id="1">'), "p_type", F.lit('</pc> &#38; <ph id="2"/></source>'), old, F.lit("</segment></unit>"))
+    text = blocks(spark, sf_dir, unit, XLIFF_HEAD, XLIFF_TAIL)
+    good = F.concat(F.lit("⟦1⟧"), F.upper("p_type"), F.lit("⟦/1⟧ "), "p_name", F.lit(" ⟦2/⟧ & co"))
+    k = F.col("p_partkey") % 3
+    new = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / BLOCK).alias("file"), F.col("p_partkey").cast("string").alias("id"), F.lit("1").alias("segment"), F.when(k == 0, good).when(k == 1, F.concat(good, F.lit("⟦9/⟧"))).alias("target"))
+    digest = lambda name: F.sha2(F.col("text").cast("binary"), 256).alias(name)
+    merged = X.merge(text, ["file"], "text", new).select("file", digest("merged"), "written", "refused")
+    same = X.merge(text, ["file"], "text", X.read(text, ["file"], "text")).select("file", digest("same"))
+    return merged.join(same, "file")
+
+
+@query("s27_xliff_export", f"""
+with {PAIRS},
+told as (select conv_id, turn, regexp_replace(source, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') as source, regexp_replace(target, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g') as target from pairs)
+select conv_id, turn::varchar as id, sha256('⟦1⟧' || replace(replace(source, '⟦', '⟦⟦'), '⟧', '⟧⟧') || '⟦/1⟧⟦2/⟧') as source,
+  sha256('⟦2/⟧' || case when conv_id % 3 = 0 then '⟦1/⟧' else '⟦1⟧' end || replace(replace(target, '⟦', '⟦⟦'), '⟧', '⟧⟧') || case when conv_id % 3 = 0 then '' else '⟦/1⟧' end) as target from told""")
+def xliff_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as XLIFF 2.1 files, one each, and read back; a code that lost its other end stands alone."""
+    from weftline.plans.language import tagged_pairs
+    from weftline.sources import xliff as X
+
+    units = tagged_pairs(spark, sf_dir).select("conv_id", F.col("turn").alias("n"), F.col("turn").cast("string").alias("id"), "source", "target")
+    back = X.read(X.export(units, ["conv_id"], "en", "de"), ["conv_id"], "text")
+    return back.select("conv_id", "id", *(F.sha2(F.col(c).cast("binary"), 256).alias(c) for c in ("source", "target")))

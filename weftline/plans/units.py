@@ -78,10 +78,10 @@ def auditor_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = F.concat(F.lit('<unit id="'), F.col("p_partkey").cast("string"), F.lit('"><segment id="a"><source>'), name, F.lit(' &amp; <pc id="1">more</pc></source></segment><segment><source>'), kind, F.lit("</source><target>"), F.lower(kind), F.lit("</target></segment></unit>"))
     variant = lambda lang, x: F.concat(F.lit(f'<tuv xml:lang="{lang}"><seg>'), x, F.lit("</seg></tuv>"))
     memory = F.concat(F.lit("<tu>"), variant("en-GB", F.concat(name, F.lit('<ph x="2"/>'))), variant("de", F.upper(name)), variant("de-AT", F.lower(name)), variant("fr", name), F.lit("</tu>"))
-    forms = (("table", row, "ID;Source text;Translation\n"), ("xliff", unit, '<xliff version="2.0"><file id="f">'), ("memory", memory, '<tmx version="1.4"><body>'))
+    forms = (("table", row, "ID;Source text;Translation\n", ""), ("xliff", unit, '<xliff version="2.0"><file id="f">', "</file></xliff>"), ("memory", memory, '<tmx version="1.4"><body>', "</body></tmx>"))
     number = F.substring("brand", 7, 9).cast("int") % 3
     all_files = None
-    for k, (form, entry, head) in enumerate(forms):
-        own = files(spark, sf_dir, entry, head=head).where(number == k).select("brand", F.lit(form).alias("form"), "text")
+    for k, (form, entry, head, tail) in enumerate(forms):
+        own = files(spark, sf_dir, entry, head=head, tail=tail).where(number == k).select("brand", F.lit(form).alias("form"), "text")
         all_files = own if all_files is None else all_files.unionByName(own)
     return bilingual.read(all_files, ["brand"], "form", "text", "en", "de").select("brand", "source", "target")

@@ -150,27 +150,12 @@ def markdown_blocks(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
     return parts.select(*keep, "n", kind.alias("kind"), F.trim(F.regexp_replace(b, r"^\s*(?:#{1,6}|[-*+]|\d+[.)]|>) ", ""), F.lit(" \n\t")).alias("block"))
 
 
-def _codes(x: Column) -> Column:
-    """Inline elements of XLIFF as codes by their ids, from the innermost pairs on (four levels); others' tags go."""
-    out = F.replace(F.replace(x, F.lit("⟦"), F.lit("⟦⟦")), F.lit("⟧"), F.lit("⟧⟧"))
-    for tag, form in (("bpt", "⟦$1⟧"), ("ept", "⟦/$1⟧"), ("ph", "⟦$1/⟧"), ("it", "⟦$1/⟧"), ("x|bx|ex|sc|ec", "⟦$1/⟧")):
-        out = F.regexp_replace(out, rf'(?s)<(?:{tag})\b[^>]*?\bid="([\w.-]+)"[^>]*?(?:/>|>[^<]*</(?:{tag})>)', form)
-    for _ in range(4):
-        out = F.regexp_replace(out, r'(?s)<(g|pc)\b[^>]*?\bid="([\w.-]+)"[^>]*>([^<]*)</\1>', "⟦$2⟧$3⟦/$2⟧")
-    return F.regexp_replace(out, r"<[^>]*>", "")
-
-
 def xliff(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
     """(keep, n, id, segment, source, target) of XLIFF 1.2 trans-units and of every segment of 2.x units; inline elements
     become codes, units that are not to be translated are left out."""
-    units = _units(df, keep, _pairs(F.col(text), r"(?s)<(?:trans-unit|unit)\b([^>]*)>(.*?)</(?:trans-unit|unit)>", ["head", "body"])).where(~F.col("head").rlike(r'\btranslate="no"'))
-    parts = _pairs(F.col("body"), r"(?s)<segment\b([^>]*)>(.*?)</segment>", ["head", "body"])
-    own = F.when(F.size(parts) > 0, parts).otherwise(F.array(F.struct(F.lit("").alias("head"), F.col("body"))))
-    each = units.select(*keep, "n", "head", F.posexplode(own).alias("_at", "_s"))
-    name = lambda c: F.regexp_extract(c, r'\bid="([^"]*)"', 1)
-    inner = lambda tag: unescape_markup(_codes(F.regexp_extract("_s.body", rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>", 1)))
-    segment = F.coalesce(F.nullif(name(F.col("_s.head")), F.lit("")), (F.col("_at") + 1).cast("string"))
-    return each.select(*keep, "n", name(F.col("head")).alias("id"), segment.alias("segment"), inner("source").alias("source"), F.nullif(inner("target"), F.lit("")).alias("target"))
+    from weftline.sources import xliff as files
+
+    return files.read(df, keep, text).where("translate").drop("translate")
 
 
 def named_elements(df: DataFrame, keep: Sequence[str], text: str, element: str, name: str = "name", value: str | None = None) -> DataFrame:
