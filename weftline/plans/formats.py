@@ -18,6 +18,16 @@ def files(spark: SparkSession, sf_dir: str, line: Column, sep: str = "\n", head:
     return brands.select("brand", F.concat(F.lit(head), F.array_join("l", sep), F.lit(tail)).alias("text"))
 
 
+BLOCK = 25
+
+
+def blocks(spark: SparkSession, sf_dir: str, line: Column, head: str, tail: str, sep: str = "\n") -> DataFrame:
+    """(file, text): one file for every ``BLOCK`` part numbers, so that files grow in number and not in size."""
+    lines = F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line"))))["line"]
+    parts = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / BLOCK).alias("file")).agg(lines.alias("l"))
+    return parts.select("file", F.concat(F.lit(head), F.array_join("l", sep), F.lit(tail)).alias("text"))
+
+
 PARTS = "select p_brand as brand, 'part.' || p_partkey as key, p_name || ' \"' || p_type || '\"' as value from part"
 
 
@@ -72,12 +82,56 @@ def flat_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.flat_json(rows, ["id"], "text")
 
 
-@query("s42_yaml", PARTS.replace("'part.' || p_partkey", "'part-' || p_partkey"))
+@query("s42_yaml", PARTS.replace("'part.' || p_partkey", "'parts.part-' || p_partkey"))
 def yaml_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(F.lit("  part-"), F.col("p_partkey"), F.lit(": '"), value(), F.lit("'"))
     return D.yaml_scalars(files(spark, sf_dir, row, head="parts:\n"), ["brand"], "text").select("brand", "key", "value")
 
 
+@query("s25_json_pointers", f"""
+with p as (select p_partkey // {BLOCK} as file, p_partkey as k, p_name, p_type, row_number() over (partition by p_partkey // {BLOCK} order by p_partkey) - 1 as i from part),
+told as (
+  select file, k, i, '[{{"n/~": "' || p_name || '"}}, ' || k || ', ["' || case when k % 4 = 0 then upper(p_type) else p_type end || '", "\\u00e9 \\"q\\""]]' as line from p
+)
+select file, '/' || i || '/0/n~1~0' as pointer, p_name as value, digest from p join (select file, sha256('[' || string_agg(line, ',' || chr(10) order by k) || ']') as digest from told group by file) using (file)
+union all select file, '/' || i || '/2/0', case when k % 4 = 0 then upper(p_type) else p_type end, digest from p join (select file, sha256('[' || string_agg(line, ',' || chr(10) order by k) || ']') as digest from told group by file) using (file)
+union all select file, '/' || i || '/2/1', 'é "q"', digest from p join (select file, sha256('[' || string_agg(line, ',' || chr(10) order by k) || ']') as digest from told group by file) using (file)""")
+def json_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of arrays and objects: texts of some types in upper case are written back and read again, by their pointers."""
+    row = F.concat(F.lit('[{"n/~": "'), "p_name", F.lit('"}, '), "p_partkey", F.lit(', ["'), "p_type", F.lit('", "\\u00e9 \\"q\\""]]'))
+    text = blocks(spark, sf_dir, row, "[", "]", ",\n")
+    return _changed(text, "json", r"^/\d+/2/0$", spark, sf_dir)
+
+
+@query("s42_yaml_blocks", f"""
+with p as (select p_partkey // {BLOCK} as file, p_partkey as k, p_name, p_type, row_number() over (partition by p_partkey // {BLOCK} order by p_partkey) - 1 as i from part),
+told as (
+  select file, k, '- name: ' || p_name || '  # said' || chr(10) || '  notes:' || chr(10) || '  - >-' || chr(10) || '    ' || case when k % 4 = 0 then upper(p_type) else p_type end || chr(10) || '  - [''it''''s'', {{"a/b": "x"}}, 7]' as line from p
+), digests as (select file, sha256(string_agg(line, chr(10) order by k) || chr(10)) as digest from told group by file)
+select file, '/' || i || '/name' as pointer, p_name as value, digest from p join digests using (file)
+union all select file, '/' || i || '/notes/0', case when k % 4 = 0 then upper(p_type) else p_type end, digest from p join digests using (file)
+union all select file, '/' || i || '/notes/1/0', 'it''s', digest from p join digests using (file)
+union all select file, '/' || i || '/notes/1/1/a~1b', 'x', digest from p join digests using (file)""")
+def yaml_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of mappings with blocks, comments and flow collections: blocks of some are written back and read again."""
+    row = F.concat(F.lit("- name: "), "p_name", F.lit("  # said\n  notes:\n  - >-\n    "), "p_type", F.lit("\n  - ['it''s', {\"a/b\": \"x\"}, 7]"))
+    return _changed(blocks(spark, sf_dir, row, "", "\n"), "yaml", r"^/\d+/notes/0$", spark, sf_dir)
+
+
+def _changed(text: DataFrame, form: str, where: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files whose texts at some pointers, of every fourth part, are put in upper case; read again, with the digest of the file."""
+    from pyspark.sql import Window
+
+    from weftline.sources import structured
+
+    place = F.row_number().over(Window.partitionBy("file").orderBy("p_partkey")) - 1
+    parts = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / BLOCK).alias("file"), "p_partkey").withColumn("i", place).where(F.col("p_partkey") % 4 == 0)
+    own = structured.read(text, ["file"], "text", form).where(F.col("pointer").rlike(where)).withColumn("i", F.regexp_extract("pointer", r"^/(\d+)", 1).cast("int"))
+    changes = own.join(parts, ["file", "i"], "left_semi").select("file", "pointer", F.upper("value").alias("value"))
+    merged = structured.merge(text, ["file"], "text", form, changes).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    return structured.read(merged, ["file", "digest"], "text", form).select("file", "pointer", "value", "digest")
+
+
 @query("s27_xliff", "select p_brand as brand, p_partkey::varchar as id, p_name || ' & <' || p_type || '>' as source, case when p_size % 2 = 0 then upper(p_name) end as target from part")
 def xliff(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = D.escape_markup(F.concat(F.col("p_name"), F.lit(" & <"), F.col("p_type"), F.lit(">")))
@@ -155,16 +209,6 @@ def catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-BLOCK = 25
-
-
-def blocks(spark: SparkSession, sf_dir: str, line: Column, head: str, tail: str) -> DataFrame:
-    """(file, text): one file for every ``BLOCK`` part numbers, so that files grow in number and not in size."""
-    lines = F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line"))))["line"]
-    parts = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / BLOCK).alias("file")).agg(lines.alias("l"))
-    return parts.select("file", F.concat(F.lit(head), F.array_join("l", "\n"), F.lit(tail)).alias("text"))
-
-
 XLIFF_HEAD, XLIFF_TAIL = '<?xml version="1.0"?>\n<xliff version="2.0"><!-- <source>no</source> --><file id="f">\n', "\n</file></xliff>\n"
 
 

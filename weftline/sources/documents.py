@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources import structured
+
 # What the bytes 0x80 to 0x9F stand for in Windows-1252, where they stand for something.
 CP1252 = {0x80: "€", 0x82: "‚", 0x83: "ƒ", 0x84: "„", 0x85: "…", 0x86: "†", 0x87: "‡", 0x88: "ˆ", 0x89: "‰", 0x8A: "Š", 0x8B: "‹", 0x8C: "Œ", 0x8E: "Ž", 0x91: "‘", 0x92: "’", 0x93: "“", 0x94: "”", 0x95: "•", 0x96: "–", 0x97: "—", 0x98: "˜", 0x99: "™", 0x9A: "š", 0x9B: "›", 0x9C: "œ", 0x9E: "ž", 0x9F: "Ÿ"}
 
@@ -96,20 +98,18 @@ def dialogues(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
 
 
 def flat_json(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
-    """(keep, key, value) of every text in a JSON object, keys joined by points. One pass a level of nesting."""
-    level = df.select(*keep, F.lit("").alias("key"), F.explode(F.from_json(text, "map<string,string>")).alias("_k", "value")).select(*keep, F.col("_k").alias("key"), "value")
-    done = level.where(~F.col("value").rlike(r"^\s*\{"))
-    while not (level := level.where(F.col("value").rlike(r"^\s*\{"))).isEmpty():
-        level = level.select(*keep, "key", F.explode(F.from_json("value", "map<string,string>")).alias("_k", "value")).select(*keep, F.concat_ws(".", "key", "_k").alias("key"), "value")
-        done = done.unionByName(level.where(~F.col("value").rlike(r"^\s*\{")))
-    return done
+    """(keep, key, value) of every text, number and truth value in a JSON file, keys and indexes joined by points."""
+    return _dotted(structured.read(df, keep, text, "json values"), keep)
 
 
 def yaml_scalars(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
-    """(keep, n, indent, key, value) of ``key: value`` lines with a scalar, quotes taken off; the indent shows the level."""
-    found = _units(df, keep, _pairs(F.col(text), r"(?m)^([ ]*)([A-Za-z_][\w.-]*):[ \t]+([^\s#|>&*\[{][^\r\n]*)$", ["indent", "key", "value"]))
-    quoted = F.col("value").rlike(r"""^(["']).*\1\s*$""")
-    return found.withColumn("indent", F.length("indent")).withColumn("value", F.when(quoted, F.regexp_replace("value", r"""^["']|["']\s*$""", "")).otherwise(F.rtrim("value")))
+    """(keep, key, value) of every text in a YAML file, keys and indexes joined by points."""
+    return _dotted(structured.read(df, keep, text, "yaml"), keep)
+
+
+def _dotted(found: DataFrame, keep: Sequence[str]) -> DataFrame:
+    key = F.replace(F.substr("pointer", F.lit(2)), F.lit("/"), F.lit("."))
+    return found.select(*keep, F.replace(F.replace(key, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")).alias("key"), "value")
 
 
 ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
