@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions import dates, language, messages
+from weftline.functions import dates, language, messages, stems
 from weftline.functions import text as T
 from weftline.operators import alignment, glossary, memory, review
 from weftline.plans.registry import query
-from weftline.plans.texts import parallel
+from weftline.plans.texts import PAIRS, parallel
 from weftline.sources import plain
 from weftline.sources.tables import segments, table
 
@@ -163,6 +163,26 @@ def stem_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("a", "b", T.loose_stem_match(F.col("a"), F.col("b")).alias("same"))
 
 
+@query("f08_stems")
+def word_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stems of all distinct words of the documents, in their languages."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(T.found(F.lower("text"), r"[\p{L}\p{M}]+")).alias("word")).distinct()
+    return words.select("lang", "word", stems.stemmed("word", "lang").alias("stem"))
+
+
+@query("d21_forbidden_terms", "with " + PAIRS + r""",
+words as (select unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) as w from benchmark), terms as (select w from words where length(w) >= 5 group by w having count(*) >= 2),
+toks as (select conv_id, turn, unnest(range(len(k))) as pos, unnest(k) as k from (select conv_id, turn, regexp_extract_all(lower(target), '[\p{L}\p{N}\x{300}-\x{36f}_]+(?:[''’][\p{L}\p{N}\x{300}-\x{36f}_]+)*') as k from pairs)),
+alike as (select distinct k, w from (select distinct k from toks) join terms on left(k, 4) = left(w, 4) where k = w or (greatest(4, least(length(k), length(w)) - 1, greatest(length(k), length(w)) - 2) <= least(length(k), length(w)) and left(k, greatest(4, least(length(k), length(w)) - 1, greatest(length(k), length(w)) - 2)) = left(w, greatest(4, least(length(k), length(w)) - 1, greatest(length(k), length(w)) - 2)))),
+best as (select conv_id, turn, pos, min(w) as term_id from toks join alike using (k) group by conv_id, turn, pos)
+select distinct conv_id, turn, term_id from best""")
+def forbidden_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with a forbidden word, in any form."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(T.words(F.lower("text"))).alias("w")).where(F.length("w") >= 5).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    terms = words.select(F.col("w").alias("term_id"), F.lit("forbidden").alias("kind"), F.col("w").alias("source_term"), F.col("w").alias("target_term"), F.lit(False).alias("case_sensitive"))
+    return glossary.forbidden(parallel(spark, sf_dir), terms, ["conv_id", "turn"], "target")
+
+
 @query("f15_find_replace", r"""
 select doc_id, len(regexp_extract_all(coalesce(text, ''), '\b[Tt]he\b')) as found, sha256(regexp_replace(coalesce(text, ''), '\b[Tt]he\b', 'THE', 'g')) as digest from documents where lang = 'en'""")
 def find_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
