@@ -143,3 +143,23 @@ def test_plural_tables(spark):
     assert got == {"sr-Latn-RS": ["one", "few", "other"], "tlh": ["one", "other"], None: ["one", "other"], "PT_br": ["one", "other"]}
     forms = list(itertools.chain(["=0", "one"], rules.CATEGORIES))
     assert [one(spark, rules.source_form(F.lit(c), F.lit(["one", "other"]))) for c in forms] == [None, "one", "other", "one", "other", "other", "other", "other"]
+
+
+def test_word_similarity_against_all_stretches(spark):
+    rng = random.Random(6)
+    words = ["ab", "abc", "bca", "cab", "a", "abcab", "çok", "x1"]
+    made = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    rows = [("word", "two words"), (None, "x"), ("x", None), ("", "x"), *((made(3), made(9)) for _ in range(200))]
+    df = spark.createDataFrame(rows, "q string, x string").select("q", "x", language.word_similarity(T.trigrams(F.col("q")), T.trigram_sequence(F.col("x"))).alias("s"))
+
+    def grams(text):
+        return [w[i : i + 3] for w in (f"  {w} " for w in re.findall(r"[^\W_]+", text.lower())) for i in range(len(w) - 2)]
+
+    for r in df.collect():
+        if r.q is None or r.x is None:
+            assert r.s is None
+            continue
+        q, g = set(grams(r.q)), grams(r.x)
+        want = max([len(q & set(g[a:b])) / len(q | set(g[a:b])) for a in range(len(g)) for b in range(a + 1, len(g) + 1) if q] or [0.0])
+        assert abs(r.s - want) < 1e-12, r
+    assert df.first().s == 0.8

@@ -88,11 +88,16 @@ def found(text: Column, pattern: str) -> Column:
 LETTERS, ASCII_LETTERS = r"[\p{L}\p{M}\p{N}]+", "[a-z0-9]+"
 
 
-def trigrams(text: Column, word: str = LETTERS) -> Column:
-    """Distinct trigrams of the lower-cased words, runs of ``word``, each padded by two spaces before and one after."""
+def trigram_sequence(text: Column, word: str = LETTERS) -> Column:
+    """The trigrams of the lower-cased words, runs of ``word``, each padded by two spaces before and one after, in order."""
     words = F.regexp_extract_all(F.lower(text), F.lit(word), F.lit(0))
     padded = F.transform(words, lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    return F.array_distinct(F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))))
+    return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3)))))
+
+
+def trigrams(text: Column, word: str = LETTERS) -> Column:
+    """Distinct trigrams of the words of a text."""
+    return F.array_distinct(trigram_sequence(text, word))
 
 
 def formula_guard(text: Column) -> Column:

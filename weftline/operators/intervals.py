@@ -1,4 +1,4 @@
-"""As-of joins and overlap counts by sorting within a key, without range joins."""
+"""Overlap counts by sorting within a key, without range joins; as-of joins are in ``prefix``."""
 
 from __future__ import annotations
 
@@ -8,19 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def as_of(rows: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, values: Sequence[str]) -> DataFrame:
-    """``rows`` with the values of the last version at or before ``at`` in their key; rows before the first one go.
-
-    Both sides are stacked and sorted once by key and place; the last version seen is carried along. A hot key should be
-    cut by ranges of ``at`` beforehand.
-    """
-    told = F.struct(*values)
-    stacked = versions.select(*keys, at, told.alias("_v"), F.lit(0).alias("_side")).unionByName(rows.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    w = Window.partitionBy(*keys).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    carried = stacked.withColumn("_last", F.last("_v", ignorenulls=True).over(w)).where("_side = 1 and _last is not null")
-    return carried.select(*rows.columns, *(F.col("_last")[v].alias(v) for v in values))
-
-
 def overlap_counts(df: DataFrame, keys: Sequence[str], first: str, last: str, name: str) -> DataFrame:
     """How many other half-open spans [first, last) of the key overlap each span: those that start before its end less
     those that end by its start. Starts, ends and questions are sorted once; no pair is made. An empty span overlaps the

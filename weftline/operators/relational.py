@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import prefix
+
 
 def latest_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -56,18 +58,16 @@ def most_specific(rows: DataFrame, rules: DataFrame, columns: Sequence[str], rul
     return best.select(*rows.columns, *(F.col("_best")[c].alias(c) for c in (rule_id, *values)))
 
 
-def fifo_draws(lots: DataFrame, demand: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def fifo_draws(lots: DataFrame, demand: DataFrame, keys: Sequence[str], order: Sequence[str], least: int = prefix.LEAST) -> DataFrame:
     """Draws ``demand.needed`` from ``lots.amount`` in order: take = least(amount, what earlier lots leave of the need)."""
-    before = F.coalesce(F.sum("amount").over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = lots.withColumn("before", before).join(demand, list(keys), "left")
-    rest = F.coalesce(F.col("needed"), F.lit(0)) - F.col("before")
-    return joined.withColumn("take", F.least(F.col("amount"), F.greatest(rest, F.lit(0)))).drop("before")
+    joined = prefix.running_sum(lots, keys, order, "amount", "_running", least).join(demand, list(keys), "left")
+    rest = F.coalesce(F.col("needed"), F.lit(0)) - (F.col("_running") - F.col("amount"))
+    return joined.withColumn("take", F.least(F.col("amount"), F.greatest(rest, F.lit(0)))).drop("_running")
 
 
-def first_reaching(df: DataFrame, keys: Sequence[str], order: Sequence[Column], value: str, target: Column, at: str) -> DataFrame:
+def first_reaching(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, target: Column, at: str, least: int = prefix.LEAST) -> DataFrame:
     """For each key the smallest ``at`` by which the running sum of ``value`` reaches the target."""
-    running = F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_running", running).where(F.col("_running") >= target).groupBy(*keys).agg(F.min(at).alias(at))
+    return prefix.running_sum(df, keys, order, value, "_running", least).where(F.col("_running") >= target).groupBy(*keys).agg(F.min(at).alias(at))
 
 
 def month_series(df: DataFrame, at: str, aggregates: dict[str, Column], first: str, last: str) -> DataFrame:

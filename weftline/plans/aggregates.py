@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import rules
+from weftline.operators import prefix
 from weftline.operators import relational as ops
 from weftline.plans.registry import query, shown
 from weftline.sources.tables import JOBS, SEGMENTS, USAGE, jobs, segments, table, usage
@@ -150,10 +151,45 @@ def fifo_credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credit lots drawn in order of age, in closed form: no lot waits for another."""
     u = usage(spark, sf_dir)
     need = u.where("kind in ('click', 'view')").groupBy("org_id").agg(F.sum("amount").alias("needed"))
-    drawn = ops.fifo_draws(u.where("kind = 'purchase'"), need, ["org_id"], [F.col("at"), F.col("id")])
+    drawn = ops.fifo_draws(u.where("kind = 'purchase'"), need, ["org_id"], ["at", "id"])
     return drawn.select(F.col("id").alias("lot"), shown("take").alias("taken"), shown(F.col("amount") - F.col("take")).alias("remaining"))
 
 
+HOT_USAGE = """hot as (select id, case when id % 2 = 0 then -1 else org_id end as org_id, "at", amount, kind from usage)"""
+
+
+def hot_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usage in which one organisation has half of all rows."""
+    return usage(spark, sf_dir).select("id", F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("org_id")).alias("org_id"), "at", "amount", "kind")
+
+
+@query("w05_a21_hot_running_sums", f"""
+with {USAGE}, {HOT_USAGE} select id, org_id, sum(amount) over (partition by org_id order by "at", id)::double as running from hot""")
+def hot_running_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums in which half of all rows are one organisation's, cut into ranges of time."""
+    summed = prefix.running_sum(hot_usage(spark, sf_dir), ["org_id"], ["at", "id"], "amount", "running", least=100)
+    return summed.select("id", "org_id", shown("running").alias("running"))
+
+
+@query("w06_hot_first_reaching", f"""
+with {USAGE}, {HOT_USAGE}, run as (select org_id, "at", sum(amount) over (partition by org_id order by "at", id) as r from hot)
+select org_id, strftime(min("at"), '%Y-%m-%d %H:%M:%S') as at from run where r >= 2000 group by org_id""")
+def hot_first_reaching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each organisation's sum reaches a target."""
+    reached = ops.first_reaching(hot_usage(spark, sf_dir), ["org_id"], ["at", "id"], "amount", F.lit(2000), "at", least=100)
+    return reached.select("org_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@query("j09_hot_as_of", f"""
+with {USAGE}, {HOT_USAGE}, prices as (select org_id, "at", max(amount) as price from hot where kind = 'purchase' group by org_id, "at")
+select h.id, p.price::double as price from hot h asof join prices p on h.org_id = p.org_id and h."at" >= p."at" where h.kind <> 'purchase'""")
+def hot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last purchase at or before every other event, where half of all events are one organisation's."""
+    u = hot_usage(spark, sf_dir)
+    prices = u.where("kind = 'purchase'").select("org_id", "at", F.col("amount").alias("price"))
+    return prefix.as_of(u.where("kind != 'purchase'").drop("amount"), prices, ["org_id"], "at", ["price"], least=100).select("id", shown("price").alias("price"))
+
+
 @query("a22_a38_d63_payout_run", f"""
 with {USAGE}, sums as (select org_id as reviewer, sum(amount) filter (kind = 'view') as earned, sum(amount) filter (kind = 'signup') as paid, count(*) filter (kind = 'error') as errors from usage group by org_id)
 select reviewer, (coalesce(earned, 0) - coalesce(paid, 0))::double as balance,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import rules
-from weftline.operators import intervals, vectors
+from weftline.operators import intervals, prefix, vectors
 from weftline.operators import relational as ops
 from weftline.plans.registry import query, shown
 from weftline.sources.tables import JOBS, SEGMENTS, USAGE, jobs, segments, table, usage
@@ -71,7 +71,7 @@ def as_of_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = part.select(F.col("p_brand").alias("term"), F.col("p_partkey").alias("version"), F.col("p_name").alias("target"))
     asked = table(spark, sf_dir, "lineitem").join(part.select("p_partkey", F.col("p_brand").alias("term")), F.col("l_partkey") == F.col("p_partkey"))
     rows = asked.select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("seq"), F.col("l_suppkey").alias("who"), "term", F.col("l_partkey").alias("version"), F.col("l_quantity").alias("q"))
-    return intervals.as_of(rows, versions, ["term"], "version", ["target"]).select("job_id", "seq", "who", "term", "target", "q")
+    return prefix.as_of(rows, versions, ["term"], "version", ["target"]).select("job_id", "seq", "who", "term", "target", "q")
 
 
 @query("j10_d70_interval_overlap", f"""
@@ -159,7 +159,7 @@ select org_id, strftime(min(day), '%Y-%m-%d') as day from run where r >= 500 gro
 def finish_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first day by which a running sum reaches its target."""
     days = usage(spark, sf_dir).groupBy("org_id", F.col("at").cast("date").alias("day")).agg(F.sum("amount").alias("a"))
-    return ops.first_reaching(days, ["org_id"], [F.col("day")], "a", F.lit(500), "day").select("org_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
+    return ops.first_reaching(days, ["org_id"], ["day"], "a", F.lit(500), "day").select("org_id", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 @query("w07_w10_w12_top_per_group", f"""

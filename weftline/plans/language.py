@@ -242,3 +242,39 @@ def concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that hold a phrase."""
     lines = memory.lines_of(table(spark, sf_dir, "documents"))
     return lines.where(F.col("line").ilike("%the of%")).select("doc_id", F.col("seq").cast("long").alias("seq"), "line")
+
+
+PHRASES_ASKED = ["onde mente", "nation", "Änderung der"]
+
+
+def _grams(x: str) -> str:
+    """A text's trigrams in order, in SQL."""
+    return f"flatten(list_transform(regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))"
+
+
+#: The best stretch of every text against every phrase, by all stretches that begin and end with a common trigram.
+EXTENTS = f"""phrases as (select phrase, list_distinct({_grams('phrase')}) as q from (select unnest({PHRASES_ASKED}) as phrase)),
+told as (select key, side, phrase, q, g, list_filter(range(1, len(g) + 1), lambda i: list_contains(q, g[i])) as hits from (select key, side, {_grams('text')} as g from texts), phrases),
+stretches as (select key, side, phrase, q, g, a, unnest(list_filter(hits, lambda b: b >= a)) as b from (select key, side, phrase, q, g, hits, unnest(hits) as a from told)),
+measured as (select key, side, phrase, max(len(list_intersect(list_distinct(g[a:b]), q)) / (len(q) + len(list_distinct(g[a:b])) - len(list_intersect(list_distinct(g[a:b]), q)))) as similarity from stretches group by key, side, phrase)"""
+
+
+@query("f13_word_similarity", f"""
+with texts as (select item_id as key, 1 as side, text from benchmark where text is not null), {EXTENTS}
+select key as item_id, phrase, round(similarity, 9) as similarity from measured where similarity >= 0.4""")
+def word_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items with a stretch that is like a phrase."""
+    found = memory.word_similar(table(spark, sf_dir, "benchmark"), "text", PHRASES_ASKED, 0.4)
+    return found.select("item_id", "phrase", F.round("similarity", 9).alias("similarity"))
+
+
+@query("d12_f13_ranked_concordance", f"""
+with {PAIRS.replace('pairs as', 'pairs as materialized')},
+held as (select conv_id * 1000000 + turn as key, conv_id, turn, source, target from pairs where contains(lower(source), 'nation') or contains(lower(target), 'nation')),
+texts as (select key, 1 as side, source as text from held union all select key, 2, target from held), {EXTENTS},
+best as (select key, max(similarity) as similarity from measured where phrase = 'nation' group by key)
+select conv_id, turn, round(coalesce(similarity, 0), 9) as similarity from held left join best using (key) order by coalesce(similarity, 0) desc, conv_id, turn limit 25""")
+def ranked_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that hold a phrase in either language, the most alike first."""
+    found = memory.concordance(parallel(spark, sf_dir), "nation", ["source", "target"], [F.col("conv_id"), F.col("turn")])
+    return found.select("conv_id", "turn", F.round("similarity", 9).alias("similarity"))

@@ -66,6 +66,29 @@ def replayed_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("org_id", "day", "changes", "kind", shown("paid").alias("paid"), "history")
 
 
+@query("s56_bilingual_tables", """
+with p as (select p_partkey // 25 as file, p_partkey as k, p_name, p_type from part)
+select file, p_name || ', "' || k || '"' || chr(10) || 'second line' as source, upper(p_type) || ';' as target from p""")
+def bilingual_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of twenty columns with a separator in a quoted heading, and cells with quotes and line breaks."""
+    from weftline.plans.formats import blocks
+
+    head = '"Notes; more";' + ";".join(f"c{i}" for i in range(17)) + ";Source text;Translation\r\n"
+    row = F.concat(F.lit("x" + ";" * 18 + '"'), "p_name", F.lit(', ""'), "p_partkey", F.lit('""\nsecond line";"'), F.upper("p_type"), F.lit(';"'))
+    return bilingual.table_pairs(blocks(spark, sf_dir, row, "\ufeff" + head, "\r\n", "\r\n"), ["file"], "text").select("file", "source", "target")
+
+
+@query("s56_d30_document_pairs", """
+select p_partkey // 25 as file, 'Part ' || p_partkey || ' is a ' || p_name || '.' as source, upper('Part ' || p_partkey || ' is a ' || p_name || '.') as target, 0 as extra from part""")
+def document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two documents of the same sentences, in two hands: every sentence finds its own."""
+    from weftline.plans.formats import blocks
+
+    line = F.concat(F.lit("Part "), "p_partkey", F.lit(" is a "), "p_name", F.lit("."))
+    sides = blocks(spark, sf_dir, line, "", "", " ").select("file", F.col("text").alias("a"), F.upper("text").alias("b"))
+    return bilingual.document_pairs(sides, ["file"], "a", "b").select("file", "source", "target", "extra")
+
+
 @query("s56_s27_s50_auditor_inputs", """
 with p as (select p_brand as brand, p_name as name, p_type as type, cast(substr(p_brand, 7) as integer) % 3 as k from part)
 select brand, 'a; ' || name as source, upper(name) as target from p where k = 0

@@ -2,45 +2,78 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from weftline.functions import text as T
 from weftline.operators import alignment
 from weftline.sources import documents, plain
 
-# Words that the headings of the two columns begin with, the separators of tables, and how wide they may be.
+# Words that the headings of the two columns begin with, and the separators of tables.
 SOURCE_HEAD, TARGET_HEAD = r"(?i)^\s*(?:source|src|original)\b", r"(?i)^\s*(?:target|tgt|translation)\b"
-SEPARATORS, CELLS = (",", ";", "\t"), 16
+SEPARATORS = ",;\t|"
+CELL = re.compile(r' *"((?:[^"]|"")*)" *')
+MARK = re.compile(r'(?<![^,;\t|\r\n])"(?:[^"]|"")*"|[,;\t|\r\n]')
+
+
+def records(text: str, separator: str, most: int | None = None) -> list[list[str]]:
+    """The records of a table: cells between separators, quoted ones with line breaks and doubled quotes. A quote inside a
+    bare cell, and one that is never closed, are characters."""
+    plain = re.compile(rf"[^{re.escape(separator)}\r\n]*")
+    out: list[list[str]] = []
+    row: list[str] = []
+    at = 0
+    while at < len(text) and (most is None or len(out) < most):
+        m = CELL.match(text, at)
+        if m and (m.end() == len(text) or text[m.end()] in separator + "\r\n"):
+            row.append(m[1].replace('""', '"'))
+        else:
+            m = plain.match(text, at)
+            row.append(m[0])
+        at = m.end()
+        if at < len(text) and text[at] == separator:
+            at += 1
+            if at < len(text):
+                continue
+            row.append("")
+        at += 2 if text[at : at + 2] == "\r\n" else 1
+        out.append(row)
+        row = []
+    return out
+
+
+def separator_of(text: str) -> str:
+    """The separator that the first record has most of outside quotes; of equals the first of ``SEPARATORS``."""
+    counts = dict.fromkeys(SEPARATORS, 0)
+    for m in MARK.finditer(text):
+        if m[0] in "\r\n":
+            break
+        if m[0] in counts:
+            counts[m[0]] += 1
+    return max(SEPARATORS, key=counts.get)
+
+
+@F.pandas_udf(t.ArrayType(t.ArrayType(t.StringType())))
+def _cells(text: pd.Series) -> pd.Series:
+    def told(x: str | None) -> list[list[str]]:
+        bare = (x or "").removeprefix("\ufeff")
+        return [r for r in records(bare, separator_of(bare)) if any(c.strip() for c in r)]
+
+    return text.map(told)
 
 
 def table_pairs(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
-    """(keep, n, source, target) of tables with a line a row: by the headings of the first line, else the first two columns.
-
-    The separator is the one that the first line has most of; cells may be quoted, but hold no line break.
-    """
-    lines = F.split(F.regexp_replace(text, "^﻿", ""), r"\r?\n")
-    head = lines[0]
-    n = [F.regexp_count(head, F.lit(f"[{x}]")) for x in SEPARATORS]
-    many = F.when(n[0] >= F.greatest(*n[1:]), 0).when(n[1] >= n[2], 1).otherwise(2)
-    schema = ", ".join(f"c{i} string" for i in range(CELLS))
-    cells = lambda line: F.when(F.lit(False), F.array().cast("array<string>"))
-    rows = df.select(*keep, many.alias("_sep"), head.alias("_head"), F.posexplode(lines).alias("n", "_line")).where(F.trim("_line") != "")
-
-    def read(line: str):
-        out = cells(line)
-        for i, s in enumerate(SEPARATORS):
-            got = F.from_csv(F.col(line), schema, {"sep": s, "escape": '"'})
-            out = out.when(F.col("_sep") == i, F.array(*(got[f"c{k}"] for k in range(CELLS))))
-        return out
-
-    told = rows.select(*keep, "n", read("_line").alias("_cells"), read("_head").alias("_names"))
-    at = lambda pattern: F.array_position(F.transform("_names", lambda x: F.coalesce(x.rlike(pattern), F.lit(False))), True)
+    """(keep, n, source, target) of tables of any width: by the headings of the first record, else the first two columns."""
+    rows = df.select(*keep, _cells(F.col(text)).alias("_rows")).where(F.size("_rows") > 0).select(*keep, F.col("_rows")[0].alias("_names"), F.posexplode("_rows").alias("n", "_cells"))
+    at = lambda pattern: F.array_position(F.transform("_names", lambda x: x.rlike(pattern)), True)
     both = (at(SOURCE_HEAD) > 0) & (at(TARGET_HEAD) > 0)
     cell = lambda pattern, first: F.coalesce(F.get("_cells", F.when(both, at(pattern) - 1).otherwise(first).cast("int")), F.lit(""))
-    pairs = told.where(~both | (F.col("n") > 0)).select(*keep, "n", cell(SOURCE_HEAD, 0).alias("source"), cell(TARGET_HEAD, 1).alias("target"))
+    pairs = rows.where(~both | (F.col("n") > 0)).select(*keep, "n", cell(SOURCE_HEAD, 0).alias("source"), cell(TARGET_HEAD, 1).alias("target"))
     return pairs.where(F.trim("source") != "").withColumns({c: T.escape_brackets(F.col(c)) for c in ("source", "target")})
 
 
