@@ -8,7 +8,9 @@ The template writes a turn as ``### role: text </turn>`` and a newline. Inside r
 ``</turn>`` are escaped, so neither control string ever stands in a text, and ``\\x`` reads back as ``x``.
 
 Defined results: null roles and texts count as empty, a parent that doesn't exist as none; messages on a cycle have no
-root and give no conversation; rows that tie in every column of the order are interchangeable; empty tables give none.
+root and give no conversation; rows that tie in every column of the order are interchangeable; empty tables give none. Ids are
+unique: ``once`` drops repeated messages by a rule, and repeated rows of linear conversations are turns of their own. Texts of any length are formatted
+whole. Columns beside those named are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from weftline.llm.common import written
 
 HEAD, END, BLOCK = "### ", " </turn>\n", 100
+CALLED_NULL = r"^\\*null$"  # a conversation of such a name gets one more backslash in ids, so that "null" is the null one
 
 
 def escape(text: Column, colon: bool = False) -> Column:
@@ -31,7 +34,8 @@ def unescape(text: Column) -> Column:
 
 
 def turns_as_trees(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Linear conversations as messages: id (conversation and place), parent (the turn before), score 0.
+    """Linear conversations as messages: id (conversation and place), parent (the turn before), score 0. A null conversation
+    is one of its own, apart from one whose id is the text ``null``.
 
     Places are counted within blocks of ``BLOCK`` turn numbers, to which the rows of earlier blocks are added: a
     conversation with a large share of all rows is spread over many tasks.
@@ -44,10 +48,25 @@ def turns_as_trees(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     inside = told.withColumn("inside", F.row_number().over(order)).alias("t")
     same = F.col("t.conv").eqNullSafe(F.col("b.conv")) & (F.col("t.block") == F.col("b.block"))
     placed = inside.join(before.alias("b"), same).select("t.conv", "t.role", "t.text", (F.col("inside") + F.col("before")).alias("at"))
-    key = F.coalesce(F.col("conv").cast("string"), F.lit("null"))
+    name = F.col("conv").cast("string")
+    key = F.when(F.col("conv").isNull(), "null").when(name.rlike(CALLED_NULL), F.concat(F.lit("\\"), name)).otherwise(name)
     return placed.select(F.concat_ws("/", key, "at").alias("id"), F.when(F.col("at") > 1, F.concat_ws("/", key, F.col("at") - 1)).alias("parent"), "conv", "role", "text", F.lit(0.0).alias("score"))
 
 
+def conversation(path: Column) -> Column:
+    """The conversation, as text, of a path of ``turns_as_trees``; null for the null one."""
+    name = F.regexp_extract(path, r"(?s)^(.*)/\d+$", 1)
+    return F.when(name != "null", F.when(name.rlike(CALLED_NULL), F.substr(name, F.lit(2))).otherwise(name))
+
+
+def once(messages: DataFrame) -> DataFrame:
+    """One message an id: of several the one with the smallest parent, role, text and score, in this order. The other
+    functions take ids to be unique."""
+    rest = [c for c in ("parent", "role", "text", "score") if c in messages.columns]
+    first = messages.groupBy("id").agg(F.min(F.struct(*rest)).alias("_m"))
+    return first.select("id", *(F.col("_m")[c].alias(c) for c in rest))
+
+
 def chosen_paths(messages: DataFrame, top: int = 1) -> DataFrame:
     """Messages (id, parent, score) to (path, id, up): the ``top`` best root-to-leaf paths of each tree, named by their
     leaf, with each message's distance from the leaf. The joins' rounds grow with the logarithm of the depth; a message

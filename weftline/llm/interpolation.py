@@ -16,7 +16,7 @@ are totals; they go back the same way, aligned with the keys that came, and each
 
 Defined results: a null or empty text has one token, its end; words that hash alike (64 bits) would count as one;
 with no training token every word is unknown; rows repeated are counted as often; an empty table gives no rows; columns
-other than id and text are not read, and the id keeps its name, which may be that of a result column only in other case.
+other than id and text are not read, so their names cannot clash; an id column with the name of a result column raises.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from weftline.llm.common import map_batches, remainder, spaced_words, written
+from weftline.llm.common import check_id, map_batches, remainder, spaced_words, written
 
 FOLDS, TEST_FOLD, DELETED_FOLD = 7, 2, 3
 BLOCK_TOKENS, FAN_BITS = 1_000_000, 8
@@ -313,6 +313,7 @@ def fit(table: DataFrame, bits: int = FAN_BITS) -> tuple[Model, DataFrame]:
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, bits: int = FAN_BITS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and score, both sums of log10."""
+    check_id(id_col, "held_out, n_tokens, n_known, train_tokens, base_score, score")
     table = blocks(docs, id_col, text_col, block_tokens)
     model, counts = fit(table, bits)
     kind = docs.schema[id_col].dataType.simpleString()

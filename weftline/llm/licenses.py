@@ -8,7 +8,7 @@ Base phrases (``mit license`` and so on) are counted over the words of ``letter_
 
 Defined results: null and empty texts have no words, no labels and score 0; texts of any length are scanned whole;
 repeated rows each get their row; detections that tie go by place, then by rule; an empty table gives no rows; other columns
-are not read, so their names cannot clash.
+are not read, so their names cannot clash; an id column with the name of a result column raises.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import letter_words, map_batches
+from weftline.llm.common import check_id, letter_words, map_batches
 from weftline.llm.license_rules import KINDS, RULES
 
 BASE = {(b"mit", b"license"): "mit", (b"apache", b"license"): "apache", (b"general", b"public", b"license"): "gpl"}
@@ -119,6 +119,7 @@ def base_places(words: list[bytes]) -> list[tuple[int, str]]:
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: str = RULES) -> DataFrame:
     """id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections (start, end, label, rule)."""
+    check_id(id_col, "n_words, n_base, first_word, last_word, base_labels, labels, score, detections")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work():

@@ -6,7 +6,7 @@ over all ways to a place, in logarithms, and the backward pass draws the last pi
 from a hash of the row's key and the place in the text, so a row is segmented alike wherever and whenever it runs.
 
 No piece has a space mark after another character, so every path passes the places before a word's space mark: the lattice
-falls into chunks there. Texts are taken in groups of about ``GROUP`` characters; equal chunks of a group share one forward
+falls into chunks there. Texts, and parts of long ones, are taken in groups of about ``GROUP`` characters; equal chunks of a group share one forward
 pass, and the passes of all its chunks run together, place by place, over arrays. Places that no piece crosses cut a chunk
 further, so a long text without spaces is no long chain unless its pieces overlap throughout.
 
@@ -23,8 +23,10 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import cache
 from itertools import count
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -203,7 +205,17 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
 def chunks(text: str) -> list[str]:
-    return CHUNK.findall(MARK + text.replace(" ", MARK))
+    return list(chunk_stream(text))
+
+
+def chunk_stream(text: str) -> Iterator[str]:
+    """The chunks of a text one after another. A literal mark is no space: it is a chunk of its own, that only byte pieces cover."""
+    if not text:
+        return
+    for k, part in enumerate(text.split(MARK) if MARK in text else (text,)):
+        if k:
+            yield LITERAL
+        yield from map(itemgetter(0), CHUNK.finditer((MARK if not k else "") + part.replace(" ", MARK)))
 
 
 def draws(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -223,31 +235,45 @@ class Sampler:
         self.pieces, self.seed = pieces, seed
 
     def encode(self, keys: list, texts: list[str]) -> list[np.ndarray]:
-        """The sampled ids of each text."""
-        out, a, held = [], 0, 0
-        for b, text in enumerate(texts, 1):
-            held += len(text)
-            if held >= GROUP or b == len(texts):
-                out += self._group(keys[a:b], texts[a:b])
-                a, held = b, 0
-        return out
-
-    def _group(self, keys: list, texts: list[str]) -> list[np.ndarray]:
-        # a literal mark is no space: it stands apart, in byte pieces
-        found, owner_n = [], []
-        for t in texts:
-            own = _around_marks(t) if MARK in t else chunks(t) if t else []
-            found += own
-            owner_n.append(len(own))
+        """The sampled ids of each text. A group holds about ``GROUP`` characters: many texts, or a part of a long one."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        parts: list[tuple] = []  # key, chunks, characters of the text before them, text
+        held = 0
+
+        def close() -> None:
+            for (*_, i), ids in zip(parts, self._group(parts), strict=True):
+                out[i].append(ids)
+            parts.clear()
+
+        for i, (key, text) in enumerate(zip(keys, texts, strict=True)):
+            own, before, n = [], 0, 0
+            for chunk in chunk_stream(text):
+                own.append(chunk)
+                n += 1 if chunk == LITERAL else len(chunk)
+                if held + n >= GROUP:
+                    parts.append((key, own, before, i))
+                    close()
+                    own, before, n, held = [], before + n, 0, 0
+            if own or not before:
+                parts.append((key, own, before, i))
+                held += n
+        if parts:
+            close()
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
+
+    def _group(self, parts: list[tuple]) -> list[np.ndarray]:
+        found = [chunk for _, own, _, _ in parts for chunk in own]
+        owner_n = [len(own) for _, own, _, _ in parts]
         known: dict[str, int] = defaultdict(count().__next__)
         number = np.fromiter(map(known.__getitem__, found), np.int32, len(found))
         lattice = Lattice(self.pieces, list(known))
         base, size = lattice.base[number], lattice.size[number]
-        owner = np.repeat(np.arange(len(texts)), owner_n)
+        owner = np.repeat(np.arange(len(parts)), owner_n)
         before = np.cumsum(size) - size
         first = np.concatenate([[0], np.cumsum(owner_n)[:-1]]).astype(np.int64)
         at_text = before - np.repeat(before[np.minimum(first, len(before) - 1)], owner_n) if len(before) else before
-        seeds = np.array([xxhash.xxh64_intdigest("" if k is None else str(k), self.seed) for k in keys], np.uint64)[owner]
+        at_text = at_text + np.array([before for _, _, before, _ in parts], np.int64)[owner]
+        seeds = np.array([xxhash.xxh64_intdigest("" if k is None else str(k), self.seed) for k, *_ in parts], np.uint64)[owner]
         node, live = base + size, np.arange(len(number))
         steps = []
         while len(live):
@@ -283,17 +309,8 @@ class Sampler:
         return np.concatenate([*out, ids[last:]])
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.pieces.bytes.__getitem__, ids)).decode()[1:] if len(ids) else ""
-
-
-def _around_marks(text: str) -> list[str]:
-    """Chunks of a text with literal marks: each mark is a chunk that only byte pieces cover."""
-    out = []
-    for k, part in enumerate(text.split(MARK)):
-        if k:
-            out.append(LITERAL)
-        out += CHUNK.findall((MARK if not k else "") + part.replace(" ", MARK))
-    return out
+        parts = (ids[a : a + 1_000_000] for a in range(0, len(ids), 1_000_000))
+        return b"".join(b"".join(map(self.pieces.bytes.__getitem__, x.tolist() if isinstance(x, np.ndarray) else x)) for x in parts).decode()[1:]
 
 
 def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, theta: float = THETA) -> DataFrame:
@@ -306,7 +323,7 @@ def encode_texts(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_
         def do(batch):
             keys, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
             ids = sampler.encode(keys, [t or "" for t in texts])
-            same = [None if t is None else sampler.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
+            same = [None if t is None else sampler.decode(x) == t for x, t in zip(ids, texts, strict=True)]
             none = pa.array([t is None for t in texts], pa.bool_())
             ends = np.cumsum([0, *map(len, ids)])
             flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids or [np.zeros(0, np.int32)]), pa.int32()), mask=none)

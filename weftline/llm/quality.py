@@ -4,8 +4,9 @@ The bands hold zstandard ratios (bytes by compressed bytes) of the whole text an
 language lies in a narrow band that moves with length. A ratio above the band's end means repetition, one below its start
 means noise. Chunks catch what a long ordinary rest would hide; a last chunk of under half the size joins the one before.
 
-Defined results: null and empty texts have no words and fail the base rules; repeated rows each get their row; texts of
-any length are counted whole.
+Defined results: null and empty texts have no words and fail the base rules; repeated rows, ties and all, each get their row;
+texts of any length are counted whole; an empty table gives no rows; other columns are not read, so their names cannot clash; an id
+column with the name of a result column raises.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import map_batches
+from weftline.llm.common import check_id, map_batches
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -76,6 +77,7 @@ def in_band(n_bytes: int, whole: float, low: float, high: float, bands: Bands) -
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:
     """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ratio, chunk_low, chunk_high, base_failed, kept."""
+    check_id(id_col, "n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ratio, chunk_low, chunk_high, base_failed, kept")
     kind = docs.schema[id_col].dataType.simpleString()
 
     def work():

@@ -11,7 +11,8 @@ keys. ``merge_runs`` cuts the order into ranges at quantiles of a sample of the
 each range with a loser tree. Pieces arrive by their first keys, so a range opens a run's piece only when it is reached:
 what is held is about a piece of each open run, not the range. Captures come out in global order, partition after partition.
 
-Defined results: a null payload is empty, a null url has the key "" and sorts first; a null timestamp is 0; pages without
+Defined results: a null payload is empty, a null url has the key "" and sorts first; a null timestamp is 0, and one
+before the year 1 or after 9999 is the first or last second of these; pages without
 an id keep a null id and are always responses; rows equal in id and payload share their record type; captures equal in key,
 time and id follow by file and place; an empty table writes and gives nothing; other columns are not read.
 """
@@ -37,6 +38,7 @@ from weftline.llm.common import map_batches, shared_folder, written
 
 LEAST, FILE_BYTES, PIECE, WAVE, RANGE = 100, 32 << 20, 1000, 64, 200_000
 SAMPLE = 100_000  # keys that reach the driver, at most about twice as many
+FIRST, LAST = -62135596800, 253402300799  # the times that a date of four digits can tell, in seconds
 CAPTURE = "url_key string, ts long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, at long"
 END = "\r\n\r\n"
 
@@ -63,7 +65,7 @@ def record_types(pages: DataFrame) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", ts_col: str | None = None) -> None:
     """Writes gzip-compressed WARC files of response and revisit records to ``path``."""
-    ts = F.coalesce(F.col(ts_col).cast("long"), F.lit(0)) if ts_col else F.lit(0).cast("long")
+    ts = F.greatest(F.lit(FIRST), F.least(F.lit(LAST), F.coalesce(F.col(ts_col).cast("long"), F.lit(0)))) if ts_col else F.lit(0).cast("long")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"), ts.alias("ts"))
     types = record_types(rows)
     digest = F.sha2(F.col("payload").cast("binary"), 256)
@@ -94,12 +96,12 @@ def write_archives(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES, id
         pack = lambda: pa.RecordBatch.from_pydict({"value": [END.join(held)]})
         for batch in batches:
             for value in batch.column("value"):
-                text = value.as_py()
-                if held and size + len(text) > file_bytes:
+                n = value.as_buffer().size + len(END)
+                if held and size + n > file_bytes:
                     yield pack()
                     held, size = [], 0
-                held.append(text)
-                size += len(text)
+                held.append(value.as_py())
+                size += n
         if held:
             yield pack()
 
