@@ -24,6 +24,7 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,11 +42,26 @@ def features(words: list[bytes], n: int) -> list[bytes]:
     return [*words, *(b" ".join(words[i : i + k]) for k in range(2, n + 1) for i in range(len(words) - k + 1))]
 
 
+def packed(places: np.ndarray, counts: np.ndarray, packer) -> bytes:
+    """Distances between rising places, and counts, each in as many bytes as their largest needs."""
+    order = np.argsort(places)
+    arrays = (np.diff(places[order], prepend=0), counts[order])
+    wide = [1 if (top := int(x.max(initial=0))) < 1 << 8 else 2 if top < 1 << 16 else 4 for x in arrays]
+    return packer.compress(bytes(wide) + b"".join(x.astype(f"<u{w}").tobytes() for x, w in zip(arrays, wide, strict=True)))
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(data)
+    n = (len(raw) - 2) // (raw[0] + raw[1])
+    steps = np.frombuffer(raw, f"<u{raw[0]}", n, 2)
+    return np.cumsum(steps, dtype=np.int64), np.frombuffer(raw, f"<u{raw[1]}", n, 2 + n * raw[0]).astype(np.int64)
+
+
 def blocks(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Two kinds of rows. A document: block, id, its numbers of words and features, places and counts. A feature: block, place, feature,
+    """Two kinds of rows. A document: block, id, its numbers of words and features, its places with their counts, packed. A feature: block, place, feature,
     count in the block. Block numbers hold only within a written table."""
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"block long, id {kind}, n_words long, n_features long, places array<int>, counts array<int>, place int, feature string, count long"
+    schema = f"block long, id {kind}, n_words long, n_features long, places binary, place int, feature string, count long"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -54,12 +70,13 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
         total: list[int] = []
         rows: list[tuple] = []
         size = 0
+        packer = zstandard.ZstdCompressor(level=1)
 
         def close():
             feats = list(known)
             blank, m, k = [None], len(rows), len(feats)
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            data = [[number] * (m + k), [*columns[0], *blank * k], [*columns[1], *blank * k], [*columns[2], *blank * k], [*columns[3], *blank * k], [*columns[4], *blank * k], [*blank * m, *range(k)], [*blank * m, *(f.decode() for f in feats)], [*blank * m, *total]]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            data = [[number] * (m + k), *([*c, *blank * k] for c in columns), [*blank * m, *range(k)], [*blank * m, *(f.decode() for f in feats)], [*blank * m, *total]]
             batch = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(data, arrow, strict=True)], schema=arrow)
             known.clear(), total.clear(), rows.clear()
             return batch
@@ -78,7 +95,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                     total.extend([0] * (len(known) - len(total)))
                     for p, c in zip(places, counted.values(), strict=True):
                         total[p] += c
-                    rows.append((key, len(words), counted.total(), np.array(places, np.int32), np.array(list(counted.values()), np.int32)))
+                    rows.append((key, len(words), counted.total(), packed(np.array(places, np.int64), np.array(list(counted.values()), np.int64), packer)))
         if rows:
             yield close()
 
@@ -118,10 +135,10 @@ def weights(made: DataFrame, known: DataFrame, gains: DataFrame, kind: str) -> D
     def add(docs: pa.Table, own: pa.Table) -> pa.Table:
         gain = np.zeros(own.num_rows, np.int64)
         gain[own.column("place").to_numpy()] = own.column("gain").to_numpy()
-        weight = [0 if p is None or not len(p) else int(gain[p] @ c) for p, c in zip(docs.column("places").to_numpy(), docs.column("counts").to_numpy(), strict=True)]
+        weight = [int(gain[p] @ c) for p, c in (unpacked(x.as_py()) for x in docs.column("places"))]
         return pa.Table.from_arrays([docs.column("id").cast(arrow.field("id").type), docs.column("n_words"), docs.column("n_features"), pa.chunked_array([pa.array(weight, pa.int64())])], schema=arrow)
 
-    texts = made.where("n_words is not null").select("block", "id", "n_words", "n_features", "places", "counts")
+    texts = made.where("n_words is not null").select("block", "id", "n_words", "n_features", "places")
     return texts.groupBy("block").cogroup(found.select(F.col("block").alias("own"), "place", "gain").groupBy("own")).applyInArrow(add, schema)
 
 
