@@ -90,3 +90,33 @@ def stream_routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     S.routed(arriving(spark, sf_dir), sinks, f"{path}/state").awaitTermination()
     read = [spark.read.parquet(where).select(F.lit(kind).alias("kind")) for kind, where in sinks.items()]
     return read[0].union(read[1]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+PIECES = 6
+
+
+@query("t02_t07_t08_t10_stream_timers", f"""
+with {USAGE}, held as (select id, org_id, "at", lead("at") over (partition by org_id order by "at", id) as next from usage),
+told as (select id, case when next <= "at" + interval 10 minute then 'released' else 'expired' end as outcome, case when next <= "at" + interval 10 minute then next else "at" + interval 10 minute end as ends from held)
+select id, outcome, strftime(ends, '%Y-%m-%d %H:%M:%S.%g') as ends from told where ends + interval 1 millisecond <= (select max("at") - interval 1 hour from usage)""")
+def stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they come, in batches by time: holds that the next event releases or a timer ends, as far as the watermark has come."""
+    from weftline.sources.tables import usage
+    from weftline.streaming import timers
+
+    u = usage(spark, sf_dir).select("id", "org_id", F.col("at").cast("timestamp").alias("at"))
+    first, last = u.agg(F.min("at").cast("double"), F.max("at").cast("double")).first()
+    path = f"{folder(spark)}/{uuid.uuid4().hex}/in"
+    part = F.least(F.floor((F.col("at").cast("double") - (first or 0)) / max(1.0, ((last or 0) - (first or 0)) / PIECES)), F.lit(PIECES - 1))
+    for i in range(PIECES):  # each a file or more, later than those before
+        u.where(part == i).write.mode("append").parquet(path)
+    source = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    before = {k: spark.conf.get(k, None) for k in timers.PROVIDER}
+    for k, v in timers.PROVIDER.items():
+        spark.conf.set(k, v)
+    try:
+        found = S.drained(spark, timers.holds(source, 10, "1 hour"), folder(spark))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v else spark.conf.unset(k)
+    return found.select("id", "outcome", F.date_format("ends", "yyyy-MM-dd HH:mm:ss.SSS").alias("ends"))
