@@ -150,7 +150,8 @@ def test_word_similarity_against_all_stretches(spark):
     words = ["ab", "abc", "bca", "cab", "a", "abcab", "çok", "x1"]
     made = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
     rows = [("word", "two words"), (None, "x"), ("x", None), ("", "x"), *((made(3), made(9)) for _ in range(200))]
-    df = spark.createDataFrame(rows, "q string, x string").select("q", "x", language.word_similarity(T.trigrams(F.col("q")), T.trigram_sequence(F.col("x"))).alias("s"))
+    df = spark.createDataFrame(rows, "q string, x string").select("q", "x", language.word_similarity("q", "x").alias("s"))
+    assert one(spark, T.trigram_sequence(F.lit("Two wörds_2"))) == language.trigrams_in_order("Two wörds_2")
 
     def grams(text):
         return [w[i : i + 3] for w in (f"  {w} " for w in re.findall(r"[^\W_]+", text.lower())) for i in range(len(w) - 2)]

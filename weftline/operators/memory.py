@@ -67,27 +67,26 @@ def similar_pairs(queries: DataFrame, rows: DataFrame, least: float = 0.3, word:
     return sized.select("query", "id", (common / (F.size("g") + F.size("h") - common)).alias("sim")).where(F.col("sim") >= least)
 
 
-def word_similar(lines: DataFrame, text_col: str, phrases: list[str], least: float = 0.6, word: str = T.LETTERS) -> DataFrame:
+def word_similar(lines: DataFrame, text_col: str, phrases: list[str], least: float = 0.6) -> DataFrame:
     """``lines`` with phrase and similarity, where a stretch of the line is like the phrase by ``least`` or more.
 
     Phrases are what a user asks for: a short list, carried in the plan, so that the lines are read once and not shuffled. A line
     goes on to be measured only with enough of a phrase's trigrams: of n, at least n times ``least``.
     """
-    asked = F.array(*(F.struct(F.lit(p).alias("phrase"), T.trigrams(F.lit(p), word).alias("q")) for p in phrases))
-    each = lines.select("*", T.trigram_sequence(F.col(text_col), word).alias("_g"), asked.alias("_asked"))
+    asked = F.array(*(F.struct(F.lit(p).alias("phrase"), T.trigrams(F.lit(p)).alias("q")) for p in phrases))
+    each = lines.select("*", T.trigrams(F.col(text_col)).alias("_g"), asked.alias("_asked"))
     enough = lambda a: (F.size(a["q"]) > 0) & (F.size(F.array_intersect(a["q"], "_g")) >= F.size(a["q"]) * F.lit(least))
     met = each.select("*", F.explode(F.filter("_asked", enough)).alias("_a")).drop("_asked")
-    told = met.withColumn("similarity", language.word_similarity("_a.q", "_g")).where(F.col("similarity") >= least)
+    told = met.withColumn("similarity", language.word_similarity("_a.phrase", text_col)).where(F.col("similarity") >= least)
     return told.withColumn("phrase", F.col("_a.phrase")).drop("_a", "_g")
 
 
-def concordance(entries: DataFrame, phrase: str, sides: list[str], order: list[Column], limit: int = 25, word: str = T.LETTERS) -> DataFrame:
+def concordance(entries: DataFrame, phrase: str, sides: list[str], order: list[Column], limit: int = 25) -> DataFrame:
     """Entries that hold a phrase on one of the sides, whatever the case, with rank, phrase and the similarity of the side that is more like it:
     the ``limit`` most alike, ties by ``order``. Each task keeps its best before they meet."""
     holds = [F.contains(F.lower(c), F.lit(phrase.lower())) for c in sides]
     found = entries.where(F.coalesce(*(F.when(h, True) for h in holds), F.lit(False)))
-    query = T.trigrams(F.lit(phrase), word)
-    alike = F.greatest(*(language.word_similarity(query, T.trigram_sequence(F.col(c), word)) for c in sides), F.lit(0.0))
+    alike = F.greatest(*(language.word_similarity(F.lit(phrase), c) for c in sides), F.lit(0.0))
     told = found.withColumn("similarity", alike).withColumn("phrase", F.lit(phrase))
     return ops.top_per_group(told, ["phrase"], [F.col("similarity").desc(), *order], limit)
 

@@ -244,7 +244,7 @@ def concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.where(F.col("line").ilike("%the of%")).select("doc_id", F.col("seq").cast("long").alias("seq"), "line")
 
 
-PHRASES_ASKED = ["onde mente", "nation", "Änderung der"]
+PHRASES_ASKED = ["onde mente", "reing", "Änderung der"]
 
 
 def _grams(x: str) -> str:
@@ -270,11 +270,11 @@ def word_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d12_f13_ranked_concordance", f"""
 with {PAIRS.replace('pairs as', 'pairs as materialized')},
-held as (select conv_id * 1000000 + turn as key, conv_id, turn, source, target from pairs where contains(lower(source), 'nation') or contains(lower(target), 'nation')),
+held as (select conv_id * 1000000 + turn as key, conv_id, turn, source, target from pairs where contains(lower(source), 'reing') or contains(lower(target), 'reing')),
 texts as (select key, 1 as side, source as text from held union all select key, 2, target from held), {EXTENTS},
-best as (select key, max(similarity) as similarity from measured where phrase = 'nation' group by key)
+best as (select key, max(similarity) as similarity from measured where phrase = 'reing' group by key)
 select conv_id, turn, round(coalesce(similarity, 0), 9) as similarity from held left join best using (key) order by coalesce(similarity, 0) desc, conv_id, turn limit 25""")
 def ranked_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns that hold a phrase in either language, the most alike first."""
-    found = memory.concordance(parallel(spark, sf_dir), "nation", ["source", "target"], [F.col("conv_id"), F.col("turn")])
+    found = memory.concordance(parallel(spark, sf_dir), "reing", ["source", "target"], [F.col("conv_id"), F.col("turn")])
     return found.select("conv_id", "turn", F.round("similarity", 9).alias("similarity"))
