@@ -91,3 +91,15 @@ def as_of(rows: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, va
     both = cut.withColumn("_inside", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").alias("l").join(F.broadcast(carried.alias("c")), same, "left")
     found = both.withColumn("_last", F.coalesce("_inside", "_carry")).where("_last is not null")
     return found.select(*(F.col(f"l.`{c}`") for c in rows.columns), *(F.col("_last")[v].alias(v) for v in values))
+
+
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, least: int = LEAST) -> DataFrame:
+    """``df`` with ``value`` of the row before each row in its key and order; null for the first one."""
+    cut = spread(df, keys, order[0], least)
+    inside = F.lag(value).over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    first = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order)) == 1
+    ends = cut.groupBy(*keys, "_range").agg(F.max_by(value, F.struct(*order)).alias("_e"))
+    carried = ends.withColumn("_carry", F.lag("_e").over(Window.partitionBy(*keys).orderBy("_range"))).where("_range > 0").drop("_e")
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "_range")]
+    both = cut.withColumn("_inside", inside).withColumn("_first", first).alias("l").join(F.broadcast(carried.alias("c")), same, "left")
+    return both.select(*(F.col(f"l.`{c}`") for c in df.columns), F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_inside")).alias(name))

@@ -251,3 +251,57 @@ def xliff_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = tagged_pairs(spark, sf_dir).select("conv_id", F.col("turn").alias("n"), F.col("turn").cast("string").alias("id"), "source", "target")
     back = X.read(X.export(units, ["conv_id"], "en", "de"), ["conv_id"], "text")
     return back.select("conv_id", "id", *(F.sha2(F.col(c).cast("binary"), 256).alias(c) for c in ("source", "target")))
+
+
+MEMORY = f"""u as (select p_partkey as n, p_partkey // {BLOCK} as file, case when p_partkey % 3 = 0 then 'c' || p_partkey % 2 end as context, p_brand || ' ⟦1/⟧' as source, '⟦2⟧Art ' || p_size % 3 || '⟦/2⟧⟦1/⟧' as de, p_type as sr from part),
+held as (select source, min(n) % 4 = 0 as reviewed, '⟦2⟧Art ' || case when min(n) % 4 = 0 then 1 else 2 end || '⟦/2⟧⟦1/⟧' as target from u group by source having min(n) % 2 = 0),
+pairs as (select file, n, 0 as k, 'de-de' as lang, context, source, de as target from u where n % 7 > 0 and n % 11 > 0 and n % 13 > 0 union all select file, n, 1, 'sr-latn', context, source, sr from u where n % 7 > 0 and n % 11 > 0 and n % 5 = 0)"""
+
+
+def _memory(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(memory, units): some brands are held, reviewed or stale; units lack a language, have one only, or a blank target."""
+    from weftline.operators import imports
+    from weftline.sources import memories
+
+    n = F.col("p_partkey")
+    variant = lambda lang, seg: F.concat(F.lit(f'<tuv xml:lang="{lang}"><seg>'), *seg, F.lit("</seg></tuv>"))
+    de = F.when(n % 13 == 0, F.lit(' <ph x="2"/>')).otherwise(F.concat(F.lit("<hi>"), F.lit("Art "), F.col("p_size") % 3, F.lit('</hi><ph x="2">{x}</ph>')))
+    first = F.when(n % 7 == 0, variant("fr", [F.lit("type")])).otherwise(variant("en-US", [F.col("p_brand"), F.lit(' <ph x="2"/>')]))
+    both = F.concat(first, variant("de-DE", [de]), F.when(n % 5 == 0, variant("sr_Latn", [F.col("p_type")])).otherwise(""))
+    context = F.when(n % 3 == 0, F.concat(F.lit('<prop type="x-context">c'), n % 2, F.lit("</prop>"))).otherwise("")
+    unit = F.concat(F.lit("<tu>"), context, F.when(n % 11 == 0, first).otherwise(both), F.lit("</tu>"))
+    text = blocks(spark, sf_dir, unit, '<tmx version="1.4"><header srclang="en"/><body>\n', "</body></tmx>")
+    brands = table(spark, sf_dir, "part").groupBy(F.concat("p_brand", F.lit(" ⟦1/⟧")).alias("source")).agg(F.min("p_partkey").alias("n")).where("n % 2 = 0")
+    target = F.concat(F.lit("⟦2⟧Art "), F.when(F.col("n") % 4 == 0, 1).otherwise(2), F.lit("⟦/2⟧⟦1/⟧"))
+    status = F.when(F.col("n") % 4 == 0, "approved").otherwise("stale")
+    held = brands.select(F.lit("en-US").alias("source_lang"), F.lit("de-DE").alias("target_lang"), F.lit(None).cast("string").alias("context"), "source", target.alias("target"), F.lit("review").alias("origin"), status.alias("status"), F.lit(None).cast("string").alias("rights"))
+    memory = imports.keyed(held).select(*(c.split()[0] for c in imports.ENTRY.split(", ")))
+    return memory, memories.units(text, ["file"], "text")
+
+
+@query("s50_d14_memory_import", f"""
+with {MEMORY}, seen as (select *, lag(target) over (partition by lang, context, source order by n, k) as before from pairs),
+acts as (select s.file, case when h.target is null and before is null then 'inserted' when case when reviewed then h.target else before end = s.target then 'unchanged' when reviewed then 'kept' else 'updated' end as action
+  from seen s left join held h on h.source = s.source and lang = 'de-de' and context is null),
+told as (select file, case when action in ('inserted', 'updated') then 'imported' else 'skipped' end as how from acts union all
+  select file, case when n % 11 = 0 then 'skipped' else 'errors' end from u where n % 11 = 0 or n % 7 = 0 union all select file, 'skipped' from u where n % 13 = 0 and n % 7 > 0 and n % 11 > 0)
+select file, count(*) filter (how = 'imported') as imported, count(*) filter (how = 'skipped') as skipped, count(*) filter (how = 'errors') as errors from told group by file""")
+def memory_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each memory file brought: imported, skipped, with errors."""
+    from weftline.operators import imports
+
+    return imports.import_units(*_memory(spark, sf_dir), ["file"], ["file", "n"], "owner")[1]
+
+
+@query("d14_s50_memory_after_import", f"""
+with {MEMORY}, last as (select lang, context, source, arg_max(target, 2 * n + k) as target from pairs group by lang, context, source)
+select coalesce(l.lang, 'de-de') as target_lang, l.context, coalesce(l.source, h.source) as source, case when h.source is not null and (reviewed or l.source is null) then h.target else l.target end as target,
+  case when h.source is not null and (reviewed or l.source is null) then 'review' else 'import' end as origin
+from last l full join held h on h.source = l.source and l.lang = 'de-de' and l.context is null""")
+def memory_after_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The memory after an import: reviewed translations stay, stale ones are replaced."""
+    from weftline.operators import imports
+
+    memory, units = _memory(spark, sf_dir)
+    changes, _ = imports.import_units(memory, units, ["file"], ["file", "n"], "owner")
+    return imports.merged(memory, changes).select("target_lang", "context", "source", "target", "origin")
