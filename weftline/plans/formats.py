@@ -305,3 +305,24 @@ def memory_after_import(spark: SparkSession, sf_dir: str) -> DataFrame:
     memory, units = _memory(spark, sf_dir)
     changes, _ = imports.import_units(memory, units, ["file"], ["file", "n"], "owner")
     return imports.merged(memory, changes).select("target_lang", "context", "source", "target", "origin")
+
+
+@query("s57_catalogue_forms", f"""
+with f(form) as (values ('json'), ('json_nested'), ('i18next'), ('formatjs'), ('arb'), ('android'), ('strings'), ('stringsdict'), ('xcstrings'), ('yaml'), ('po'), ('pot'), ('xliff12'), ('xliff21'), ('csv')),
+r as (select p_partkey // {BLOCK} as file, 'part.' || p_partkey as key, unnest(case when p_partkey % 4 = 0 then ['one', 'other'] else [null] end) as category, p_name || ' "' || p_type || chr(92) || chr(10) || '<' || p_partkey || ' & it''s>' as v from part)
+select form, file, key, case when form = 'stringsdict' then coalesce(category, 'other') else category end as category,
+  case when form in ('arb', 'xcstrings', 'yaml', 'csv') then 'de' end as lang, case when form = 'pot' then key else coalesce(category || ' ', '') || v end as value from r, f""")
+def catalogue_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and plural families written in every form, the forms told by name and content, and read again."""
+    from weftline.sources import catalogues as C
+
+    n = F.col("p_partkey")
+    category = F.explode(F.when(n % 4 == 0, F.array(F.lit("one"), F.lit("other"))).otherwise(F.array(F.lit(None).cast("string")))).alias("category")
+    parts = table(spark, sf_dir, "part").select(F.floor(n / BLOCK).alias("file"), n.alias("n"), key().alias("key"), category, F.concat("p_name", F.lit(' "'), "p_type", F.lit("\\\n<"), n, F.lit(" & it's>")).alias("v"))
+    rows = parts.select("file", "n", "key", "category", F.lit("de").alias("lang"), F.concat(F.coalesce(F.concat("category", F.lit(" ")), F.lit("")), "v").alias("value"))
+    out = None
+    for form, f in C.FORMS.items():
+        files = C.render(rows, ["file"], form, ["n"]).where(C.detect(F.lit(f"app.{f.extension}"), F.col("text")) == form)
+        found = C.read(files, ["file"], "text", form).withColumn("form", F.lit(form))
+        out = found if out is None else out.unionByName(found)
+    return out.select("form", "file", "key", "category", "lang", "value")
