@@ -1,6 +1,7 @@
 """XLIFF: what is read, and what merges and exports give back."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,23 @@ def test_exports_are_read_and_merged_back(spark):
     assert back == {u: (s, t or None) for _, _, u, s, t in rows}
     changed = xliff.merge(out, ["file"], "text", units.select("file", "id", F.lit("1").alias("segment"), F.col("source").alias("target")))
     assert {r.id: r.target for r in xliff.read(changed, ["file"], "text").collect()} == {u: s or None for _, _, u, s, _ in rows}
+
+
+def test_a_file_of_many_units_is_read_and_merged_in_one_go():
+    """Every unit without a target looks for its indent, and no longer in all that stands before it."""
+    n = 40_000
+    body = "".join(f'\n  <trans-unit id="{i}"><source>word {i} &amp; more</source></trans-unit>' for i in range(n))
+    text = f'<xliff version="1.2"><file><body>{body}</body></file></xliff>'
+    begun = time.process_time()
+    made, written, _ = xliff.merge_file(text, {(str(i), "1"): "neu" for i in range(0, n, 2)})
+    assert time.process_time() - begun < 60  # its time grew with the square of the file before
+    assert written == n // 2 and [s.target and s.target.tagged for s in xliff.segments(made)] == ["neu", None] * (n // 2)
+
+
+def test_segments_come_before_the_file_ends():
+    """A reader holds one unit, not the file's tree; a file that is not well-formed still gives nothing to ``read``."""
+    units = "".join(f'<unit id="{i}"><segment><source>text {i}</source></segment></unit>' for i in range(20_000))
+    broken = f'<xliff version="2.0"><file id="f" translate="no">{units}<unit>'
+    first = next(iter(xliff.segments(broken)))
+    assert (first.unit, first.translate) == ("0", False) and "not well-formed" in xliff.fault(broken) and not list(xliff._rows(broken))
+    assert len(list(xliff._rows(broken[:-6] + "</file></xliff>"))) == 20_000

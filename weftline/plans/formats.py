@@ -11,10 +11,18 @@ from weftline.sources import documents as D
 from weftline.sources.tables import table
 
 
+def spread(parts: DataFrame, file: Column) -> DataFrame:
+    """Parts with the file they go to, dealt by it; the number of partitions is given, for what a reader has to do with a file
+    doesn't show in its bytes, by which adaptive plans would join partitions."""
+    number = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = parts.select("*", file)
+    return named.repartition(number, named.columns[-1])
+
+
 def files(spark: SparkSession, sf_dir: str, line: Column, sep: str = "\n", head: str = "", tail: str = "") -> DataFrame:
     """(brand, text): one file a brand, with an entry for each of its parts, in order."""
     lines = F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line"))))["line"]
-    brands = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand")).agg(lines.alias("l"))
+    brands = spread(table(spark, sf_dir, "part"), F.col("p_brand").alias("brand")).groupBy("brand").agg(lines.alias("l"))
     return brands.select("brand", F.concat(F.lit(head), F.array_join("l", sep), F.lit(tail)).alias("text"))
 
 
@@ -24,7 +32,7 @@ BLOCK = 25
 def blocks(spark: SparkSession, sf_dir: str, line: Column, head: str, tail: str, sep: str = "\n") -> DataFrame:
     """(file, text): one file for every ``BLOCK`` part numbers, so that files grow in number and not in size."""
     lines = F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line"))))["line"]
-    parts = table(spark, sf_dir, "part").groupBy(F.floor(F.col("p_partkey") / BLOCK).alias("file")).agg(lines.alias("l"))
+    parts = spread(table(spark, sf_dir, "part"), F.floor(F.col("p_partkey") / BLOCK).alias("file")).groupBy("file").agg(lines.alias("l"))
     return parts.select("file", F.concat(F.lit(head), F.array_join("l", sep), F.lit(tail)).alias("text"))
 
 
