@@ -36,3 +36,11 @@ def test_paired_documents(spark):
     df = spark.createDataFrame([(1, "One is here. Two is there. Three is [gone].", "Eins ist hier. Zwei ist dort. Drei ist [weg].")], "file int, a string, b string")
     got = B.document_pairs(df, ["file"], "a", "b").orderBy("n").collect()
     assert [r.source for r in got] == ["One is here.", "Two is there.", "Three is [gone]."] and got[0].target == "Eins ist hier." and "Drei ist [weg]." in got[2].target
+
+
+def test_a_long_table_does_not_carry_its_file_along(spark):
+    """Rows leave the reader one by one: exploded from an array, each row copied all of its file's rows."""
+    text = "Source;Target\n" + "".join(f"word {i};Wort {i}\n" for i in range(5000))
+    got = B.table_pairs(spark.createDataFrame([(1, text), (2, text)], "file int, text string"), ["file"], "text")
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.count() == 10_000 and got.where("source = 'word 4999' and target = 'Wort 4999' and n = 5000").count() == 2

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as t
 
 from weftline.functions import text as T
+from weftline.functions.batches import each_row
 from weftline.operators import alignment
 from weftline.sources import documents, plain
 
@@ -21,14 +21,13 @@ CELL = re.compile(r' *"((?:[^"]|"")*)" *')
 MARK = re.compile(r'(?<![^,;\t|\r\n])"(?:[^"]|"")*"|[,;\t|\r\n]')
 
 
-def records(text: str, separator: str, most: int | None = None) -> list[list[str]]:
+def each_record(text: str, separator: str) -> Iterator[list[str]]:
     """The records of a table: cells between separators, quoted ones with line breaks and doubled quotes. A quote inside a
     bare cell, and one that is never closed, are characters."""
     plain = re.compile(rf"[^{re.escape(separator)}\r\n]*")
-    out: list[list[str]] = []
     row: list[str] = []
     at = 0
-    while at < len(text) and (most is None or len(out) < most):
+    while at < len(text):
         m = CELL.match(text, at)
         if m and (m.end() == len(text) or text[m.end()] in separator + "\r\n"):
             row.append(m[1].replace('""', '"'))
@@ -42,9 +41,12 @@ def records(text: str, separator: str, most: int | None = None) -> list[list[str
                 continue
             row.append("")
         at += 2 if text[at : at + 2] == "\r\n" else 1
-        out.append(row)
+        yield row
         row = []
-    return out
+
+
+def records(text: str, separator: str, most: int | None = None) -> list[list[str]]:
+    return list(islice(each_record(text, separator), most))
 
 
 def separator_of(text: str) -> str:
@@ -58,18 +60,18 @@ def separator_of(text: str) -> str:
     return max(SEPARATORS, key=counts.get)
 
 
-@F.pandas_udf(t.ArrayType(t.ArrayType(t.StringType())))
-def _cells(text: pd.Series) -> pd.Series:
-    def told(x: str | None) -> list[list[str]]:
-        bare = (x or "").removeprefix("\ufeff")
-        return [r for r in records(bare, separator_of(bare)) if any(c.strip() for c in r)]
-
-    return text.map(told)
+def _rows(text: str | None) -> Iterator[tuple]:
+    """The records with a text in them, each with the first one."""
+    bare = (text or "").removeprefix("\ufeff")
+    told = (r for r in each_record(bare, separator_of(bare)) if any(c.strip() for c in r))
+    names = next(told, None)
+    for n, r in enumerate(() if names is None else chain([names], told)):
+        yield n, names, r
 
 
 def table_pairs(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
     """(keep, n, source, target) of tables of any width: by the headings of the first record, else the first two columns."""
-    rows = df.select(*keep, _cells(F.col(text)).alias("_rows")).where(F.size("_rows") > 0).select(*keep, F.col("_rows")[0].alias("_names"), F.posexplode("_rows").alias("n", "_cells"))
+    rows = each_row(df, keep, text, "n int, _names array<string>, _cells array<string>", _rows)
     at = lambda pattern: F.array_position(F.transform("_names", lambda x: x.rlike(pattern)), True)
     both = (at(SOURCE_HEAD) > 0) & (at(TARGET_HEAD) > 0)
     cell = lambda pattern, first: F.coalesce(F.get("_cells", F.when(both, at(pattern) - 1).otherwise(first).cast("int")), F.lit(""))
