@@ -64,3 +64,20 @@ def test_unordered_batches_and_a_restart(spark, events, tmp_path):
     passed = max(at for _, _, at in events) - datetime.timedelta(hours=12, minutes=1)
     missing = {i for i, (_, ends) in want.items() if ends < passed} - dict(got).keys()
     assert not missing
+
+
+def test_a_table_of_several_files_loses_no_event(spark, sf_dir, tmp_path):
+    """Files of one piece of time are in no order: taken one by one, the first one made the older events of the others late."""
+    from weftline.plans.streams import stream_timers
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    some = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = {tuple(r) for r in stream_timers(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", some)
+    held = expected([(r.event_id, r.user_id, r.ts) for r in events.collect()], 10)
+    passed = max(r.ts for r in events.collect()) - datetime.timedelta(hours=1, milliseconds=1)
+    assert got == {(i, outcome, f"{ends:%Y-%m-%d %H:%M:%S.%f}"[:-3]) for i, (outcome, ends) in held.items() if ends <= passed}

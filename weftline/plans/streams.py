@@ -106,16 +106,16 @@ def stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     u = usage(spark, sf_dir).select("id", "org_id", F.col("at").cast("timestamp").alias("at"))
     first, last = u.agg(F.min("at").cast("double"), F.max("at").cast("double")).first()
-    path = f"{folder(spark)}/{uuid.uuid4().hex}/in"
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
     part = F.least(F.floor((F.col("at").cast("double") - (first or 0)) / max(1.0, ((last or 0) - (first or 0)) / PIECES)), F.lit(PIECES - 1))
-    for i in range(PIECES):  # each a file or more, later than those before
-        u.where(part == i).write.mode("append").parquet(path)
-    source = spark.readStream.schema(u.schema).option("maxFilesPerTrigger", 1).parquet(path)
     before = {k: spark.conf.get(k, None) for k in timers.PROVIDER}
     for k, v in timers.PROVIDER.items():
         spark.conf.set(k, v)
     try:
-        found = S.drained(spark, timers.holds(source, 10, "1 hour"), folder(spark))
+        for i in range(PIECES):  # each later than those before; its files are in no order, so they come in one batch
+            u.where(part == i).write.mode("append").parquet(f"{path}/in")
+            source = spark.readStream.schema(u.schema).parquet(f"{path}/in")
+            found = S.drained(spark, timers.holds(source, 10, "1 hour"), path, name="run")
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v else spark.conf.unset(k)

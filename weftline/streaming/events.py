@@ -113,9 +113,10 @@ def routed(events: DataFrame, sinks: dict[str, str], checkpoint: str):
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drained(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Runs a stream over what is there, into files below ``folder``, and reads them; ``keep`` reduces update rows to the last."""
-    path = f"{folder}/{uuid.uuid4().hex}"
+def drained(spark: SparkSession, stream: DataFrame, folder: str, mode: str = "append", keep: Callable[[DataFrame], DataFrame] | None = None, name: str | None = None) -> DataFrame:
+    """Runs a stream over what is there, into files below ``folder``, and reads them; ``keep`` reduces update rows to the last.
+    A stream that was run under a ``name`` goes on from its checkpoint, and all that it gave is read."""
+    path = f"{folder}/{name or uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
