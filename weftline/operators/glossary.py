@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
 from weftline.functions import stems
 from weftline.functions import text as T
+from weftline.functions.batches import sliced
 
 # Of two matches of one length and place the kind with the smaller number wins.
 PRIORITY = {"do_not_translate": 0, "mandatory": 1, "preferred": 2}
@@ -21,10 +21,10 @@ _LATIN = str.maketrans(dict(zip(T.CYRILLIC, T.LATIN, strict=True)) | T.DIGRAPHS)
 TOKENS = t.ArrayType(t.StructType([t.StructField("form", t.StringType()), t.StructField("key", t.StringType()), t.StructField("start", t.IntegerType()), t.StructField("end", t.IntegerType())]))
 
 
-@F.pandas_udf(TOKENS)
-def tokens(text: pd.Series) -> pd.Series:
+@sliced(TOKENS)
+def tokens(texts: list) -> list:
     """Words with their places: form, the form for comparing (lower case, Latin), start and end in code points."""
-    return text.map(lambda s: [{"form": m[0], "key": m[0].lower().translate(_LATIN), "start": m.start(), "end": m.end()} for m in WORD.finditer(s or "")])
+    return [[{"form": m[0], "key": m[0].lower().translate(_LATIN), "start": m.start(), "end": m.end()} for m in WORD.finditer(s or "")] for s in texts]
 
 
 def tokens_of(lang: str | None):
@@ -33,9 +33,9 @@ def tokens_of(lang: str | None):
     if code not in stems.LANGUAGES:
         return tokens
 
-    @F.pandas_udf(TOKENS)
-    def stemmed(text: pd.Series) -> pd.Series:
-        return text.map(lambda s: [{"form": m[0], "key": stems.stem(m[0], code), "start": m.start(), "end": m.end()} for m in WORD.finditer(s or "")])
+    @sliced(TOKENS)
+    def stemmed(texts: list) -> list:
+        return [[{"form": m[0], "key": stems.stem(m[0], code), "start": m.start(), "end": m.end()} for m in WORD.finditer(s or "")] for s in texts]
 
     return stemmed
 
