@@ -15,11 +15,12 @@ from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from weftline.functions import text as T
+from weftline.functions.batches import sliced
 from weftline.sources import bilingual, structured, xliff
 from weftline.sources import documents as D
 
@@ -290,7 +291,8 @@ def _read_xliff(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
     return _bracketed(found, keep, "id", T.plain(F.coalesce("target", "source")))
 
 
-def _cells(text: pd.Series) -> pd.Series:
+@sliced(t.ArrayType(t.StructType([t.StructField(c.split()[0], t.StringType()) for c in ROW.split(", ")])))
+def _cells(texts: list) -> list:
     def rows(x: str | None) -> list[dict]:
         head, *lines = bilingual.records(x, bilingual.separator_of(x)) if x else [[]]
         told = [c.strip() for c in head]
@@ -299,11 +301,11 @@ def _cells(text: pd.Series) -> pd.Series:
         cell = lambda line, i: line[i] if i is not None and i < len(line) else ""
         return [{"key": cell(line, at.get("key")), "category": cell(line, at.get("category")) or None, "lang": lang, "value": line[i]} for line in lines for i, lang in langs if i < len(line) and cell(line, at.get("key"))]
 
-    return text.map(rows)
+    return [rows(x) for x in texts]
 
 
 def _read_table(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
-    each = df.select(*keep, F.explode(F.pandas_udf(_cells, f"array<struct<{ROW.replace(' string', ':string')}>>")(text)).alias("_r"))
+    each = df.select(*keep, F.explode(_cells(F.col(text))).alias("_r"))
     return each.select(*keep, "_r.*")
 
 
@@ -380,9 +382,10 @@ def render(rows: DataFrame, keep: Sequence[str], form: str, order: Sequence[str]
     """(keep, text): a file of each ``keep`` with its rows (key, category, lang, value) in ``order``."""
     write = FORMS[form].write
 
-    def written(files: pd.Series) -> pd.Series:
-        return files.map(lambda rs: write([Row(r["key"], r["category"], r["lang"], r["value"]) for r in rs]))
+    @sliced(t.StringType())
+    def written(files: list) -> list:
+        return [write([Row(r["key"], r["category"], r["lang"], r["value"]) for r in rs]) for rs in files]
 
     place = F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), "category", "key", "lang", "value")
     listed = rows.groupBy(*keep).agg(F.array_sort(F.collect_list(place)).alias("_r"))
-    return listed.select(*keep, F.pandas_udf(written, "string")("_r").alias("text"))
+    return listed.select(*keep, written("_r").alias("text"))
