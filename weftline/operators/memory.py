@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import language
 from weftline.functions import text as T
 from weftline.operators import relational as ops
+from weftline.operators import steps
 
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("lang",)) -> DataFrame:
@@ -91,19 +94,46 @@ def concordance(entries: DataFrame, phrase: str, sides: list[str], order: list[C
     return ops.top_per_group(told, ["phrase"], [F.col("similarity").desc(), *order], limit)
 
 
-def ngrams(words: Column, most: int) -> Column:
-    """All runs of one to ``most`` words, space-joined, repeats kept."""
-    one = lambda n: F.when(F.size(words) >= n, F.transform(F.slice(words, 1, F.size(words) - n + 1), lambda w, i: F.concat_ws(" ", w, *(F.get(words, i + k) for k in range(1, n))))).otherwise(F.array().cast("array<string>"))
-    return F.concat(words, *(one(n) for n in range(2, most + 1)))
+def _runs(words: Column, n: int) -> Column:
+    """Every run of ``n`` words as a struct of its words; those at the end, which have fewer, hold nulls."""
+    return F.arrays_zip(*(F.slice(words, k + 1, F.size(words)).alias(f"_{k}") for k in range(n)))
+
+
+def _frequent_runs(rows: DataFrame, keys: list[str], inner: DataFrame, floors: DataFrame, n: int) -> DataFrame:
+    """(keys, term, freq) of the runs of ``n`` words that their key has as often as its floor. Both runs within such a run are as
+    frequent (``inner``), so no other is counted."""
+    at = [f"_{k}" for k in range(n)]
+    each = rows.select(*keys, F.inline(_runs(F.col("_w"), n)).alias(*at)).where(F.col(at[-1]).isNotNull())
+    for part in (at[:-1], at[1:]):
+        each = each.alias("l").join(inner.alias("h"), [*(F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys), F.concat_ws(" ", *part) == F.col("h.term")], "left_semi")
+    return _above(each.groupBy(*keys, F.concat_ws(" ", *at).alias("term")).agg(F.count(F.lit(1)).alias("freq")), keys, floors)
+
+
+def _above(counted: DataFrame, keys: list[str], floors: DataFrame) -> DataFrame:
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+    return counted.alias("l").join(floors.alias("h"), [*same, F.col("l.freq") >= F.col("h._floor")], "left_semi")
 
 
 def extract_terms(rows: DataFrame, words: Column, keys: list[str], most: int = 3, least: int = 2, limit: int = 50) -> DataFrame:
-    """(keys, term, freq, rank): frequent word runs of each key.
+    """(keys, term, freq, rank): frequent word runs of each key, up to ``most`` words.
 
     A run goes if a longer one that holds it is as frequent; the rest ranks by frequency times 1 + half a point a
     further word. Each longer run names its two inner runs, so the containment test is one equi-join.
+
+    Only runs that may be among the first are counted. Of a key's ``most * limit`` most frequent words, the last with frequency
+    u, each is within a run that stays and is as frequent; a run has at most ``most`` words, so ``limit`` runs stay with u points
+    or more. A run below u / (1 + (most - 1) / 2) has fewer points whatever its length: that is the key's floor. Where a key has
+    fewer words it is ``least``, and all is counted. Words are counted first, then runs by length, so rows are gone through ``most`` times.
     """
-    counted = rows.select(*keys, F.explode(ngrams(words, most)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least)
+    told = rows.select(*keys, words.alias("_w"))
+    singles = steps.written(told.select(*keys, F.explode("_w").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") >= least))
+    first = ops.top_per_group(singles, keys, [F.col("freq").desc()], most * limit).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("freq").alias("_u"))
+    reach = F.ceil(F.col("_u") / (1 + 0.5 * (most - 1)))
+    floors = steps.written(first.select(*keys, F.when(F.col("_n") == most * limit, F.greatest(F.lit(least), reach)).otherwise(least).alias("_floor")))
+    levels = [steps.written(_above(singles, keys, floors))]
+    for size in range(2, most + 1):
+        levels.append(steps.written(_frequent_runs(told, keys, levels[-1], floors, size)))
+    counted = reduce(DataFrame.unionByName, levels)
     parts = F.split("term", " ")
     n = F.size(parts)
     inner = counted.where(n > 1).select(*keys, F.explode(F.array(F.array_join(F.slice(parts, F.lit(1), n - 1), " "), F.array_join(F.slice(parts, F.lit(2), n - 1), " "))).alias("term"), "freq")
