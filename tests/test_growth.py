@@ -45,3 +45,26 @@ def test_few_runs_of_rare_words_are_counted(spark, monkeypatch):
     got = memory.extract_terms(spark.createDataFrame([(1, words)], "k int, w array<string>"), F.col("w"), ["k"], limit=5)
     assert {tuple(r) for r in got.select("k", "term", "freq", "rank").collect()} == plain_terms([(1, words)], 3, 2, 5)
     assert sum(t.count() for t in tables[2:]) < 200
+
+
+@pytest.mark.parametrize(("hot", "counted"), [(1 / 1000, 4_000_000), (0.2, 50), (2, 10)])
+def test_dice_of_hot_and_rare_words(spark, monkeypatch, hot, counted):
+    """Every two words of a pair became a row to shuffle; now only those that can be alike meet, the rare ones as lists, in tasks of a bounded number of pairs."""
+    monkeypatch.setattr(memory, "HOT", hot)
+    monkeypatch.setattr(memory, "COUNTED", counted)
+    rng = random.Random(5)
+    some = lambda c, n: [f"{c}{int(rng.paretovariate(0.7)) % 60}" for _ in range(rng.randint(0, n))]
+    pairs = [(1, some("s", 12), some("t", 20)) for _ in range(150)] + [(1, ["s1", "s2"], ["t1", "t90"])] * 20 + [(2, None, ["t1"]), (2, ["s1"], None)]
+    m, f, c = Counter(), Counter(), Counter()
+    for _, a, b in pairs:
+        m.update(set(a or ()))
+        f.update(set(b or ()))
+        c.update((s, t) for s in set(a or ()) for t in set(b or ()))
+    want = {}
+    for (s, t), n in c.items():
+        if 2 * n / (m[s] + f[t]) >= 0.2:
+            want.setdefault(s, []).append((-2 * n / (m[s] + f[t]), -n, t))
+    df = spark.createDataFrame(pairs, "key int, a array<string>, b array<string>")
+    got = memory.dice(df, "a", "b")
+    assert {(r.s, r.t, r.c, r.dice) for r in got.collect()} == {(s, t, -n, -d) for s, found in want.items() for d, n, t in sorted(found)[:3]}
+    assert memory.dice(df.limit(0), "a", "b").count() == 0

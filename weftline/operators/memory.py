@@ -143,17 +143,31 @@ def extract_terms(rows: DataFrame, words: Column, keys: list[str], most: int = 3
     return ops.top_per_group(kept.withColumn("_score", score), keys, [F.col("_score").desc(), F.col("term")], limit).drop("_score")
 
 
+# Words of more than this share of all pairs are hot; a task counts what about this many pairs of words come to.
+HOT, COUNTED = 1 / 1000, 4_000_000
+
+
 def dice(pairs: DataFrame, source: str, target: str, least: float = 0.2, top: int = 3) -> DataFrame:
-    """(source, target, c, dice): co-occurrence over pairs (key, source words, target words); the best few of each word.
+    """(s, t, c, dice): co-occurrence over the rows of ``pairs`` (source words, target words); the best few of each word.
 
-    Counts are over distinct words of a pair: 2c / (m + f). Only pairs of words that can reach ``least`` are joined.
+    Counts are over distinct words of a pair: 2c / (m + f). Only words that would reach ``least`` if they were always together
+    meet, so how often each occurs is joined to the words first. A source word goes to where it is counted with a list of what it
+    meets, which is a few bytes a word, where a row a pair of words is some fifty. Hot words meet few others, for none is
+    rare; their pairs are counted where they are, then added up. There are as many tasks as pairs of words ask for, so that the
+    counts of one don't grow with the input.
     """
-    src = pairs.select("key", F.explode(F.array_distinct(source)).alias("s"))
-    tgt = pairs.select("key", F.explode(F.array_distinct(target)).alias("t"))
+    bags = steps.written(pairs.select(F.monotonically_increasing_id().alias("key"), F.array_distinct(source).alias("a"), F.array_distinct(target).alias("b")))
+    rows, work = bags.agg(F.count(F.lit(1)), F.sum(F.size("a").cast("long") * F.size("b"))).first()
+    src, tgt = bags.select("key", F.explode("a").alias("s")), bags.select("key", F.explode("b").alias("t"))
     m, f = src.groupBy("s").agg(F.count(F.lit(1)).alias("m")), tgt.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    both = pairs.select(F.explode(F.array_distinct(source)).alias("s"), F.array_distinct(target).alias("ts")).select("s", F.explode("ts").alias("t")).groupBy("s", "t").agg(F.count(F.lit(1)).alias("c"))
-    scored = both.join(m, "s").join(f, "t").withColumn("dice", 2 * F.col("c") / (F.col("m") + F.col("f"))).where(F.col("dice") >= least)
-    return ops.top_per_group(scored, ["s"], [F.col("dice").desc(), F.col("c").desc(), F.col("t")], top)
+    lists = tgt.join(f, "t").groupBy("key").agg(F.collect_list(F.struct("t", "f")).alias("ts"))
+    alike = lambda c: 2 * c / (F.col("m") + F.col("f"))
+    near = F.filter("ts", lambda x: 2 * F.least("m", x["f"]) / (F.col("m") + x["f"]) >= least)
+    each = src.join(m, "s").join(lists, "key").select("s", "m", near.alias("ts")).where(F.size("ts") > 0)
+    hot = F.col("m") > rows * HOT
+    counted = lambda met: met.select("s", "m", F.inline("ts")).groupBy("s", "m", "t", "f").agg(F.count(F.lit(1)).alias("c")).withColumn("dice", alike(F.col("c"))).where(F.col("dice") >= least)
+    both = counted(each.where(~hot).repartition(max(1, (work or 0) // COUNTED), "s")).unionByName(counted(each.where(hot)))
+    return ops.top_per_group(both, ["s"], [F.col("dice").desc(), F.col("c").desc(), F.col("t")], top)
 
 
 def consistency(segments: DataFrame, source: str, target: str) -> DataFrame:
