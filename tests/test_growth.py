@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.operators import memory, steps
+from weftline.operators import imports, memory, steps
+from weftline.sources import memories
 
 
 def plain_terms(docs, most, least, limit):
@@ -68,3 +69,19 @@ def test_dice_of_hot_and_rare_words(spark, monkeypatch, hot, counted):
     got = memory.dice(df, "a", "b")
     assert {(r.s, r.t, r.c, r.dice) for r in got.collect()} == {(s, t, -n, -d) for s, found in want.items() for d, n, t in sorted(found)[:3]}
     assert memory.dice(df.limit(0), "a", "b").count() == 0
+
+
+def test_units_of_an_import_are_read_once(spark):
+    """Units were parsed anew for each pass over their pairs: counts, cuts, ends of ranges, actions, what was left out."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+
+    text = "<tmx><header srclang='en'/><body>" + "".join(f"<tu><tuv xml:lang='en'><seg>s{i % 3}</seg></tuv><tuv xml:lang='de'><seg>t{i}</seg></tuv></tu>" for i in range(10)) + "</body></tmx>"
+    units = memories.units(spark.createDataFrame([(1, text)], "file long, text string"), ["file"], "text").withColumn("source", seen("source"))
+    changes, told = imports.import_units(imports.entries(spark), units, ["file"], ["file", "n"], "owner")
+    assert [tuple(r) for r in told.collect()] == [(1, 10, 0, 0)] and {(r.source, r.target) for r in changes.collect()} == {("s0", "t9"), ("s1", "t7"), ("s2", "t8")}
+    assert read.value == 10

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from weftline.functions import text as T
-from weftline.operators import prefix
+from weftline.operators import prefix, steps
 
 KEY = ("source_lang", "target_lang", "source_key", "context")
 ENTRY = "source_lang string, target_lang string, source_key string, context string, source string, target string, origin string, status string, rights string"
@@ -94,9 +94,12 @@ def _owner(rights: str) -> str:
 
 
 def import_units(memory: DataFrame, units: DataFrame, keep: Sequence[str], order: Sequence[str], rights: str) -> tuple[DataFrame, DataFrame]:
-    """(changed entries, accounts by ``keep``) of units imported into a memory; ``rights`` names who confirms the rights."""
+    """(changed entries, accounts by ``keep``) of units imported into a memory; ``rights`` names who confirms the rights.
+
+    Units and pairs are written below the shared folder first: what follows goes through them several times, and units are costly to read.
+    """
     owner = _owner(rights)
-    rows = pairs(units, keep, order)
+    rows = steps.written(pairs(steps.written(units), keep, order))
     done = actions(memory, rows.where("left_out is null"), order)
     return changed(done, order, owner), accounts(done, rows.where("left_out is not null"), keep)
 
