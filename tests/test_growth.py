@@ -6,7 +6,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import weftline.plans  # noqa: F401
 from weftline.operators import imports, memory, steps
+from weftline.plans import registry
 from weftline.sources import memories
 
 
@@ -85,3 +87,9 @@ def test_units_of_an_import_are_read_once(spark):
     changes, told = imports.import_units(imports.entries(spark), units, ["file"], ["file", "n"], "owner")
     assert [tuple(r) for r in told.collect()] == [(1, 10, 0, 0)] and {(r.source, r.target) for r in changes.collect()} == {("s0", "t9"), ("s1", "t7"), ("s2", "t8")}
     assert read.value == 10
+
+
+@pytest.mark.parametrize("name", ["f24_d81_icu_checks", "f24_protect_restore", "j17_f17_number_matching"])
+def test_a_small_table_with_costly_rows_is_spread(spark, sf_dir, name):
+    """A table of one small file was one task's work, whatever its rows took."""
+    assert registry.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == 4

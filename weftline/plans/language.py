@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import dates, language, messages, stems
 from weftline.functions import text as T
 from weftline.operators import alignment, glossary, memory, review
+from weftline.plans.formats import spread
 from weftline.plans.registry import query
 from weftline.plans.texts import PAIRS, parallel
 from weftline.sources import plain
@@ -75,7 +76,7 @@ def icu_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     target = F.when(n == 2, F.replace(target, F.lit("{name}"), F.lit("Namen"))).otherwise(target)
     part = lambda s: F.concat_ws(":", s["name"], s["type"], F.array_join(s["selectors"], ","))
-    told = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), messages.icu_check(source, target).alias("codes"), messages.icu_skeleton(source).alias("shape"))
+    told = spread(table(spark, sf_dir, "part"), F.col("p_partkey").alias("id")).select("id", messages.icu_check(source, target).alias("codes"), messages.icu_skeleton(source).alias("shape"))
     return told.select("id", F.array_join("codes", ",").alias("codes"), F.array_join(F.transform("shape", part), ";").alias("shape"))
 
 
@@ -85,7 +86,7 @@ select p_partkey as id, '⟦1/⟧' || p_name || ' ⟦⟦2⟧⟧⟦2/⟧# of ⟦3
 def protect_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages whose frame and placeholders become codes, and come back; a code that the source hasn't gives nothing."""
     value = F.concat(F.lit("{n, plural, =0 {"), "p_name", F.lit(" ⟦2⟧} other {# of {0}}} & "), "p_type", F.lit(" %1$s"))
-    told = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), messages.protected(value).alias("p"))
+    told = spread(table(spark, sf_dir, "part"), F.col("p_partkey").alias("id")).select("id", messages.protected(value).alias("p"))
     back = told.select("id", "p.*", messages.restored("p.tagged", "p.codes").alias("restored"), messages.restored(F.concat("p.tagged", F.lit("⟦9/⟧")), "p.codes").alias("unknown"))
     return back.select("id", "tagged", F.array_join("codes", "|").alias("codes"), "restored", F.coalesce("unknown", F.lit("")).alias("unknown"))
 

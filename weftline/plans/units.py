@@ -9,7 +9,7 @@ from weftline.functions import language
 from weftline.functions import text as T
 from weftline.operators import relational as ops
 from weftline.operators import units
-from weftline.plans.formats import files
+from weftline.plans.formats import files, spread
 from weftline.plans.language import tagged_pairs
 from weftline.plans.registry import query, shown
 from weftline.plans.texts import PAIRS
@@ -43,7 +43,7 @@ def number_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, n = F.col("p_size").cast("string"), F.col("p_partkey") % 3
     source = F.concat(size, F.lit(" und 1.000"))
     target = F.when(n == 0, F.concat(F.lit("1000, "), size)).when(n == 1, F.lit("1 000")).otherwise(F.concat(F.lit("1,5; "), size))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), language.numbers_left(source, target).alias("x")).select("id", "x.*")
+    return spread(table(spark, sf_dir, "part"), F.col("p_partkey").alias("id")).select("id", language.numbers_left(source, target).alias("x")).select("id", "x.*")
 
 
 @query("f73_in_order", r"""
