@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import weftline.plans  # noqa: F401
-from weftline.operators import imports, memory, steps
+from weftline.operators import imports, intervals, memory, steps
 from weftline.plans import registry
 from weftline.sources import memories
 
@@ -93,3 +93,17 @@ def test_units_of_an_import_are_read_once(spark):
 def test_a_small_table_with_costly_rows_is_spread(spark, sf_dir, name):
     """A table of one small file was one task's work, whatever its rows took."""
     assert registry.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() == 4
+
+
+def test_overlaps_carry_no_row_four_times(spark, monkeypatch):
+    """Each span became four points with the whole span, in as many tasks as the session says; now the tasks follow the spans, and equal spans stay apart."""
+    monkeypatch.setattr(intervals, "POINTS", 50)
+    rng = random.Random(3)
+    spans = [(i, rng.randint(0, 3), a := rng.randint(0, 40), a + rng.choice([0, 0, 1, 5, 30])) for i in range(400)]
+    spans += [(400, 9, 1, 4), (400, 9, 1, 4)]
+    df = spark.createDataFrame(spans, "id int, k int, a int, b int")
+    got = intervals.overlap_counts(df, ["k"], "a", "b", "n")
+    want = Counter((i, sum(k == l and a < d and c < b for j, (_, l, c, d) in enumerate(spans) if j != at)) for at, (i, k, a, b) in enumerate(spans))
+    assert got.columns == ["id", "k", "a", "b", "n"] and Counter((r.id, r.n) for r in got.collect()) == want
+    assert got.rdd.getNumPartitions() == 16
+    assert intervals.overlap_counts(df.limit(0), ["k"], "a", "b", "n").count() == 0
