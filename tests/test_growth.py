@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import weftline.plans  # noqa: F401
 from weftline.operators import imports, intervals, memory, steps
 from weftline.plans import registry
-from weftline.sources import memories
+from weftline.sources import catalogues, memories
 
 
 def plain_terms(docs, most, least, limit):
@@ -107,3 +107,17 @@ def test_overlaps_carry_no_row_four_times(spark, monkeypatch):
     assert got.columns == ["id", "k", "a", "b", "n"] and Counter((r.id, r.n) for r in got.collect()) == want
     assert got.rdd.getNumPartitions() == 16
     assert intervals.overlap_counts(df.limit(0), ["k"], "a", "b", "n").count() == 0
+
+
+@pytest.mark.parametrize("form", catalogues.FORMS)
+def test_files_are_written_and_read_once(spark, form):
+    """Families were joined as a table: files were written and read for it again, and it went through the driver where its estimate was small."""
+    rows = spark.createDataFrame([(f, k, c, v) for f in (1, None) for k, c, v in [("a", None, "x"), ("p", "one", "1"), ("p", "other", "2")]] + [(2, "p", None, "y")], "file int, key string, category string, value string")
+    files = catalogues.render(rows.withColumn("lang", F.lit("de")), ["file"], form)
+    found = catalogues.read(files.where(catalogues.detect(F.lit(f"app.{catalogues.FORMS[form].extension}"), F.col("text")).isNotNull()), ["file"], "text", form)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    writers = [line for line in plan.splitlines() if "ArrowEvalPython" in line and "array_sort(" in line]
+    assert "Join" not in plan and "Broadcast" not in plan
+    assert len(writers) == (2 if form == "android" else 1)  # its texts and its families are two passes
+    alone = "other" if form == "stringsdict" else None
+    assert {(r.file, r.key, r.category) for r in found.collect()} == {(f, k, c or alone) for f in (1, None) for k, c in [("a", None), ("p", "one"), ("p", "other")]} | {(2, "p", alone)}

@@ -326,7 +326,7 @@ def catalogue_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = F.col("p_partkey")
     category = F.explode(F.when(n % 4 == 0, F.array(F.lit("one"), F.lit("other"))).otherwise(F.array(F.lit(None).cast("string")))).alias("category")
-    parts = table(spark, sf_dir, "part").select(F.floor(n / BLOCK).alias("file"), n.alias("n"), key().alias("key"), category, F.concat("p_name", F.lit(' "'), "p_type", F.lit("\\\n<"), n, F.lit(" & it's>")).alias("v"))
+    parts = spread(table(spark, sf_dir, "part"), F.floor(n / BLOCK).alias("file")).select("file", n.alias("n"), key().alias("key"), category, F.concat("p_name", F.lit(' "'), "p_type", F.lit("\\\n<"), n, F.lit(" & it's>")).alias("v"))
     rows = parts.select("file", "n", "key", "category", F.lit("de").alias("lang"), F.concat(F.coalesce(F.concat("category", F.lit(" ")), F.lit("")), "v").alias("value"))
     out = None
     for form, f in C.FORMS.items():

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 from xml.sax.saxutils import escape, quoteattr
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -188,7 +188,8 @@ def _steps(df: DataFrame, keep: Sequence[str], text: str, form: str = "json") ->
 
 def _families_of(found: DataFrame, keep: Sequence[str], lang: Column | None = None, by_suffix: bool = False) -> DataFrame:
     """Objects whose keys are plural categories with ``other`` among them are families; so are, ``by_suffix``, keys that end in
-    _ and a category where the one with _other is there."""
+    _ and a category where the one with _other is there. They are told by a window, not by a join: a table of all families would
+    be read from the files again, and go through the driver where the plan takes it for small."""
     whole = F.array_join("path", ".")
     if by_suffix:
         named = found.select("*", whole.alias("_key")).select("*", F.regexp_extract("_key", rf"^(.*)_(?:{'|'.join(CATEGORIES)})$", 1).alias("_stem"))
@@ -197,10 +198,9 @@ def _families_of(found: DataFrame, keep: Sequence[str], lang: Column | None = No
         last = F.element_at("path", -1)
         named = found.select("*", whole.alias("_key"), F.array_join(F.slice("path", 1, F.greatest(F.size("path") - 1, F.lit(0))), ".").alias("_stem"))
         category = last
-    told = F.struct(*(F.col(k) for k in keep), "_stem")
-    is_one = F.col("_stem") != ""
-    groups = named.where(is_one).groupBy(told.alias("_g")).agg(F.bool_and(category.isin(*CATEGORIES)).alias("_all"), F.bool_or(category == "other").alias("_other")).where("_all and _other")
-    both = named.join(groups.select("_g", F.lit(True).alias("_family")), told.eqNullSafe(F.col("_g")), "left")
+    of = Window.partitionBy(*keep, "_stem")
+    family = (F.col("_stem") != "") & F.bool_and(category.isin(*CATEGORIES)).over(of) & F.bool_or(category == "other").over(of)
+    both = named.select("*", family.alias("_family"))
     return _rows(both, keep, F.when(F.col("_family"), F.col("_stem")).otherwise(F.col("_key")), F.col("value"), F.when(F.col("_family"), category), lang)
 
 
@@ -209,13 +209,10 @@ def _read_json(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
 
 
 def _read_arb(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
-    found = _steps(df, keep, text).where(~F.startswith(F.col("path")[0], F.lit("@")))
     lang = F.get_json_object(F.col(text), "$.@@locale")
+    found = _steps(df.withColumn("_lang", lang), [*keep, "_lang"], text).where(~F.startswith(F.col("path")[0], F.lit("@")))
     # families stand in keys that end in a point and a category
-    split = found.withColumn("path", F.split(F.array_join("path", "."), r"\.(?=[a-z]+$)"))
-    names = df.select(*keep, lang.alias("_lang"))
-    both = split.alias("s").join(names.alias("n"), [F.col(f"s.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keep]).select("s.*", "_lang")
-    return _families_of(both, keep, F.col("_lang"))
+    return _families_of(found.withColumn("path", F.split(F.array_join("path", "."), r"\.(?=[a-z]+$)")), keep, F.col("_lang"))
 
 
 def _read_formatjs(df: DataFrame, keep: Sequence[str], text: str) -> DataFrame:
@@ -388,4 +385,5 @@ def render(rows: DataFrame, keep: Sequence[str], form: str, order: Sequence[str]
 
     place = F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), "category", "key", "lang", "value")
     listed = rows.groupBy(*keep).agg(F.array_sort(F.collect_list(place)).alias("_r"))
-    return listed.select(*keep, written("_r").alias("text"))
+    # not deterministic in name only: a filter over the texts would be moved before them, and every file be written twice
+    return listed.select(*keep, written.asNondeterministic()("_r").alias("text"))
